@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhire.llm import bpe, quality_fm, repetition
+from tallyhire.llm import bpe, exact_topk, packing, quality_fm, repetition, token_counts, toxicity_crf
 from tallyhire.llm.common import held_out, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,23 @@ def op2_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.repetition_coverage(read(spark, sf_dir, "documents"))
     return found.select(
@@ -61,9 +79,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line
 FROM judged"""
 
 
+def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), PIECES)
+
+
+def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity_crf.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity_crf.score(docs, field)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_factorisation_machine, op2_forced_boundary_bpe, op6_repetition_coverage)
-}
+    for f in (
+        op1_quality_factorisation_machine, op2_forced_boundary_bpe, op4_cutting_stock_packing, op5_histogram_topk,
+        op6_repetition_coverage, op8_trie_token_counts, op9_toxicity_crf,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {"op6_repetition_coverage": op6_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_histogram_topk": OP5_SQL, "op6_repetition_coverage": op6_sql()}
