@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +57,12 @@ def drop_kept(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished work now: it does when the JVM has collected what referred to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out() -> Column:
     """True for the third of the rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

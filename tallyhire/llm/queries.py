@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhire.llm import bpe, exact_topk, packing, quality_fm, repetition, token_counts, toxicity_crf
+from tallyhire.llm import bpe, exact_topk, packing, parity_join, quality_fm, repetition, sharding, token_counts, toxicity_crf, url_filter
 from tallyhire.llm.common import held_out, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,17 @@ def op2_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+#: Given rules for hosts and paths.
+HOST_RULES = [
+    url_filter.HostRule("net", "/", url_filter.BLOCK), url_filter.HostRule("example.net", "/en/", url_filter.ALLOW),
+    url_filter.HostRule("example.com", "/de/", url_filter.BLOCK), url_filter.HostRule("org", "/fr/", url_filter.ALLOW),
+]
+
+
+def op3_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), HOST_RULES)
+
+
 def op4_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -79,6 +90,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line
 FROM judged"""
 
 
+def op7_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), PIECES)
 
@@ -90,11 +105,16 @@ def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_factorisation_machine, op2_forced_boundary_bpe, op4_cutting_stock_packing, op5_histogram_topk,
-        op6_repetition_coverage, op8_trie_token_counts, op9_toxicity_crf,
+        op1_quality_factorisation_machine, op2_forced_boundary_bpe, op3_association_url_filter, op4_cutting_stock_packing,
+        op5_histogram_topk, op6_repetition_coverage, op7_label_propagation_shards, op8_trie_token_counts, op9_toxicity_crf,
+        op10_parity_sketch_join,
     )
 }
 
