@@ -3,30 +3,15 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhire.sources.shipping import ship
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyhire_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="tallyhire-"), "tallyhire_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(target)
-    sc._tallyhire_shipped = True
+__all__ = ["drop_kept", "held_out", "keep", "read", "release", "shared_dir", "ship", "training_rows"]
 
 
 def shared_dir(spark: SparkSession) -> str:
