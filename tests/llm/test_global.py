@@ -100,13 +100,18 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, queries.BYTE_BPE).count() == 0
 
 
-def test_column_generation_is_near_its_bound():
+def test_column_generation_is_optimal():
     rng = np.random.default_rng(8)
     units = np.unique(rng.integers(5, 250, 80))
     demand = rng.integers(50, 900, len(units))
     patterns, uses = packing.column_generation(units, demand.astype(float), 256)
     assert np.allclose(uses @ patterns, demand) and (patterns @ units <= 256).all()
-    assert uses.sum() <= 1.01 * max((units * demand).sum() / 256, demand[units > 128].sum())
+    # strong duality: prices under which no pattern is worth more than a sequence, and the demand as much as the sequences used
+    prices = np.linalg.solve(patterns.astype(float), np.ones(len(units)))
+    worth = [0.0] * 257
+    for w in range(1, 257):
+        worth[w] = max([worth[w - 1], *(worth[w - u] + y for u, y in zip(units.tolist(), prices, strict=True) if u <= w)])
+    assert worth[256] <= 1 + 1e-6 and np.isclose(prices @ demand, uses.sum())
     found = packing.plan(dict(zip(units.tolist(), demand.tolist(), strict=True)), 256)
     assert found.n_sequences <= uses.sum() + len(units)
 

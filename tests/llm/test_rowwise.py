@@ -192,8 +192,9 @@ def test_marginals_equal_enumeration():
 
 
 def test_spans_point_at_words(spark):
-    texts = [f"good words {w} and é more\n{w}" for w in ("vile", "nasty")] * 20 + ["good words and é more"] * 40
-    field = toxicity_crf.fit([f"{t} {k}" for k, t in enumerate(texts)], np.asarray([1.0] * 40 + [0.0] * 40))
+    # the word stands in many contexts, as copies of one passage would not show that it is the word that counts
+    texts = [f"good words{k} {w} and é more" for k in range(20) for w in ("vile", "nasty")] + [f"good words{k} and é more" for k in range(40)]
+    field = toxicity_crf.fit(texts, np.asarray([1.0] * 40 + [0.0] * 40))
     df = spark.createDataFrame([(1, "é you vile thing"), (2, "good words and more")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in toxicity_crf.score(df, field, spans="spans").collect()}
     assert rows[1]["score"] > rows[2]["score"] and not rows[2]["spans"]
