@@ -10,11 +10,13 @@ symmetric difference, and then verified on the whole sets.
 Large groups need no pairs of all their members:
 
 * Copies, texts of one set, are one class from the start.
+* Groups of more than HOT classes (common passages, families of near copies) matter only to classes that may agree with
+  another in such blocks alone. A set of n shingles agrees with any partner in at least m - (n + n') / 9 blocks, where n' is
+  the largest size a partner may have; unless as many of its blocks are in large groups or empty, each of its links meets
+  in a smaller group as well. So all but these doubtful classes leave the large groups, and no link is lost.
 * Round 1 verifies each class against the smallest class it met. Components of these links come next.
 * Round 2 verifies only pairs from different components: the other pairs with a group's smallest class, and pairs of
-  members. In groups of more than HOT classes (common passages, families of near copies) pairs of members matter only
-  between classes that could agree in such blocks alone: those with fewer than s other blocks left to agree in. A linked
-  pair with a class that has more meets in a smaller group as well. So no link is lost.
+  members. Sizes and sketches are compared in the join itself.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 from tallyhire.llm.common import drop_kept, keep, release, ship
 
 WORDS = 5
-HOT = 64
+HOT = 8
 SEEDS = 4
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
+EVEN = U(2**64 - 2)
+NEVER = 1 << 60
+SALTS = np.arange(SEEDS, dtype=U) * BASE
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +80,7 @@ def differing(size: int) -> int:
 def blocks(band: int) -> tuple[int, int]:
     """(m, s): a band's number of blocks and how many of them linked sets agree in at least."""
     d = differing(int(BANDS[band + 1]) - 1)
-    s = max(3, -(-d // 8))
+    s = max(3, -(-d // 5))
     return d + s, s
 
 
@@ -85,27 +90,30 @@ def own_bands(n: int) -> list[int]:
     return [k, k + 1] if n * 5 // 4 >= BANDS[k + 1] else [k]
 
 
-def signatures(h: np.ndarray) -> tuple[np.ndarray, int]:
-    """The keys under which a set meets others; how many hot ones make it doubtful that a smaller group holds a link of it.
+def signatures(h: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The keys under which a set meets others, and for bands of even and of odd number how many blocks in large groups make it doubtful.
 
-    A set with s or more empty blocks can't count on a match in a full one; it is dealt again by another hash, as then
-    any partner it has only empty blocks in common with is. After the last deal the empty blocks are keys as well.
+    The last bit of a key tells whether its band's number is odd. A set with s or more empty blocks can't count on a match
+    in a full one; it is dealt again by another hash, as then any partner it has only empty blocks in common with is. After
+    the last deal the empty blocks are keys as well.
     """
-    keys, spare = [], 1 << 60
-    for band in own_bands(len(h)):
+    keys, spare, n = [], [NEVER, NEVER], len(h)
+    for band in own_bands(n):
         m, s = blocks(band)
+        least = m - (n + min(n * 5 // 4, int(BANDS[band + 1]) - 1)) // 9  # blocks in which a partner agrees
+        odd = U(band & 1)
         for seed in range(SEEDS):
-            x = h if not seed else np.sort(mixed(h + U(seed) * BASE))
+            x = h if not seed else np.sort(mixed(h + SALTS[seed]))
             at = np.searchsorted(((x >> U(32)) * U(m)) >> U(32), np.arange(m, dtype=U))
             full = np.flatnonzero(np.diff(np.append(at, len(x))))
             place = mixed(np.arange(m, dtype=U) + U((band * SEEDS + seed) << 40))
-            keys.append(mixed(np.bitwise_xor.reduceat(x, at[full]) + place[full]))
+            keys.append(mixed(np.bitwise_xor.reduceat(x, at[full]) + place[full]) & EVEN | odd)
             empty = m - len(full)
-            spare = min(spare, max(0, s - empty))
+            spare[band & 1] = min(spare[band & 1], max(0, least - empty))
             if empty < s:
                 break
             if seed == SEEDS - 1:
-                keys.append(place[np.setdiff1d(np.arange(m), full)])
+                keys.append(place[np.setdiff1d(np.arange(m), full)] & EVEN | odd)
     return np.concatenate(keys), spare
 
 
@@ -120,7 +128,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class, other, sketch) of every text; class and other are two hashes of the whole set."""
+    """(doc_id, n, class, spare, sketch) of every text; class is a hash of the whole set, spare the second value of signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,15 +137,15 @@ def sets(docs: DataFrame) -> DataFrame:
                 h = shingles(t.as_py())
                 n.append(len(h))
                 a.append(class_of(h))
-                b.append(int(np.bitwise_xor.reduce(mixed(h ^ U(99)), initial=U(0)).view(np.int64)))
+                b.append(signatures(h)[1] if len(h) else [NEVER, NEVER])
                 sk.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "n", "class", "other", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "n", "class", "spare", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, other long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, spare array<long>, sketch array<long>")
 
 
 def class_of(h: np.ndarray) -> int:
-    return int(mixed(np.add.reduce(mixed(h + BASE), dtype=U, initial=U(0)) + U(len(h))).view(np.int64))
+    return int(mixed(np.add.reduce(mixed(h + BASE), dtype=U, keepdims=True) + U(len(h))).view(np.int64)[0])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -168,15 +176,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 def met(rows: DataFrame) -> DataFrame:
     """Groups of classes under one key, from rows (key, class) sorted by both: (kind, a, b).
 
-    kind 0: a is a group's smallest class, b another. kind 1 and 2: the group a of more than two has the class b; 2 if the
-    group has more than HOT classes. Groups that a task has given with the same members are left out, but for those of
+    kind 0: a is the smallest class of a group of at most HOT, b another. kind 1 and 2: the group a of more than two has the
+    class b; 2 if the group has more than HOT classes. Groups that a task has given with the same members are left out, but for those of
     kind 2, whose rows pass through one by one: no group is held whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         key, cls = np.empty(0, np.int64), np.empty(0, np.int64)  # of the last key so far, if its group isn't hot
-        hot_key, leader, last = None, 0, 0
+        hot_key, last = None, 0
 
         def out(k: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
@@ -200,7 +208,7 @@ def met(rows: DataFrame) -> DataFrame:
             new |= size > HOT
             rows = np.repeat(new, size)
             lead = np.repeat(cls[start], size)
-            pair = rows & (cls != lead)
+            pair = rows & (cls != lead) & np.repeat(size <= HOT, size)
             yield out(0, lead[pair], cls[pair])
             for kind, which in ((1, (size > 2) & (size <= HOT)), (2, size > HOT)):
                 more = rows & np.repeat(which, size)
@@ -215,7 +223,6 @@ def met(rows: DataFrame) -> DataFrame:
                 more = c[:same][np.diff(c[:same], prepend=last) != 0]
                 if len(more):
                     last = int(more[-1])
-                    yield out(0, np.full(len(more), leader), more)
                     yield out(2, np.full(len(more), hot_key), more)
                 k, c = k[same:], c[same:]
                 if not len(k):
@@ -229,7 +236,7 @@ def met(rows: DataFrame) -> DataFrame:
                 yield from groups(key[:end], cls[:end])
             key, cls = key[end:], cls[end:]
             if len(key) > HOT:
-                hot_key, leader, last = int(key[0]), int(cls[0]), int(cls[-1])
+                hot_key, last = int(key[0]), int(cls[-1])
                 yield from groups(key, cls)
                 key, cls = key[:0], cls[:0]
         if len(key):
@@ -242,6 +249,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def alike(n: Column, m: Column, s: Column, t: Column) -> Column:
+    """What sizes and sketches of linked sets fulfil."""
+    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * hamming(s, t) <= n + m)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones among pairs (a, b), by the whole sets of their texts (class, text)."""
 
@@ -296,17 +308,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = keep(sets(docs))
     full = table.filter("n > 0")
-    classes = keep(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = keep(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")))
     groups = keep(met(keyed(docs).repartition("key").sortWithinPartitions("key", "class")))
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        (100 * F.least("n_a", "n_b") >= 80 * F.greatest("n_a", "n_b")) & (9 * hamming(F.col("s_a"), F.col("s_b")) <= F.col("n_a") + F.col("n_b"))
-    ).select("a", "b")
-    pairs = keep(near(groups.filter("kind = 0").select("a", "b").distinct()))
-    first = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b")
     release(docs.sparkSession)
+    large = groups.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("m"))
+    large = large.withColumn("odd", F.col("key").bitwiseAND(F.lit(1)).cast("int"))
+    doubtful = large.groupBy("m", "odd").agg(F.count("*").alias("hot")).join(classes.select(F.col("class").alias("m"), "spare"), "m").filter(F.col("hot") >= F.element_at("spare", F.col("odd") + 1)).select("m", "odd")
+    large = keep(large.join(doubtful, ["m", "odd"]).select("key", "m"))
+    least = large.groupBy("key").agg(F.min("m").alias("a")).join(large.withColumnRenamed("m", "b"), "key").filter("a <> b").select("a", "b")
+    pairs = keep(near(groups.filter("kind = 0").select("a", "b").union(least).distinct()))
+    first = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     # the texts that any comparison may need, one of each class
-    met_by = groups.filter("kind = 0").select(F.col("a").alias("class")).union(groups.filter("kind = 0").select("b")).distinct()
+    members = groups.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("m")).union(large)
+    met_by = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("m")).distinct()
     texts = keep(docs.join(met_by.join(classes.select("class", F.col("rep").alias("doc_id")), "class"), "doc_id").select("class", "text"))
     release(docs.sparkSession)
     links = keep(verified(first, texts))
@@ -317,33 +333,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return rows.join(comp.select(F.col("class").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
 
     apart = of(of(pairs, "a"), "b").filter("c_a <> c_b").select("a", "b")
-    hot = groups.filter("kind = 2").distinct().groupBy("b").agg(F.count("*").alias("hot"))
-    spare_of = spare_by_class(texts.join(hot.select(F.col("b").alias("class")), "class", "left_semi"))
-    doubtful = hot.join(spare_of, hot["b"] == spare_of["class"]).filter("hot >= spare").select("b")
-    grouped = groups.filter("kind = 1").unionByName(groups.filter("kind = 2").join(doubtful, "b").select("kind", "a", "b")).select(F.col("a").alias("key"), F.col("b").alias("m")).distinct()
-    by_comp = keep(of(grouped, "m"))
+    by_comp = keep(of(members, "m"))
     counts = by_comp.groupBy("key", "c_m").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("c_m", F.struct("n", "c_m")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed_ = by_comp.join(main.select("key", "main"), "key")
-    few = mixed_.filter("c_m <> main").select("key", F.col("m").alias("x"), F.col("c_m").alias("c_x"))
-    across = few.join(mixed_.select("key", F.col("m").alias("y"), F.col("c_m").alias("c_y")), "key").filter("c_x <> c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    several = keep(by_comp.join(main.select("key", "main"), "key").join(classes.select(F.col("class").alias("m"), "n", "sketch"), "m"))
+    few = several.filter("c_m <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("m", "c_m", "n", "sketch"))).alias("f")
+    all_ = several.alias("s")
+    meets = (F.col("f.key") == F.col("s.key")) & (F.col("x_c_m") != F.col("s.c_m")) & alike(F.col("x_n"), F.col("s.n"), F.col("x_sketch"), F.col("s.sketch"))
+    across = few.join(all_, meets).select(F.least("x_m", "s.m").alias("a"), F.greatest("x_m", "s.m").alias("b")).distinct()
     ordered = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = keep(near(across).union(ordered).distinct().join(tried, ["a", "b"], "left_anti"))
+    second = keep(across.union(ordered).distinct().join(tried, ["a", "b"], "left_anti"))
     every = keep(links.union(verified(second, texts)))
     final = components(every)
     named = classes.join(final, "class").groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = classes.join(final.join(named, "comp"), "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     linked = full.select("doc_id", "n", "class").join(by_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(table.filter("n = 0").select("doc_id", "n", "doc_id"))
-
-
-def spare_by_class(docs: DataFrame) -> DataFrame:
-    """(class, spare) of some texts; see signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs = [shingles(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in hs], pa.int64()), pa.array([signatures(h)[1] if len(h) else 0 for h in hs], pa.int64())], ["class", "spare"])
-
-    return docs.select("text").mapInArrow(run, "class long, spare long").groupBy("class").agg(F.min("spare").alias("spare"))
