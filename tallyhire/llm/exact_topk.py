@@ -63,7 +63,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     if not n_q or not n_c:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts, groups = max(8, -(-n_c // CANDIDATES)), -(-n_q // QUERIES)
-    dealt = c.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # both sides' keys must be of one type: 64-bit hashes and sequences, as an int and a long are dealt to different partitions
+    dealt = c.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts).cast("long"))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     limit = int((m_q * m_c) ** 0.5) + 2  # no score is beyond it, by Cauchy and Schwarz
     width = 1
     while width * BINS < 2 * limit + 1:
@@ -73,7 +74,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     state = q.select("id", F.lit(-limit).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
 
     def side(now: DataFrame) -> DataFrame:
-        return q.join(now, "id").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return q.join(now, "id").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups).cast("long"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def blocks(qs: pa.Table, cs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(query ids, lo, need, candidate ids, scores with the queries' own at the least value)"""

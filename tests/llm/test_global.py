@@ -119,7 +119,17 @@ def test_column_generation_is_optimal():
 # top-k
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Keeps small shuffles apart, as large ones are: keys that don't meet then show."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_topk_equals_brute_force(spark, many_partitions):
     rng = np.random.default_rng(6)
     vectors = [(k, rng.normal(0, 0.1, 8).astype(np.float32).tolist(), 0) for k in range(700)] + [(k, [0.25] * 8, 0) for k in range(700, 1000)]
     vectors += [(1000, None, 1), (1050, [float("nan")] * 8, 1), (1100, [None] * 8, 1), (1150, [float("inf")] + [0.0] * 7, 1), (None, [0.1] * 8, 1), (1200, [0.5] * 3, 1), (1201, [0.5] * 3, 1), (1250, [], 1), (3, vectors[3][1], 1)]
