@@ -4,7 +4,7 @@ A text is its set of distinct word shingles; two link at a Jaccard similarity of
 difference is at most d = (|A| + |B|) / 9. Hashing the shingles into m blocks and XOR-ing those of a block gives a sketch;
 each differing shingle changes one block at most, so sketches of linked texts differ in at most d blocks, and with
 m = d + s blocks at least s agree (pigeonhole). Texts of like size (a band) that agree in a block meet by a shuffle on
-(band, block, XOR). What meets is filtered by the Hamming distance of 256-bit parity sketches, also a lower bound of the
+(band, block, XOR). What meets is filtered by the Hamming distance of 512-bit parity sketches, also a lower bound of the
 symmetric difference, and then verified on the whole sets.
 
 Large groups need no pairs of all their members:
@@ -14,9 +14,9 @@ Large groups need no pairs of all their members:
   another in such blocks alone. A set of n shingles agrees with any partner in at least m - (n + n') / 9 blocks, where n' is
   the largest size a partner may have; unless as many of its blocks are in large groups or empty, each of its links meets
   in a smaller group as well. So all but these doubtful classes leave the large groups, and no link is lost.
-* Round 1 verifies each class against the smallest class it met. Components of these links come next.
-* Round 2 verifies only pairs from different components: the other pairs with a group's smallest class, and pairs of
-  members. Sizes and sketches are compared in the join itself.
+* Round 1 verifies each class against the one whose sketch is nearest among the smaller classes it met: smallest ones of
+  small groups and of parts of large ones. Components of these links come next.
+* Round 2 verifies only pairs from different components: what round 1 left, and pairs of members. Sizes and sketches are compared in the join itself.
 """
 
 from __future__ import annotations
@@ -118,8 +118,8 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 def sketch(h: np.ndarray) -> list[int]:
-    """256 parities as four signed longs."""
-    bits = np.bincount((h & U(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    """512 parities as eight signed longs."""
+    bits = np.bincount((h & U(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64).tolist()
 
 
@@ -311,15 +311,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = keep(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")))
     groups = keep(met(keyed(docs).repartition("key").sortWithinPartitions("key", "class")))
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b")
+    near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b", hamming(F.col("s_a"), F.col("s_b")).alias("apart"))
     release(docs.sparkSession)
     large = groups.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("m"))
     large = large.withColumn("odd", F.col("key").bitwiseAND(F.lit(1)).cast("int"))
     doubtful = large.groupBy("m", "odd").agg(F.count("*").alias("hot")).join(classes.select(F.col("class").alias("m"), "spare"), "m").filter(F.col("hot") >= F.element_at("spare", F.col("odd") + 1)).select("m", "odd")
     large = keep(large.join(doubtful, ["m", "odd"]).select("key", "m"))
-    least = large.groupBy("key").agg(F.min("m").alias("a")).join(large.withColumnRenamed("m", "b"), "key").filter("a <> b").select("a", "b")
-    pairs = keep(near(groups.filter("kind = 0").select("a", "b").union(least).distinct()))
-    first = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # a large group falls into parts of about HOT classes, other ones for each key, so that a class meets many others one by one
+    parts = large.join(large.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "m", F.pmod(F.xxhash64("key", "m"), F.ceil(F.col("size") / HOT)).alias("part"))
+    some = parts.groupBy("key", "part").agg(F.min("m").alias("a")).join(parts.withColumnRenamed("m", "b"), ["key", "part"]).filter("a <> b").select("a", "b")
+    pairs = keep(near(groups.filter("kind = 0").select("a", "b").union(some).distinct()))
+    first = keep(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
     # the texts that any comparison may need, one of each class
     members = groups.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("m")).union(large)
     met_by = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("m")).distinct()
