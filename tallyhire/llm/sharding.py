@@ -2,8 +2,9 @@
 
 Documents are linked where their texts are equal. Labels are shards: in each round a join of the groups' shares with the
 shards' loads gives every share of a group the shard where most of its neighbours are and room is left, and the shares
-move there as far as the shard's quota lets them. Cut links fall round by round; documents without links then fill the
-shards to sizes at most one row apart.
+move there as far as the shard's quota lets them, until none wants to move. Cut links fall round by round; documents
+without links then fill the shards to sizes at most one row apart. Groups larger than a quota have whole shards from the
+start, and one for the rest.
 
 Copies of one text are interchangeable, so the state is a row for each (text, shard), not for each document, and only
 counts by shard go to the driver.
@@ -11,6 +12,9 @@ counts by shard go to the driver.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,13 @@ def running(rows: DataFrame, by: str, weight: str) -> DataFrame:
     return rows.withColumn("inside", F.sum(weight).over(inside) - F.col(weight)).join(starts, [by, "bucket"]).withColumn("before", F.col("start") + F.col("inside")).drop("start", "inside", "bucket")
 
 
-def propagate(shares: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """(link, shard, n) after so many rounds of label propagation under the quotas."""
-    for _ in range(rounds):
+def propagate(shares: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """(link, shard, n) after label propagation under the quotas: until no share wants to move, or after so many rounds.
+
+    It comes to an end by itself. A share of n rows moves only where its group has as many or more, so each round raises
+    the sum of the squared shares; and as only shards with room are wished for, a round with wishes moves a row at least.
+    """
+    for _ in count() if rounds is None else range(rounds):
         load = {r["shard"]: r["n"] for r in shares.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [q - load.get(s, 0) for s, q in enumerate(quotas)]
         group = Window.partitionBy("link")
@@ -61,7 +69,20 @@ def propagate(shares: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     return shares
 
 
-def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def seats(groups: list[tuple[str, int]], quotas: list[int]) -> list[tuple[str, int, int, int]]:
+    """(link, shard, before, n) of groups larger than a quota, largest first: whole shards, then the tightest that takes the rest."""
+    room, out = list(quotas), []
+    for link, n in groups:
+        while n:
+            s = min(range(len(room)), key=lambda s: (room[s] < n, room[s] if room[s] >= n else -room[s], s))
+            take = min(n, room[s])
+            out.append((link, s, quotas[s] - room[s], take))
+            room[s] -= take
+            n -= take
+    return out
+
+
+def shard(docs: DataFrame, n_shards: int = 40, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law 'rows', shard, slot, grown_shard null): shards whose row counts are at most one apart.
 
     A null text is as an empty one. Slots run from 0 without gaps in each shard. Repeated rows and null ids are placed
@@ -74,9 +95,18 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 3, id_col: str = "d
     linked, single = cells.filter("group > 1"), cells.filter("group = 1")
     total = base.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    shares = keep(linked.groupBy("link", F.pmod(F.xxhash64("link", "salt"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.sum("c").alias("n")))
-    shares = propagate(shares, quotas, rounds)
-    load = {r["shard"]: r["n"] for r in shares.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    at = lambda values, i: F.element_at(numbers(values), i.cast("int") + 1)
+    # fewer than n_shards groups are larger than a quota; the others start dealt over the room that these leave
+    largest = linked.filter(F.col("group") > max(quotas)).select("link", "group").distinct().orderBy(F.desc("group"), "link").collect()
+    seated = seats([(r["link"], r["group"]) for r in largest], quotas)
+    taken = [sum(n for _, to, _, n in seated if to == s) for s in range(n_shards)]
+    left = [q - t for q, t in zip(quotas, taken, strict=True)]
+    start = numbers([sum(left[:s]) for s in range(n_shards)])
+    place = F.pmod(F.xxhash64("link", "salt"), F.lit(max(1, sum(left))))
+    home = F.size(F.filter(start, lambda x: x <= place)) - 1
+    shares = keep(linked.filter(F.col("group") <= max(quotas)).groupBy("link", home.alias("shard")).agg(F.sum("c").alias("n")))
+    shares = propagate(shares, left, rounds)
+    load = Counter({r["shard"]: r["n"] for r in shares.groupBy("shard").agg(F.sum("n").alias("n")).collect()}) + Counter(dict(enumerate(taken)))
     held = [min(load.get(s, 0), q) for s, q in enumerate(quotas)]
     over = [load.get(s, 0) - h for s, h in enumerate(held)]
     over_at = [sum(over[:s]) for s in range(n_shards)]
@@ -84,7 +114,11 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 3, id_col: str = "d
 
     # each share's first place in its shard and in its group; cells and shares overlap in pieces of the group's ranks
     in_group = by_link.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    placed = running(shares, "shard", "n").withColumn("from", F.sum("n").over(in_group) - F.col("n"))
+    placed = running(shares, "shard", "n").withColumn("before", F.col("before") + at(taken, F.col("shard")))
+    if seated:
+        first = F.array(*[F.struct(F.lit(link).alias("link"), F.lit(to).alias("shard"), F.lit(n).cast("long").alias("n"), F.lit(before).cast("long").alias("before")) for link, to, before, n in seated])
+        placed = placed.unionByName(docs.sparkSession.range(1).select(F.inline(first)))
+    placed = placed.withColumn("from", F.sum("n").over(in_group) - F.col("n"))
     pieces = linked.join(placed, "link").filter((F.col("start") < F.col("from") + F.col("n")) & (F.col("from") < F.col("start") + F.col("c"))).select(
         "link", "salt", (F.greatest("start", "from") - F.col("start")).alias("lo"), (F.least(F.col("start") + F.col("c"), F.col("from") + F.col("n")) - F.col("start")).alias("hi"),
         F.col("shard").alias("home"), (F.col("before") + F.col("start") - F.col("from")).alias("base"),
@@ -93,7 +127,6 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 3, id_col: str = "d
     mine = ranked.alias("d").join(pieces.alias("p"), (F.col("d.link") == F.col("p.link")) & (F.col("d.salt") == F.col("p.salt")) & (F.col("d.r") >= F.col("p.lo")) & (F.col("d.r") < F.col("p.hi"))).select(
         "d.id", "d.size", "d.text_crc32", "p.home", (F.col("p.base") + F.col("d.r")).alias("at"),
     )
-    at = lambda values, i: F.element_at(numbers(values), i.cast("int") + 1)
     stays = F.col("at") < at(quotas, F.col("home"))
     fixed = mine.select("id", "size", "text_crc32", F.when(stays, F.col("home")).alias("shard"), F.col("at"), F.when(~stays, at(over_at, F.col("home")) + F.col("at") - at(quotas, F.col("home"))).alias("free"))
     # rows without links, after the linked ones that had no place, go through the free places in order

@@ -178,6 +178,22 @@ def test_shards(spark, odd_docs, no_docs):
     check_shards(sharding.shard(spark.createDataFrame(alike, "doc_id long, text string"), n_shards=7).collect(), alike, 7)
 
 
+def test_large_groups_fill_few_shards(spark):
+    rows = [(k, "hot" if k % 3 == 0 else "warm" if k % 8 == 1 else f"pair{k // 7}" if k % 3 == 1 else f"one{k}") for k in range(6000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(found, rows, 40)
+    for name in ("hot", "warm"):
+        ids = {i for i, t in rows if t == name}
+        assert len({r["shard"] for r in found if r["doc_id"] in ids}) == -(-len(ids) // 150)
+
+
+def test_propagation_runs_until_no_share_moves(spark):
+    # the group's rows fill one shard in each round
+    shares = [("a" * 64, s, 10) for s in range(12)]
+    found = sharding.propagate(sharding.keep(spark.createDataFrame(shares, "link string, shard int, n long")), [20] * 12).collect()
+    assert sum(r["n"] for r in found) == 120 and len(found) == 6
+
+
 # Jaccard join
 
 
