@@ -128,20 +128,23 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class, spare, sketch) of every text; class is a hash of the whole set, spare the second value of signatures."""
+    """(doc_id, print, n, class, spare, sketch) of every text.
+
+    print is a hash of the text as it stands, class one of the whole set, spare the second value of signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, sk = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 h = shingles(t.as_py())
                 n.append(len(h))
                 a.append(class_of(h))
                 b.append(signatures(h)[1] if len(h) else [NEVER, NEVER])
                 sk.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "n", "class", "spare", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "print", "n", "class", "spare", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, spare array<long>, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, print long, n long, class long, spare array<long>, sketch array<long>")
 
 
 def class_of(h: np.ndarray) -> int:
@@ -255,26 +258,23 @@ def alike(n: Column, m: Column, s: Column, t: Column) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b), by the whole sets of their texts (class, text)."""
+    """The linked ones among pairs (a, b), by the whole sets of their texts (class, text), one of each class."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, bool]] = {}
+        known: dict[int, np.ndarray] = {}
 
-        def of(c: int, text: str | None) -> np.ndarray | None:
-            """The set; null where the text isn't the class's own, as a repeated doc_id may have others."""
+        def of(c: int, text: str | None) -> np.ndarray:
             if c not in known:
                 if len(known) >= 64:
                     known.pop(next(iter(known)))
-                h = shingles(text)
-                known[c] = h, class_of(h) == c
-            h, right = known[c]
-            return h if right else None
+                known[c] = shingles(text)
+            return known[c]
 
         for batch in batches:
             ok = []
             for c, d, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p, q = of(c, x.as_py()), of(d, y.as_py())
-                both = 0 if p is None or q is None else len(np.intersect1d(p, q, assume_unique=True))
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= 80 * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -302,13 +302,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row for each row.
 
     component_id is the smallest doc_id that links reach, the row's own included; null only where no row of the component
-    has a doc_id. Texts that no row with a doc_id has meet nothing. Null, empty and blank texts have no shingles and no links. Shingle hashes of 64 bits stand for shingles.
+    has a doc_id. Null, empty and blank texts have no shingles and no links. Shingle hashes of 64 bits stand for shingles.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = keep(sets(docs))
     full = table.filter("n > 0")
-    classes = keep(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")))
+    classes = keep(full.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("at"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")).select("class", F.col("at.doc_id").alias("rep"), F.col("at.print").alias("print"), "n", "spare", "sketch"))
     groups = keep(met(keyed(docs).repartition("key").sortWithinPartitions("key", "class")))
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b", hamming(F.col("s_a"), F.col("s_b")).alias("apart"))
@@ -325,7 +325,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # the texts that any comparison may need, one of each class
     members = groups.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("m")).union(large)
     met_by = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("m")).distinct()
-    texts = keep(docs.join(met_by.join(classes.select("class", F.col("rep").alias("doc_id")), "class"), "doc_id").select("class", "text"))
+    wanted = met_by.join(classes.select("class", "rep", "print"), "class")
+    texts = keep(docs.join(wanted, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("print") == F.xxhash64("text"))).select("class", "text"))
+    if texts.groupBy("class").count().filter("count > 1").limit(1).count():  # repeated rows
+        several = texts
+        texts = keep(several.groupBy("class").agg(F.min("text").alias("text")))
+        drop_kept(several)
     release(docs.sparkSession)
     links = keep(verified(first, texts))
     comp = components(links)

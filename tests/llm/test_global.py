@@ -258,6 +258,16 @@ def test_join_bears_odd_rows(spark, odd_docs, no_docs):
     assert parity_join.jaccard_components(no_docs).count() == 0
 
 
+def test_join_keeps_links_of_repeated_ids(spark):
+    rng = random.Random(5)
+    bases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(40)]
+    rows = [(n % 3, t) for n, b in enumerate(bases) for t in variants(rng, b, 4, 2)]  # ids with many texts
+    rows += [(100 + n, t) for n, b in enumerate(bases) for t in variants(rng, b, 1, 1)]
+    rows += [(7, "one hot text " + bases[0])] * 300
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (5, 9, 30, 200, 3000):
