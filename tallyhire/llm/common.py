@@ -71,4 +71,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     )
     # max_rows bounds the broadcast side
     joined = docs.filter(F.col("doc_id").isNotNull()).join(F.broadcast(picked), "doc_id")
-    return joined
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = joined.groupBy("doc_id", "y").agg(F.min(F.struct("text", *others)).alias("least"))
+    return one.select("doc_id", F.col("least.text").alias("text"), *(F.col("least")[c].alias(c) for c in others), "y")

@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyhire.llm import bpe, quality_fm, queries, repetition, token_counts, toxicity_crf
+from tallyhire.llm import bpe, common, quality_fm, queries, repetition, token_counts, toxicity_crf
 
 DATA = "/root/testdata/sf0.001"
 
@@ -199,3 +199,13 @@ def test_spans_point_at_words(spark):
     rows = {r["doc_id"]: r for r in toxicity_crf.score(df, field, spans="spans").collect()}
     assert rows[1]["score"] > rows[2]["score"] and not rows[2]["spans"]
     assert ["é you vile thing".encode()[s["start"] : s["start"] + s["length"]] for s in rows[1]["spans"]] == [b"vile"]
+
+
+def test_training_rows_have_one_text_of_each_id(spark):
+    rows = [(1, f"text {k:04d}", k) for k in range(600)] + [(k, f"doc {k}", k) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    found = common.training_rows(docs, labels, "quality", 100).collect()
+    assert len(found) == len({r["doc_id"] for r in found}) > 10
+    assert [(r["text"], r["n_chars"], r["y"]) for r in found if r["doc_id"] == 1] == [("text 0000", 0, 1)]
+    assert len(common.training_rows(docs, labels, "quality", 5).collect()) == 5
