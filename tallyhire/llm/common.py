@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,18 +10,18 @@ from pyspark.sql import functions as F
 
 from tallyhire.sources.shipping import ship
 
-__all__ = ["drop_kept", "held_out", "keep", "read", "release", "shared_dir", "ship", "training_rows"]
+__all__ = ["drop_kept", "held_out", "keep", "read", "shared_dir", "ship", "small_side", "training_rows"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is configured (tests), a local one."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Only a local session (tests) may do without it."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyhire-checkpoints-")
         sc.setCheckpointDir(where)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
     return where
 
 
@@ -34,18 +33,15 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def drop_kept(*frames: DataFrame) -> None:
-    """Delete what keep() wrote, once nothing reads it any more."""
+    """Empty the folders of what keep() wrote, once nothing reads it any more."""
     for df in frames:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            df.sparkSession.range(0).write.mode("overwrite").parquet(file.rpartition("/")[0])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished work now: it does when the JVM has collected what referred to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A side of a join, few long columns wide: to be broadcast where it has at most so many rows, else shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def held_out() -> Column:

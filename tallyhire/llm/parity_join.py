@@ -1,22 +1,26 @@
 """N-gram Jaccard join by parity sketches.
 
 A text is its set of distinct word shingles; two link at a Jaccard similarity of 0.8 or more. Then their symmetric
-difference is at most d = (|A| + |B|) / 9. Hashing the shingles into m blocks and XOR-ing those of a block gives a sketch;
+difference is at most (|A| + |B|) / 9. Hashing the shingles into m blocks and XOR-ing those of a block gives a sketch;
 each differing shingle changes one block at most, so sketches of linked texts differ in at most d blocks, and with
 m = d + s blocks at least s agree (pigeonhole). Texts of like size (a band) that agree in a block meet by a shuffle on
-(band, block, XOR). What meets is filtered by the Hamming distance of 512-bit parity sketches, also a lower bound of the
-symmetric difference, and then verified on the whole sets.
+(band, block, XOR). What meets is filtered by the Hamming distance of parity sketches of two to four bits a shingle, also
+a lower bound of the symmetric difference, and then verified on the whole sets.
 
-Large groups need no pairs of all their members:
+Large groups never yield all pairs of their members:
 
 * Copies, texts of one set, are one class from the start.
 * Groups of more than HOT classes (common passages, families of near copies) matter only to classes that may agree with
   another in such blocks alone. A set of n shingles agrees with any partner in at least m - (n + n') / 9 blocks, where n' is
   the largest size a partner may have; unless as many of its blocks are in large groups or empty, each of its links meets
   in a smaller group as well. So all but these doubtful classes leave the large groups, and no link is lost.
-* Round 1 verifies each class against the one whose sketch is nearest among the smaller classes it met: smallest ones of
-  small groups and of parts of large ones. Components of these links come next.
-* Round 2 verifies only pairs from different components: what round 1 left, and pairs of members. Sizes and sketches are compared in the join itself.
+* What stays is a family with a base, the member in most large groups. Each member is compared with the base only, which
+  gives its deviation, the symmetric difference. As |X ^ Y| = |dX| + |dY| - 2 |dX & dY|, two members link only if their
+  deviations share enough elements: 18 |dX & dY| >= S(X) + S(Y), where S(X) = 9 |dX| - |X|. Where that asks for none, both
+  link with the base. So elements that one member alone has rule out partners, members without a possible partner leave,
+  and the others meet again under the first elements of their deviations (a prefix filter, rare elements first). Groups of
+  at most SMALL are compared by sketches, larger ones get a base of their own; each base leaves its group, so this ends.
+* Members that earlier links have joined already are not compared.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhire.llm.common import drop_kept, keep, release, ship
+from tallyhire.llm.common import drop_kept, keep, ship, small_side
 
 WORDS = 5
 HOT = 8
+SMALL = 64
 SEEDS = 4
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -117,21 +122,34 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(keys), spare
 
 
-def sketch(h: np.ndarray) -> list[int]:
-    """512 parities as eight signed longs."""
-    bits = np.bincount((h & U(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
-    return np.packbits(bits).view(np.int64).tolist()
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the set's hashes, two to four bits for each."""
+    bits = 1 << max(6, (2 * len(h) - 1).bit_length())
+    ones = np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(ones).tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches; the longer one is folded to the other's length, which XORs its bits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, n, class, spare, sketch) of every text.
+def print_of(text: Column) -> Column:
+    """A hash of a text as it stands; null's is that of the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    print is a hash of the text as it stands, class one of the whole set, spare the second value of signatures.
-    """
+
+def sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, print, n, class, spare, sketch) of every text; class is a hash of the whole set, spare signatures' second value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +160,13 @@ def sets(docs: DataFrame) -> DataFrame:
                 a.append(class_of(h))
                 b.append(signatures(h)[1] if len(h) else [NEVER, NEVER])
                 sk.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "print", "n", "class", "spare", "sketch"])
+            columns = [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(sk, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "print", "n", "class", "spare", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, print long, n long, class long, spare array<long>, sketch array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", print_of(F.col("text")).alias("print"), "text").mapInArrow(
+        run, f"doc_id {kind}, print long, n long, class long, spare array<long>, sketch binary"
+    )
 
 
 def class_of(h: np.ndarray) -> int:
@@ -177,11 +199,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """Groups of classes under one key, from rows (key, class) sorted by both: (kind, a, b).
+    """Groups of classes under one key, from rows (key, class) sorted by both: (hot, a, b).
 
-    kind 0: a is the smallest class of a group of at most HOT, b another. kind 1 and 2: the group a of more than two has the
-    class b; 2 if the group has more than HOT classes. Groups that a task has given with the same members are left out, but for those of
-    kind 2, whose rows pass through one by one: no group is held whole.
+    A pair of classes a < b of a group of at most HOT, or (hot) the class b of the larger group a. Pairs of groups whose
+    members a task has seen already are left out; rows of hot groups pass through one by one: no group is held whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +210,21 @@ def met(rows: DataFrame) -> DataFrame:
         key, cls = np.empty(0, np.int64), np.empty(0, np.int64)  # of the last key so far, if its group isn't hot
         hot_key, last = None, 0
 
-        def out(k: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+        def out(hot: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), pa.array(a), pa.array(b)], ["hot", "a", "b"])
 
         def groups(key: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole groups of which none is hot, or one hot group."""
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(start, len(key)))
             some = np.repeat((size > 1), size)
-            key, cls = key[some], cls[some]
-            start, size = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64), size[size > 1]
+            key, cls, size = key[some], cls[some], size[size > 1]
             if not len(key):
                 return
+            start = np.cumsum(size) - size
+            if size[0] > HOT:
+                yield out(True, key, cls)
+                return
             print_ = np.add.reduceat(mixed(cls.view(U)), start)
             _, first = np.unique(print_, return_index=True)
             new = np.zeros(len(start), bool)
@@ -208,14 +232,11 @@ def met(rows: DataFrame) -> DataFrame:
             if len(given) > 1_000_000:
                 given.clear()
             given.update(print_[new].tolist())
-            new |= size > HOT
-            rows = np.repeat(new, size)
-            lead = np.repeat(cls[start], size)
-            pair = rows & (cls != lead) & np.repeat(size <= HOT, size)
-            yield out(0, lead[pair], cls[pair])
-            for kind, which in ((1, (size > 2) & (size <= HOT)), (2, size > HOT)):
-                more = rows & np.repeat(which, size)
-                yield out(kind, key[more], cls[more])
+            end = np.repeat(start + size, size)  # of each row's group
+            row = np.flatnonzero(np.repeat(new, size))
+            for step in range(1, HOT):
+                row = row[row + step < end[row]]
+                yield out(False, cls[row], cls[row + step])
 
         for batch in batches:
             if not batch.num_rows:
@@ -226,7 +247,7 @@ def met(rows: DataFrame) -> DataFrame:
                 more = c[:same][np.diff(c[:same], prepend=last) != 0]
                 if len(more):
                     last = int(more[-1])
-                    yield out(2, np.full(len(more), hot_key), more)
+                    yield out(True, np.full(len(more), hot_key), more)
                 k, c = k[same:], c[same:]
                 if not len(k):
                     continue
@@ -234,10 +255,15 @@ def met(rows: DataFrame) -> DataFrame:
             key, cls = np.concatenate([key, k]), np.concatenate([cls, c])
             once = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
             key, cls = key[once], cls[once]
-            end = int(np.searchsorted(key, key[-1]))
-            if end:
-                yield from groups(key[:end], cls[:end])
-            key, cls = key[end:], cls[end:]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            for at, n in zip(start[:-1][size[:-1] > HOT].tolist(), size[:-1][size[:-1] > HOT].tolist(), strict=True):
+                yield from groups(key[at : at + n], cls[at : at + n])
+            cold = np.repeat(size <= HOT, size)
+            cold[start[-1] :] = False
+            if cold.any():
+                yield from groups(key[cold], cls[cold])
+            key, cls = key[start[-1] :], cls[start[-1] :]
             if len(key) > HOT:
                 hot_key, last = int(key[0]), int(cls[-1])
                 yield from groups(key, cls)
@@ -245,41 +271,90 @@ def met(rows: DataFrame) -> DataFrame:
         if len(key):
             yield from groups(key, cls)
 
-    return rows.mapInArrow(run, "kind int, a long, b long")
+    return rows.mapInArrow(run, "hot boolean, a long, b long")
+
+
+def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches are as those of linked sets may be."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    like = 100 * F.least("n_a", "n_b") >= 80 * F.greatest("n_a", "n_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(like).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, s, t = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            ok = [9 * hamming(x, y) <= m for m, x, y in zip(n, s, t, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.mapInArrow(run, "a long, b long")
 
 
-def alike(n: Column, m: Column, s: Column, t: Column) -> Column:
-    """What sizes and sketches of linked sets fulfil."""
-    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * hamming(s, t) <= n + m)
+class Sets:
+    """The sets of the classes seen last."""
 
+    def __init__(self, most: int = 64):
+        self.known: dict[int, np.ndarray] = {}
+        self.most = most
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b), by the whole sets of their texts (class, text), one of each class."""
+    def of(self, cls: int, text: pa.StringScalar) -> np.ndarray:
+        if cls not in self.known:
+            if len(self.known) >= self.most:
+                self.known.pop(next(iter(self.known)))
+            self.known[cls] = shingles(text.as_py())
+        return self.known[cls]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
 
-        def of(c: int, text: str | None) -> np.ndarray:
-            if c not in known:
-                if len(known) >= 64:
-                    known.pop(next(iter(known)))
-                known[c] = shingles(text)
-            return known[c]
+def linked(n: int, m: int, apart: int) -> bool:
+    """Whether sets of sizes n and m with so large a symmetric difference have a Jaccard similarity of 0.8 or more."""
+    both = (n + m - apart) // 2
+    return both > 0 and 100 * both >= 80 * (both + apart)
 
+
+def with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with the texts x of class a and y of class b."""
+    x, y = texts.select(F.col("class").alias(a), F.col("text").alias("x")), texts.select(F.col("class").alias(b), F.col("text").alias("y"))
+    return pairs.join(x, a).join(y, b)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked ones among pairs (a, b), by the whole sets of their texts (class, text), one of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets()
         for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ok = []
-            for c, d, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                p, q = of(c, x.as_py()), of(d, y.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= 80 * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for c, d, x, y in zip(a, b, batch.column(2), batch.column(3), strict=True):
+                p, q = sets.of(c, x), sets.of(d, y)
+                ok.append(linked(len(p), len(q), len(p) + len(q) - 2 * len(np.intersect1d(p, q, assume_unique=True))))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return with_texts(pairs, texts, "a", "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    left, right = texts.select(F.col("class").alias("a"), F.col("text").alias("x")), texts.select(F.col("class").alias("b"), F.col("text").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+def deviations(families: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members (family, base, m) compared with their base: (.., n, new, lost, linked).
+
+    new are the shingles of m that the base lacks, lost the base's that m lacks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases, members = Sets(), Sets()
+        for batch in batches:
+            n, new, lost, ok = [], [], [], []
+            for c, d, x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                p, q = bases.of(c, x), members.of(d, y)
+                more, less = (np.setdiff1d(u, v, assume_unique=True) for u, v in ((q, p), (p, q)))
+                n.append(len(q))
+                new.append(more.view(np.int64))
+                lost.append(less.view(np.int64))
+                ok.append(linked(len(p), len(q), len(more) + len(less)))
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(n, pa.int64()), pa.array(new, longs), pa.array(lost, longs), pa.array(ok, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["family", "base", "m", "n", "new", "lost", "linked"])
+
+    rows = with_texts(families, texts, "base", "m").select("family", "base", "m", "x", "y")
+    return rows.mapInArrow(run, "family long, base long, m long, n long, new array<long>, lost array<long>, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,65 +370,192 @@ def components(links: DataFrame) -> DataFrame:
         drop_kept(labels)
         labels = after.select("v", "l")
         if not moved:
+            drop_kept(both)
             return labels.select(F.col("v").alias("class"), F.col("l").alias("comp"))
 
 
+def based(groups: DataFrame, family: str) -> DataFrame:
+    """(family, base, m) from large groups (key, m, n): a group's base is its member in most groups, of those the smallest.
+
+    family: "base" joins the groups of one base, "key" keeps each apart.
+    """
+    often = groups.groupBy("m").agg(F.count("*").alias("groups"))
+    base = groups.join(often, "m").groupBy("key").agg(F.max_by("m", F.struct("groups", -F.col("n"), "m")).alias("base"))
+    rows = groups.select("key", "m").join(base, "key").filter("m <> base")
+    return rows.select(F.col(family).alias("family"), "base", "m").distinct()
+
+
+def measured(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members with component, inner (that of the base), s and u.
+
+    s: 9 |d| - n. A partner's s is at most u, as it shares none of the new shingles that no other member has.
+    """
+    of = lambda c: comp.select(F.col("class").alias(c), F.col("comp").alias(f"c_{c}"))
+    single = rows.select("family", "m", F.explode("new").alias("e")).groupBy("family", "e").agg(F.count("*").alias("k"), F.min("m").alias("m"))
+    own = single.filter("k = 1").groupBy("family", "m").agg(F.count("*").alias("own"))
+    found = rows.join(of("base"), "base", "left").join(of("m"), "m", "left").join(own, ["family", "m"], "left")
+    found = found.withColumn("comp", F.coalesce("c_m", "m")).withColumn("inner", F.col("comp") == F.coalesce("c_base", "base"))
+    size = F.size("new") + F.size("lost")
+    found = found.withColumn("s", 9 * size - F.col("n")).withColumn("u", 18 * (size - F.coalesce("own", F.lit(0))) - F.col("s"))
+    return found.drop("c_m", "c_base", "base", "linked", "own")
+
+
+def possible(rows: DataFrame) -> DataFrame:
+    """The measured members that may link with one outside their component; least is the smallest s of such a partner."""
+    outer = ~F.col("inner")
+    bounds = rows.groupBy("family").agg(
+        F.min("s").alias("least_s"), F.max("u").alias("most_u"), F.min(F.when(outer, F.col("s"))).alias("outer_s"), F.max(F.when(outer, F.col("u"))).alias("outer_u"),
+    )
+    least = F.when(F.col("inner"), F.col("outer_s")).otherwise(F.col("least_s"))
+    most = F.when(F.col("inner"), F.col("outer_u")).otherwise(F.col("most_u"))
+    # no outer member: the bounds are null, and no one stays
+    return rows.join(bounds, "family").filter((least <= F.col("u")) & (F.col("s") <= most)).withColumn("least", least).drop(*bounds.columns[1:])
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """(key, m, n, s, u, comp): the first shingles of each possible member's deviation, of which a partner must have one first, too.
+
+    Rare ones come first, by how many members have them in their deviations.
+    """
+    new = rows.select("family", "m", F.explode("new").alias("e"))
+    often = new.groupBy("family", "e").agg(F.count("*").alias("k")).filter("k > 1")
+    mine = new.join(often, ["family", "e"]).groupBy("family", "m").agg(F.collect_list(F.struct("k", "e")).alias("often"))  # shingles of one text
+    gone = rows.select("family", F.explode("lost").alias("e")).groupBy("family", "e").agg(F.count("*").alias("k"))
+    order = gone.groupBy("family").agg(F.collect_list(F.struct("k", "e")).alias("gone"))  # shingles of the base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for family, m, n, s, u, comp, least, new, lost, often, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shared = max(1, -(-(s + least) // 18), -(-(s - 5 * n // 4) // 9))  # with any partner, at least
+                first = new + len(lost) - shared + 1 - (new - len(often or ()))  # without those that no other has
+                lost = set(lost)
+                known = sorted([(x["k"], x["e"]) for x in often or ()] + [(x["k"], x["e"]) for x in gone or () if x["e"] in lost])
+                chosen = [e for _, e in known[: max(0, first)]]
+                keys = mixed(np.asarray(chosen, np.int64).view(U) ^ mixed(np.asarray([family], np.int64).view(U))).view(np.int64)
+                out += [(k, m, n, s, u, comp) for k in keys.tolist()]
+            columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays(columns, list(FIELDS))
+
+    wanted = rows.join(mine, ["family", "m"], "left").join(order, "family", "left")
+    wanted = wanted.select("family", "m", "n", "s", "u", "comp", "least", F.size("new").alias("new"), "lost", "often", "gone")
+    return wanted.mapInArrow(run, ", ".join(f"{f} long" for f in FIELDS))
+
+
+FIELDS = ("key", "m", "n", "s", "u", "comp")
+
+
+def across(groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members of small groups that lie in different components and may share enough."""
+    x, y = groups.alias("x"), groups.alias("y")
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.m") < F.col("y.m")) & (F.col("x.comp") != F.col("y.comp"))
+    enough = (F.col("x.s") <= F.col("y.u")) & (F.col("y.s") <= F.col("x.u"))
+    like = 100 * F.least("x.n", "y.n") >= 80 * F.greatest("x.n", "y.n")
+    return x.join(y, meets & enough & like).select(F.col("x.m").alias("a"), F.col("y.m").alias("b")).distinct()
+
+
+def family_pairs(rows: DataFrame, comp: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From the families' deviations: pairs (a, b) still to be compared, and the links with later bases.
+
+    Large groups get bases of their own as long as that leaves fewer rows each time; else they are compared as small ones are.
+    """
+    pairs, links, most = [], [], None
+    while True:
+        found = keep(prefixes(keep(possible(keep(measured(rows, comp))))))
+        size = found.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        sized = keep(found.join(size.select("key", "size"), "key"))
+        large = sized.filter(F.col("size") > SMALL)
+        left = large.count()
+        if not left or (most and left >= most):
+            return [*pairs, keep(across(sized))], links
+        pairs.append(keep(across(sized.filter(F.col("size") <= SMALL))))
+        most = left
+        rows = keep(deviations(based(large.select("key", "m", "n"), "key"), texts))
+        links.append(rows.filter("linked").select("base", "m").toDF("a", "b"))
+
+
+def meetings(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that meet in small groups, by sizes and sketches possible; rows (key, m, n) of the large groups' doubtful classes."""
+    groups = keep(met(keyed(docs).repartition("key").sortWithinPartitions("key", "class")))
+    large = groups.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("m")).withColumn("odd", F.col("key").bitwiseAND(F.lit(1)).cast("int"))
+    spare = classes.select(F.col("class").alias("m"), "spare", "n")
+    doubtful = large.groupBy("m", "odd").agg(F.count("*").alias("hot")).join(spare, "m").filter(F.col("hot") >= F.element_at("spare", F.col("odd") + 1))
+    stays = large.join(doubtful.select("m", "odd", "n"), ["m", "odd"]).select("key", "m", "n")
+    stays = keep(stays.join(stays.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"))
+    few = stays.filter(F.col("size") <= HOT).select("key", "m")
+    more = few.withColumnRenamed("m", "a").join(few.withColumnRenamed("m", "b"), "key").filter("a < b").select("a", "b")
+    pairs = keep(near(groups.filter("NOT hot").select("a", "b").union(more).distinct(), classes))
+    drop_kept(groups)
+    return pairs, stays.filter(F.col("size") > HOT).select("key", "m", "n")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, text), one of each wanted class (class, rep, print)."""
+    found = keep(docs.join(small_side(wanted), F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("print") == print_of(F.col("text")))).select("class", "text"))
+    if found.groupBy("class").count().filter("count > 1").isEmpty():
+        return found
+    one = keep(found.groupBy("class").agg(F.min("text").alias("text")))  # repeated rows
+    drop_kept(found)
+    return one
+
+
+def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, print, n, class) of docs (doc_id, text), and (class, comp) of the classes that have links."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    table = keep(sets(docs))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("at")
+    classes = table.filter("n > 0").groupBy("class").agg(rep, F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"))
+    classes = keep(classes.select("class", F.col("at.doc_id").alias("rep"), F.col("at.print").alias("print"), "n", "spare", "sketch"))
+    pairs, large = meetings(docs, classes)
+    seen = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("m")).distinct()
+    texts = texts_of(docs, keep(seen.join(classes.select("class", "rep", "print"), "class")))
+    rows = keep(deviations(based(large, "base"), texts))
+    links = keep(verified(pairs, texts).union(rows.filter("linked").select("base", "m")))
+    comp = components(links)
+    later, more = family_pairs(rows, comp, texts)
+    for part in later:
+        more.append(verified(near(part, classes), texts))
+    for part in more:
+        links = links.union(part)
+    return table.select("doc_id", "print", "n", "class"), components(links)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row for each row.
 
     component_id is the smallest doc_id that links reach, the row's own included; null only where no row of the component
-    has a doc_id. Null, empty and blank texts have no shingles and no links. Shingle hashes of 64 bits stand for shingles.
+    has a doc_id. Null, empty and blank texts have no shingles and no links. Repeated doc_ids may stand for different texts:
+    each row links by its own text. doc_id may be of any type that has an order; other columns are ignored, whatever their
+    names. An empty table gives no rows. Shingle hashes of 64 bits stand for shingles.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    table = keep(sets(docs))
+    table, comp = linked_components(docs)
     full = table.filter("n > 0")
-    classes = keep(full.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("at"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")).select("class", F.col("at.doc_id").alias("rep"), F.col("at.print").alias("print"), "n", "spare", "sketch"))
-    groups = keep(met(keyed(docs).repartition("key").sortWithinPartitions("key", "class")))
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b", hamming(F.col("s_a"), F.col("s_b")).alias("apart"))
-    release(docs.sparkSession)
-    large = groups.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("m"))
-    large = large.withColumn("odd", F.col("key").bitwiseAND(F.lit(1)).cast("int"))
-    doubtful = large.groupBy("m", "odd").agg(F.count("*").alias("hot")).join(classes.select(F.col("class").alias("m"), "spare"), "m").filter(F.col("hot") >= F.element_at("spare", F.col("odd") + 1)).select("m", "odd")
-    large = keep(large.join(doubtful, ["m", "odd"]).select("key", "m"))
-    # a large group falls into parts of about HOT classes, other ones for each key, so that a class meets many others one by one
-    parts = large.join(large.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "m", F.pmod(F.xxhash64("key", "m"), F.ceil(F.col("size") / HOT)).alias("part"))
-    some = parts.groupBy("key", "part").agg(F.min("m").alias("a")).join(parts.withColumnRenamed("m", "b"), ["key", "part"]).filter("a <> b").select("a", "b")
-    pairs = keep(near(groups.filter("kind = 0").select("a", "b").union(some).distinct()))
-    first = keep(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
-    # the texts that any comparison may need, one of each class
-    members = groups.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("m")).union(large)
-    met_by = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("m")).distinct()
-    wanted = met_by.join(classes.select("class", "rep", "print"), "class")
-    texts = keep(docs.join(wanted, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("print") == F.xxhash64("text"))).select("class", "text"))
-    if texts.groupBy("class").count().filter("count > 1").limit(1).count():  # repeated rows
-        several = texts
-        texts = keep(several.groupBy("class").agg(F.min("text").alias("text")))
-        drop_kept(several)
-    release(docs.sparkSession)
-    links = keep(verified(first, texts))
-    comp = components(links)
+    by_class = full.groupBy("class").agg(F.min("doc_id").alias("rep")).join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    least = by_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = by_class.join(least, "comp").select("class", "component_id")
+    found = full.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.union(table.filter("n = 0").select("doc_id", "n", "doc_id"))
+
 
-    # round 2: between components only
-    def of(rows: DataFrame, c: str) -> DataFrame:
-        return rows.join(comp.select(F.col("class").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-
-    apart = of(of(pairs, "a"), "b").filter("c_a <> c_b").select("a", "b")
-    by_comp = keep(of(members, "m"))
-    counts = by_comp.groupBy("key", "c_m").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("c_m", F.struct("n", "c_m")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    several = keep(by_comp.join(main.select("key", "main"), "key").join(classes.select(F.col("class").alias("m"), "n", "sketch"), "m"))
-    few = several.filter("c_m <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("m", "c_m", "n", "sketch"))).alias("f")
-    all_ = several.alias("s")
-    meets = (F.col("f.key") == F.col("s.key")) & (F.col("x_c_m") != F.col("s.c_m")) & alike(F.col("x_n"), F.col("s.n"), F.col("x_sketch"), F.col("s.sketch"))
-    across = few.join(all_, meets).select(F.least("x_m", "s.m").alias("a"), F.greatest("x_m", "s.m").alias("b")).distinct()
-    ordered = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = keep(across.union(ordered).distinct().join(tried, ["a", "b"], "left_anti"))
-    every = keep(links.union(verified(second, texts)))
-    final = components(every)
-    named = classes.join(final, "class").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = classes.join(final.join(named, "comp"), "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = full.select("doc_id", "n", "class").join(by_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(table.filter("n = 0").select("doc_id", "n", "doc_id"))
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (rows without a doc_id only where all are), then text hash.
+
+    Rows without words are no one's duplicates and stay. Of repeated rows one stays, of those that differ in other columns
+    the smallest. Columns may have any names.
+    """
+    table, comp = linked_components(docs)
+    full = table.filter("n > 0").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    first = full.groupBy("comp").agg(F.min(order).alias("at"))
+    own = full.groupBy("comp", "doc_id", "print").agg(F.count("*").alias("k")).join(first, "comp")
+    stays = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("print") == F.col("at.print"))
+    own = keep(own.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "k", stays.alias("stays")))
+    same = F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__print") == print_of(docs["text"]))
+    left = docs.join(small_side(own.filter("NOT stays")), same, "left_anti")
+    again = own.filter("stays AND k > 1")
+    if again.isEmpty():
+        return left
+    several = docs.join(small_side(again), same, "left_semi")
+    one = several.groupBy(F.col("doc_id").alias("__id"), print_of(F.col("text")).alias("__print")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return left.join(small_side(again), same, "left_anti").unionByName(one.select("__row.*"))
