@@ -34,14 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each component of the Jaccard join; rows without a doc_id all stay."""
-    found = keep(parity_join.jaccard_components(docs))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    kept = found.filter(F.col("doc_id") == F.col("component_id"))
-    if kept.count() == kept.distinct().count():
-        return left
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    """Keeps one row of each component of the Jaccard join, that of the smallest doc_id; rows without words all stay."""
+    return parity_join.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
