@@ -21,23 +21,34 @@ from tallyhire.llm.common import keep, ship
 BINS = 1024
 #: Rows of a block: candidates, queries.
 CANDIDATES, QUERIES = 16384, 2048
+#: Scaled components beyond this take no part: doubles no longer hold each integer there.
+LARGEST = 1 << 53
+#: Scores beyond 64 bits become the largest or smallest of these.
+TOP = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>, dim) of the rows that take part: vectors, ids and components not null, all components finite."""
+    """(id, v array<long>, dim) of the rows that take part: vectors, ids and components not null, all components finite and at most LARGEST."""
     x = F.col(vector_col)
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(F.lit(float(scale)) * c.cast("double")) <= F.lit(float(LARGEST))))
     return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(finite).select(
         F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"), F.size(x).alias("dim"),
     )
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in double precision where no sum can pass 2^53, else in 64-bit integers."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if bound < 2**53:
+    """Exact integer inner products: in double precision where no sum can pass 2^53, else in 64-bit integers.
+
+    The few pairs of vectors so large that a sum could pass 2^62 are computed with Python's integers and cut to 64 bits.
+    """
+    large = [np.abs(x).max(axis=1, initial=0).astype(np.float64) for x in (q, c)]
+    bound = np.outer(*large) * q.shape[1]
+    if bound.max(initial=0) < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    exact = q @ c.T
+    for i, j in zip(*np.nonzero(bound >= 2**62), strict=True):
+        exact[i, j] = max(-TOP, min(TOP, sum(int(a) * int(b) for a, b in zip(q[i], c[j], strict=True))))
+    return exact
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -51,8 +62,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
 
     Components become floor(scale * x). A query's own id is no candidate for it. Only vectors of the query's dimension
     are; null vectors, and those with null or non-finite components, take no part. A query row that is repeated counts
-    once (of different vectors under one query id, the smallest); repeated candidate rows each count. Empty tables give
-    no rows.
+    once (of different vectors under one query id, the smallest); repeated candidate rows each count. Vectors with scaled
+    components beyond LARGEST take no part either, and scores beyond 64 bits become the largest or smallest that fit. Other
+    columns are ignored, whatever their names. Empty tables give no rows.
     """
     spark = candidates.sparkSession
     ship(spark)
@@ -65,7 +77,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     parts, groups = max(8, -(-n_c // CANDIDATES)), -(-n_q // QUERIES)
     # both sides' keys must be of one type: 64-bit hashes and sequences, as an int and a long are dealt to different partitions
     dealt = c.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts).cast("long"))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    limit = int((m_q * m_c) ** 0.5) + 2  # no score is beyond it, by Cauchy and Schwarz
+    limit = min(TOP, int((m_q * m_c) ** 0.5 * (1 + 1e-9)) + 2)  # no score is beyond it, by Cauchy and Schwarz
     width = 1
     while width * BINS < 2 * limit + 1:
         width *= BINS
@@ -93,8 +105,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         def run(qs: pa.Table, cs: pa.Table) -> pa.Table:
             out = [[], [], []]
             for own, lo, need, _, s in blocks(qs, cs):
-                inside = (s >= lo[:, None]) & (s - lo[:, None] < BINS * width)
-                bins = np.where(inside, (s - lo[:, None]) // width, -1)
+                above = (s.view(np.uint64) - lo.view(np.uint64)[:, None]) // np.uint64(width)  # right where s >= lo, without overflow
+                bins = np.where((s >= lo[:, None]) & (above < BINS), above.astype(np.int64), -1)
                 n = min(k, s.shape[1])
                 least = np.partition(bins, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
                 i, j = np.nonzero(bins >= np.maximum(least, 0)[:, None])
@@ -112,7 +124,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         above = bins.withColumn("upto", F.sum("n").over(down)).join(state, "id").filter(F.col("upto") >= F.col("need"))
         chosen = above.groupBy("id").agg(F.max_by(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need")), "bin").alias("x"))
         # a query with fewer candidates than it needs keeps its lowest bound and takes them all
-        state = keep(state.join(chosen, "id", "left").select("id", F.when(F.col("x").isNull(), F.col("lo")).otherwise(F.col("lo") + F.col("x.bin") * width).alias("lo"), F.coalesce("x.need", "need").alias("need")))
+        state = keep(state.join(chosen, "id", "left").select("id", F.when(F.col("x").isNull(), F.col("lo")).otherwise((F.col("lo").cast("decimal(38,0)") + F.col("x.bin") * F.lit(width).cast("decimal(20,0)")).cast("long")).alias("lo"), F.coalesce("x.need", "need").alias("need")))
         if width == 1:
             break
         width //= BINS
