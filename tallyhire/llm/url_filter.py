@@ -8,7 +8,9 @@ the few rules found. Urls that no rule of either kind fits get the default verdi
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -87,25 +89,52 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     ))
 
 
-def mine(transactions: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3, max_rules: int = 500) -> list[dict]:
-    """Rules {tokens, verdict, confidence, support} from (tokens, verdict), best first, at most max_rules of them.
+def lone_tokens(labelled: DataFrame, least: int) -> tuple[list[dict], dict[str, str]]:
+    """What single tokens of (tokens, verdict) tell: rules of tokens with one verdict only, and which frequent tokens always go together.
 
-    FP-growth's frequent sets are at most 1 / min_support for each token of the longest url, so they stay few. Sets with a
-    verdict give the rules; a rule is dropped if a rule on part of its tokens with the same verdict is as sure.
+    A token that occurs with one verdict only is a rule that no rule on more tokens can better. Tokens that occur in the
+    same rows are as one item: {token: the least of them}. Rows are told by two hashes that are summed up by token. At
+    most (tokens of a url) / min_support tokens are frequent, however many rows there are.
     """
-    items = transactions.filter(F.col("verdict").isNotNull()).select(F.array_union("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
+    place = F.xxhash64(F.array_sort("tokens"), "verdict"), F.xxhash64(F.array_sort("tokens"), "verdict", F.lit(1))
+    rows = labelled.select("verdict", *(h.cast("decimal(38,0)").alias(f"h{k}") for k, h in enumerate(place)), F.explode("tokens").alias("token"))
+    stats = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("verdict").alias("lo"), F.max("verdict").alias("hi"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
+    found = sorted(stats.filter(F.col("n") >= least).collect(), key=lambda r: r["token"])
+    first: dict[tuple, str] = {}
+    same = {r["token"]: first.setdefault((r["n"], r["h0"], r["h1"]), r["token"]) for r in found}
+    pure = [{"tokens": [r["token"]], "verdict": r["lo"], "confidence": 1.0, "support": r["n"]} for r in found if r["lo"] == r["hi"]]
+    return pure, same
+
+
+def mine(transactions: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> list[dict]:
+    """All rules {tokens, verdict, confidence, support} from (tokens, verdict), best first, that support and confidence leave.
+
+    A rule is dropped if one on part of its tokens with the same verdict is as sure. FP-growth sees neither tokens that
+    are rules by themselves nor more than one of the tokens that always go together, so that long paths shared by many
+    urls don't make all their subsets frequent; a rule on such a token stands for a rule on each of them.
+    """
+    labelled = transactions.filter(F.col("verdict").isNotNull()).select(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("tokens"), "verdict")
+    least = max(1, math.ceil(labelled.count() * min_support))
+    pure, same = lone_tokens(labelled, least)
+    alike: dict[str, list[str]] = {}
+    for token, lead in same.items():
+        alike.setdefault(lead, []).append(token)
+    gone = {r["tokens"][0] for r in pure}
+    leads = sorted(t for t in alike if t not in gone)
+    kept = F.array_intersect("tokens", literal(leads, "array<string>"))
+    items = labelled.select(F.array_union(kept, F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    sets = model.freqItemsets.filter(F.size("items") <= max_tokens + 1).withColumn("head", F.filter("items", lambda x: x.startswith(VERDICT))).withColumn("tokens", F.array_sort(F.filter("items", lambda x: ~x.startswith(VERDICT))))
-    plain = sets.filter((F.size("head") == 0)).select("tokens", F.col("freq").alias("all"))
+    sets = model.freqItemsets.withColumn("head", F.filter("items", lambda x: x.startswith(VERDICT))).withColumn("tokens", F.array_sort(F.filter("items", lambda x: ~x.startswith(VERDICT))))
+    plain = sets.filter(F.size("head") == 0).select("tokens", F.col("freq").alias("all"))
     heads = sets.filter((F.size("head") == 1) & (F.size("tokens") > 0)).select("tokens", F.expr(f"substring(head[0], {len(VERDICT) + 1})").alias("verdict"), "freq")
     rules = heads.join(plain, "tokens").withColumn("confidence", F.col("freq") / F.col("all")).filter(F.col("confidence") >= min_confidence)
-    best = rules.orderBy(F.desc("confidence"), F.desc("freq"), F.size("tokens"), "tokens", "verdict").limit(max_rules).collect()
-    kept: list[dict] = []
-    for r in sorted(best, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        part = [k for k in kept if k["verdict"] == r["verdict"] and set(k["tokens"]) < set(r["tokens"])]
-        if all(k["confidence"] < r["confidence"] for k in part):
-            kept.append({"tokens": list(r["tokens"]), "verdict": r["verdict"], "confidence": r["confidence"], "support": r["freq"]})
-    return sorted(kept, key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"], r["verdict"]))
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), bits -> filter(tokens, (t, k) -> (shiftright(bits, k) & 1) = 1))")
+    parts = rules.filter(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode(subsets).alias("part"))
+    better = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("by_part"))
+    worse = parts.join(better, ["part", "verdict"]).filter("by_part >= confidence").select("tokens", "verdict").distinct()
+    best = [r.asDict() for r in rules.join(worse, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", F.col("freq").alias("support")).collect()]
+    each = pure + [r | {"tokens": sorted(x)} for r in best for x in itertools.product(*(alike[t] for t in r["tokens"]))]
+    return sorted(each, key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"], r["verdict"]))
 
 
 def mined_verdict(tokens: Column, rules: list[dict]) -> Column:
@@ -131,7 +160,8 @@ def judge(pages: DataFrame, rules: list[HostRule], id_col: str = "page_id", url_
     """(id, host, path, rule, verdict, mined) of every url; mined is the mined rules' verdict, where one fires.
 
     Null urls, and those without ://, have empty host and path and the default verdict, if no rule fits the empty host.
-    Repeated rows and null ids are kept as they come. Nothing but the mining shuffles. An empty table gives no rows.
+    Repeated rows and null ids are kept as they come; other columns are dropped, whatever their names. Nothing but the
+    mining shuffles. An empty table gives no rows.
     """
     url = F.col(url_col)
     cut = pages.select(F.col(id_col), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
