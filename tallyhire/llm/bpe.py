@@ -5,16 +5,18 @@ bytes is a certain cut: what is left and right of it merges independently. Two k
 
 * In a whole text: before an ASCII white-space byte, where the pair (previous byte, white space) is in no token. The
   pre-tokenizer's pattern agrees with these cuts: a pre-token has white space only at its start, or only white space;
-  of a white-space run it splits off the last character, which a cut further left does not change.
-* In a pre-token: between any two bytes whose pair is in no token. Fragments of a pre-token are merged as they are,
-  without the pattern, so any such cut holds.
+  of a white-space run it splits off the last character, which a cut further left does not change. So the stretches
+  between these cuts, most of which repeat, go through the pattern on their own.
+* In a pre-token: between any two bytes whose pair is in no token.
 
-Fragments repeat, so of each unit of UNIT_BYTES every distinct one is encoded once and its ids are gathered.
+The fragments between all cuts are merged one by one, each distinct one once in a unit of UNIT_BYTES, and their ids are
+put together again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -26,7 +28,6 @@ from pyspark.sql import DataFrame
 
 from tallyhire.llm.common import ship
 
-LONG_FRAGMENT = 256
 UNIT_BYTES = 16 << 20
 
 
@@ -65,78 +66,73 @@ class ForcedBoundaryBPE:
         self.pattern = regex.compile(pattern)
         core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: i for i, b in self.token_bytes.items()}, special_tokens={})
         self._merge = core._encode_single_piece
-        self._plain = core.encode_ordinary
         self.token_bytes |= {i: t for t, i in self.special.items()}
         self._special_pattern = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")")
         self._table = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
         self._lengths = np.asarray([len(t) for t in self._table], np.int64)
 
-    def _cut(self, data: bytes, table: np.ndarray) -> list[bytes]:
-        a = np.frombuffer(data, np.uint8)
-        at = np.flatnonzero(table[(a[:-1].astype(np.uint16) << 8) | a[1:]]) + 1
-        ends = at.tolist()
-        return [data[i:j] for i, j in zip([0, *ends], [*ends, len(data)], strict=True)]
-
-    def _encode_fragment(self, fragment: bytes) -> list[int]:
-        """The ids of one fragment of a text; a long one is cut inside its pre-tokens, too."""
-        text = fragment.decode()
-        if len(fragment) <= LONG_FRAGMENT:
-            return self._plain(text)
-        ids: list[int] = []
-        for pre in self.pattern.findall(text):
-            for part in self._cut(pre.encode(), self.never):
-                ids += self._merge(part)
-        return ids
-
-    def _encode_distinct(self, parts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of all fragments one after the other, in some order; each one's first place there, and its number of ids.
-
-        Fragments that meet at a certain cut are encoded in one call; the tokens' byte lengths tell them apart.
+    @staticmethod
+    def _distinct(data: np.ndarray, cut: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+        """The distinct pieces of data between cuts (a flag before each byte), the number of each piece, and where pieces begin."""
+        at = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        return coded.dictionary, np.asarray(coded.indices), at
+
+    @staticmethod
+    def _gather(flat: np.ndarray, count: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of flat, whose lengths are count, in the order of code; and where each of them begins, with the end."""
+        start, n = np.cumsum(count) - count, count[code]
+        to = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(start[code] - to[:-1], n) + np.arange(to[-1])], to
+
+    def fragments(self, stretches: pa.BinaryArray, usual: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, flags of the cuts before each): the stretches one after the other, cut at their pre-tokens and at all never pairs.
+
+        The first `usual` ones are ASCII and meet at cuts of a whole text, so the pattern goes over all of them at once.
         """
-        at = np.frombuffer(parts.buffers()[1], np.int32)[: len(parts) + 1].astype(np.int64)
-        data = np.frombuffer(parts.buffers()[2], np.uint8)
-        size = np.diff(at)
-        first, last = data[at[:-1]], data[at[1:] - 1]
-        # usual: begins with a blank that may follow, and ends with a byte that a blank may follow
-        usual = (first == 32) & self.text_cut[(last.astype(np.uint16) << 8) | 32] & (size <= LONG_FRAGMENT)
-        together = parts.filter(pa.array(usual))
-        start, count, flat, total = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64), [], 0
-        where, ends = np.flatnonzero(usual), np.frombuffer(together.buffers()[1], np.int32)[: len(together) + 1].astype(np.int64)
-        joined = bytes(together.buffers()[2] or b"")
-        lo = 0
-        while lo < len(where):
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
-            ids = np.asarray(self._plain(joined[ends[lo] : ends[hi]].decode()), np.uint32)
-            to = np.searchsorted(np.cumsum(self._lengths[ids]), ends[lo + 1 : hi + 1] - ends[lo]) + 1
-            n = np.diff(to, prepend=0)
-            start[where[lo:hi]], count[where[lo:hi]] = total + to - n, n
-            flat.append(ids)
-            total += len(ids)
-            lo = hi
-        for k in np.flatnonzero(~usual).tolist():
-            ids = np.asarray(self._encode_fragment(data[at[k] : at[k + 1]].tobytes()), np.uint32)
-            start[k], count[k] = total, len(ids)
-            flat.append(ids)
-            total += len(ids)
-        return np.concatenate(flat), start, count
+        ends = np.frombuffer(stretches.buffers()[1], np.int32)[: len(stretches) + 1]
+        data = np.frombuffer(stretches.buffers()[2], np.uint8)[: ends[-1]]
+        find = self.pattern.findall
+        sizes = [*map(len, find(data[: ends[usual]].tobytes().decode()))]
+        for stretch in stretches[usual:].to_pylist():
+            sizes += (len(p.encode()) for p in find(stretch.decode()))
+        cut = np.zeros(len(data), bool)
+        cut[1:] = self.never[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        cut[np.cumsum([0, *sizes[:-1]])] = True
+        return data, cut
+
+    def _encode_distinct(self, stretches: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all stretches one after the other in some order, the number of each one's, and each stretch's place there."""
+        ends = np.frombuffer(stretches.buffers()[1], np.int32)[: len(stretches) + 1]
+        data = np.frombuffer(stretches.buffers()[2], np.uint8)
+        wide = np.concatenate([[0], np.cumsum(data[: ends[-1]] > 127)])[ends]
+        first, last = data[ends[:-1]], data[ends[1:] - 1]
+        usual = (first == 32) & self.text_cut[(last.astype(np.uint16) << 8) | 32] & (np.diff(wide) == 0)
+        order = np.argsort(~usual, kind="stable")
+        stretches = stretches.take(pa.array(order))
+        data, cut = self.fragments(stretches, int(usual.sum()))
+        parts, code, at = self._distinct(data, cut)
+        merged = [self._merge(p) for p in parts.to_pylist()]
+        count = np.fromiter(map(len, merged), np.int64, len(merged))
+        flat = np.fromiter(itertools.chain.from_iterable(merged), np.uint32, int(count.sum()))
+        ids, to = self._gather(flat, count, code)
+        ends = np.frombuffer(stretches.buffers()[1], np.int32)[: len(stretches) + 1]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return ids, np.diff(to[np.searchsorted(at, ends)]), place
 
     def _encode_buffer(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that lie one after the other in data, each beginning at one of starts; ids and their ends."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = self.text_cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]
-        cut[starts] = True
-        cut[len(data)] = True
-        at = np.flatnonzero(cut).astype(np.int32)
-        coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        flat, start, count = self._encode_distinct(coded.dictionary)
-        code = np.asarray(coded.indices)
-        n = count[code]
-        to = np.cumsum(n)
-        index = np.repeat(start[code] - (to - n), n) + np.arange(int(to[-1]))
-        before = np.searchsorted(at, np.append(starts[1:], len(data)))  # fragments up to each text's end
-        return flat[index], np.concatenate([[0], to])[before]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = self.text_cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        cut[starts[starts < len(data)]] = True
+        cut[0] = True
+        stretches, code, at = self._distinct(data, cut)
+        flat, count, place = self._encode_distinct(stretches)
+        ids, to = self._gather(flat, count, place[code])
+        return ids, to[np.searchsorted(at, np.append(starts[1:], len(data)))]
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The uint32 ids of each whole text; null is empty. The strings of special tokens are those tokens."""
@@ -195,7 +191,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """(id, ids array<int>, decoded string) of every text.
 
     Null and empty texts have no ids and decode to ''. Repeated rows and null ids are kept as they come; other columns
-    are dropped. Row-local: nothing is shuffled.
+    are dropped, whatever their names. An empty table gives no rows. Row-local: nothing is shuffled.
     """
     ship(docs.sparkSession)
 
