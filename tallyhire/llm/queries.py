@@ -101,8 +101,8 @@ def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     field = toxicity_crf.train(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity_crf.score(docs, field)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    scored = toxicity_crf.score(docs, field, spans="spans")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:

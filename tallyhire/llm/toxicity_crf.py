@@ -1,9 +1,13 @@
 """Toxicity: a linear-chain conditional random field that tags toxic tokens.
 
 The field has two states (0 clean, 1 toxic). A token's features are its word, the word's prefixes and suffixes and its
-shape; neighbours act through the transitions. Chains are the lines of a text, cut after CHAIN tokens. Forward-backward
-marginals give each token a probability; a text's score is a logistic function of them, its spans are the offsets of the
-tokens above a threshold.
+shape; neighbours act through the transitions. Chains are the lines of a text, whole. Forward-backward marginals give each
+token a probability; a text's score is a logistic function of them, its spans are the offsets of the tokens above a
+threshold.
+
+Messages pass along all chains side by side, a position at a time. Chains longer than STEP go in blocks: what a block does
+to any message that enters it is a 2 x 2 matrix, so a pass over the matrices gives each block its messages, and all blocks
+go side by side like chains.
 
 Token labels come from document labels: a token of a toxic sample text is labelled toxic where its word is much more
 frequent in toxic texts of the sample than in clean ones.
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyhire.llm.common import ship, training_rows
 
-CHAIN = 64
+STEP = 64
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7)
 SUFFIXES = (3, 4)
@@ -55,62 +59,102 @@ def chains(data: bytes) -> tuple[list[bytes], np.ndarray]:
     sizes: list[int] = []
     for line in data.split(b"\n"):
         found = line.split()
-        words += found
-        n = len(found)
-        sizes += [CHAIN] * (n // CHAIN) + [n % CHAIN] * (n % CHAIN > 0)
+        if found:
+            words += found
+            sizes.append(len(found))
     return words, np.asarray(sizes, np.int64)
 
 
-def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) of each token; the expected number of each transition over all chains.
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def side_by_side(starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each position the places of the blocks' tokens there; blocks come longest first."""
+    return [starts[: int(np.searchsorted(-sizes, -t, "left"))] + t for t in range(int(sizes[0]) if len(sizes) else 0)]
+
 
-    emit: score of state 1 against state 0 of each token; chains of the given sizes follow each other. All chains go
-    forward and backward side by side, a position at a time, longest first.
+def block_messages(e: np.ndarray, m: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, entering, returning) of the chains' blocks: the messages that enter each from the left and from the right."""
+    n = -(-sizes // STEP)
+    chain = np.repeat(np.arange(len(sizes)), n)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)
+    starts = (np.cumsum(sizes) - sizes)[chain] + nth * STEP
+    lengths = np.minimum(sizes[chain] - nth * STEP, STEP)
+    entering, returning = np.ones((len(chain), 2)), np.ones((len(chain), 2))
+    long = np.flatnonzero(n[chain] > 1)
+    if not len(long):
+        return starts, lengths, entering, returning
+    long = long[np.argsort(-lengths[long], kind="stable")]
+    through = np.empty((len(long), 2, 2))  # row x: what leaves a block's last token when only state x enters
+    a = None
+    for t, at in enumerate(side_by_side(starts[long], lengths[long])):
+        k = len(at)
+        b = np.broadcast_to(np.eye(2), (k, 2, 2)) if t == 0 else a[:k] @ m
+        a = b * np.stack([np.ones(k), e[at]], 1)[:, None, :]
+        a = a / a.sum(axis=(1, 2), keepdims=True)
+        through[:k] = a
+    of = dict(zip(long.tolist(), through.tolist(), strict=True))
+    (m00, m01), (m10, m11) = m.tolist()
+    order = np.sort(long).tolist()
+    u0 = u1 = 1.0
+    for j in order:
+        if nth[j] == 0:
+            u0 = u1 = 1.0
+        entering[j] = u0, u1
+        (a, b), (c, d) = of[j]
+        x, y = u0 * a + u1 * c, u0 * b + u1 * d
+        u0, u1 = x * m00 + y * m10, x * m01 + y * m11
+        u0, u1 = u0 / (u0 + u1), u1 / (u0 + u1)
+    for j in reversed(order):
+        if nth[j] == n[chain[j]] - 1:
+            u0 = u1 = 1.0
+        returning[j] = u0, u1
+        (a, b), (c, d) = of[j]
+        x, y = a * u0 + b * u1, c * u0 + d * u1
+        u0, u1 = m00 * x + m01 * y, m10 * x + m11 * y
+        u0, u1 = u0 / (u0 + u1), u1 / (u0 + u1)
+    return starts, lengths, entering, returning
+
+
+def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(state 1) of each token; the expected number of each transition over all chains, if asked for.
+
+    emit: score of state 1 against state 0 of each token; chains of the given sizes follow each other.
     """
     if not len(emit):
         return np.empty(0), np.zeros((2, 2))
-    order = np.argsort(-sizes, kind="stable")
-    starts = (np.cumsum(sizes) - sizes)[order]
-    sizes = sizes[order]
-    active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))]  # chains longer than t
-    m = np.exp(trans)
-    e = np.exp(np.clip(emit, -30, 30))
-    forward = np.empty((len(emit), 2))
+    m, e = np.exp(trans), np.exp(np.clip(emit, -30, 30))
+    sizes = np.asarray(sizes)[np.asarray(sizes) > 0]
+    starts, lengths, entering, returning = block_messages(e, m, sizes)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths, entering, returning = starts[order], lengths[order], entering[order], returning[order]
+    places = side_by_side(starts, lengths)
+    forward, back = np.empty((len(emit), 2)), np.empty((len(emit), 2))
     a = None
-    for t, k in enumerate(active):
-        at = starts[:k] + t
-        if t == 0:
-            b0, b1 = np.ones(k), e[at]
-        else:
-            a = a[:k]
-            b0 = a[:, 0] * m[0, 0] + a[:, 1] * m[1, 0]
-            b1 = (a[:, 0] * m[0, 1] + a[:, 1] * m[1, 1]) * e[at]
-        s = b0 + b1
-        a = np.stack([b0 / s, b1 / s], 1)
+    for t, at in enumerate(places):
+        a = (entering if t == 0 else a[: len(at)] @ m) * 1.0
+        a[:, 1] *= e[at]
+        a = unit(a)
         forward[at] = a
-    p = np.empty(len(emit))
-    count = np.zeros((2, 2))
-    back = np.ones((len(sizes), 2))
-    for t in range(len(active) - 1, -1, -1):
-        k = active[t]
-        at = starts[:k] + t
-        if t + 1 < len(active):
-            j = active[t + 1]
-            nxt = starts[:j] + t + 1
-            right = np.stack([back[:j, 0], back[:j, 1] * e[nxt]], 1)
-            b0 = m[0, 0] * right[:, 0] + m[0, 1] * right[:, 1]
-            b1 = m[1, 0] * right[:, 0] + m[1, 1] * right[:, 1]
-            left = forward[starts[:j] + t]
-            z = left[:, 0] * b0 + left[:, 1] * b1
-            for x in (0, 1):
-                for y in (0, 1):
-                    count[x, y] += (left[:, x] * m[x, y] * right[:, y] / z).sum()
-            s = b0 + b1
-            back[:j] = np.stack([b0 / s, b1 / s], 1)
-        f = forward[at]
-        one = f[:, 1] * back[:k, 1]
-        p[at] = one / (f[:, 0] * back[:k, 0] + one)
-    return p, count
+    now = unit(returning)
+    for t in range(len(places) - 1, -1, -1):
+        at = places[t]
+        if t + 1 < len(places):
+            j = len(places[t + 1])
+            right = now[:j].copy()
+            right[:, 1] *= e[places[t + 1]]
+            now[:j] = unit(right @ m.T)
+        back[at] = now[: len(at)]
+    p = unit(forward * back)[:, 1]
+    if not transitions:
+        return p, np.zeros((2, 2))
+    inner = np.ones(len(emit), bool)  # tokens with a successor in their chain
+    inner[np.cumsum(sizes) - 1] = False
+    left = np.flatnonzero(inner)
+    right = back[left + 1] * np.stack([np.ones(len(left)), e[left + 1]], 1)
+    both = forward[left][:, :, None] * m * right[:, None, :]
+    return p, (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 @dataclass
@@ -140,7 +184,7 @@ class Field:
         emit = [self.emissions(w, cache) for w, _ in cut]
         if not cut:
             return []
-        p, _ = marginals(np.concatenate(emit), np.concatenate([s for _, s in cut]), self.trans)
+        p, _ = marginals(np.concatenate(emit), np.concatenate([s for _, s in cut]), self.trans, transitions=False)
         return np.split(p, np.cumsum([len(e) for e in emit])[:-1])
 
     def score(self, p: np.ndarray) -> float:
@@ -174,8 +218,8 @@ def indicative(texts: list[str], y: np.ndarray, least: int = 4, lift: float = 25
 def fit(texts: list[str], y: np.ndarray, rounds: int = 40, rate: float = 0.5, decay: float = 1e-5, per_label: int = 1200) -> Field:
     """Labels tokens (see above), maximises the chains' conditional likelihood with AdaGrad, then calibrates on the texts.
 
-    All texts tell which words are toxic; the first per_label texts of each label make the chains. Without texts of both
-    labels, every score is the share of toxic texts (0.5 without any).
+    All texts tell which words are toxic; the first per_label texts of each label, in the order given (train's is that of
+    a hash), make the chains. Without texts of both labels, every score is the share of toxic texts (0.5 without any).
     """
     mean = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5
     field = Field(-5.0, np.zeros(1 << BITS), np.zeros((2, 2)), np.asarray([np.log(mean / (1 - mean)), 0.0, 0.0]))
@@ -218,7 +262,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 40, rate: float = 0.5, de
         trans = trans + 0.1 * rate * dt / np.sqrt(gt)
         trans[0, 0] = 0.0
     field = Field(bias, weights, trans, field.calibration)
-    p, _ = marginals((bias + weights[feats].sum(1))[tok], size, trans)
+    p, _ = marginals((bias + weights[feats].sum(1))[tok], size, trans, transitions=False)
     x = np.stack([summary(v) for v in np.split(p, ends[1:-1])])
     c = np.asarray([-3.0, 3.0, 1.0])
     for _ in range(400):  # ridge logistic regression by damped Newton steps
@@ -232,11 +276,38 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 40, rate: float = 0.5, de
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", max_rows: int = 8000, max_chars: int = 20_000, **options) -> Field:
-    """A field fitted on at most max_rows labelled texts of at most max_chars characters each; what is collected is bounded by both."""
+def excerpt(text: str, most: int) -> str:
+    """A text of at most `most` words as it is; of a longer one, windows of up to 64 words of its lines, drawn over the whole text by a hash."""
+    windows = []
+    for line in text.split("\n"):
+        words = line.split()
+        windows += [" ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
+    if sum(w.count(" ") + 1 for w in windows) <= most:
+        return text
+    kept, left = set(), most
+    for k in sorted(range(len(windows)), key=lambda k: (crc32(f"{k} {windows[k]}".encode("utf-8", "replace")), k)):
+        left -= windows[k].count(" ") + 1
+        if left < 0:
+            break
+        kept.add(k)
+    return "\n".join(windows[k] for k in sorted(kept))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", max_rows: int = 8000, max_words: int = 4000, **options) -> Field:
+    """A field fitted on at most max_rows labelled texts (see training_rows), of each at most max_words words (see excerpt).
+
+    What the driver collects is bounded by both. doc_id may be of any type; of repeated ids one label and one text count.
+    """
+    ship(docs.sparkSession)
     sample = training_rows(docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")), labels, label, max_rows)
-    found = sample.filter(F.length("text") <= max_chars).select("doc_id", "y", "text").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = pa.array([excerpt(t, max_words) for t in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], short], ["place", "y", "text"])
+
+    found = sample.select(F.xxhash64("doc_id").alias("place"), "y", "text").mapInArrow(run, "place long, y int, text string").toArrow()
+    found = found.sort_by([("place", "ascending"), ("text", "ascending")])
     return fit(found["text"].to_pylist(), np.asarray(found["y"].to_pylist(), np.float64), **options)
 
 
