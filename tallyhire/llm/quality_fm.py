@@ -120,23 +120,31 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_metadata: in
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", metadata: tuple[str, ...] = (), max_rows: int = 6000, **options) -> FactorisationMachine:
-    """A machine fitted on at most max_rows labelled rows (see training_rows); only their features go to the driver."""
+    """A machine fitted on at most max_rows labelled rows (see training_rows); only their features go to the driver.
+
+    doc_id may be of any type; of repeated ids one label and one text count. Null texts are as empty ones, a null or
+    non-finite datum has a bin of its own. Without labelled rows, every score is 0.5.
+    """
     ship(docs.sparkSession)
     sample = training_rows(docs.select("doc_id", F.col(text_col).alias("text"), *metadata), labels, label, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py(), tuple(m)) for t, *m in zip(batch.column(2), *([x.as_py() for x in batch.column(k)] for k in range(3, batch.num_columns)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))], ["doc_id", "y", "index", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))], ["place", "y", "index", "value"])
 
-    found = sample.select("doc_id", "y", "text", *(F.col(c).cast("double") for c in metadata)).mapInArrow(run, "doc_id long, y int, index array<int>, value array<float>").toArrow()
-    found = found.sort_by([("doc_id", "ascending")]).slice(0, max_rows).combine_chunks()
+    found = sample.select(F.xxhash64("doc_id").alias("place"), "y", "text", *(F.col(c).cast("double") for c in metadata))
+    found = found.mapInArrow(run, "place long, y int, index array<int>, value array<float>").toArrow()
+    found = found.sort_by([("place", "ascending")]).combine_chunks()
     rows = list(zip((x.values.to_numpy() for x in found["index"]), (x.values.to_numpy() for x in found["value"]), strict=True))
     return fit(rows, np.asarray(found["y"], np.float32), len(metadata), **options)
 
 
 def score(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", metadata: tuple[str, ...] = (), out: str = "score") -> DataFrame:
-    """docs with a score between 0 and 1 for every text (rounded to 6 places), null and empty ones too. Row-local; all columns stay."""
+    """docs with a score between 0 and 1 for every text (rounded to 6 places), null and empty ones too.
+
+    Row-local; all columns and repeated rows stay. A column of docs that has the new one's name is an error.
+    """
     ship(docs.sparkSession)
     names = docs.columns
     if out in names:
