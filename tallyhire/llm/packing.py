@@ -11,6 +11,7 @@ The program's size depends on the capacity only. Spark tokenizes, counts, ranks
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -50,19 +51,23 @@ def price(duals: np.ndarray, units: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), pattern
 
 
-def column_generation(units: np.ndarray, demand: np.ndarray, room: int, most: int = 6000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and how often each is used, possibly a fraction, so that demand is met exactly with few sequences.
+def column_generation(units: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows), how often each is used, possibly a fraction, so that demand is met exactly, and a bound no plan can beat.
 
-    Revised simplex, begun with patterns of one class each. Stopping after `most` columns leaves a feasible plan.
+    Revised simplex, begun with patterns of one class each. It ends when no pattern is worth more than a sequence, or when
+    the duals prove that no plan saves one sequence, or the share `gap` of all (0: the optimum). The basis is inverted
+    anew now and then, so that rounding errors don't add up.
     """
     m = len(units)
     patterns = np.diag(room // units).astype(np.float64)  # columns of the basis
     inverse = np.diag(1.0 / (room // units))
     x = inverse @ demand
-    for _ in range(most):
+    bound = 0.0
+    for nth in itertools.count(1):
         duals = inverse.sum(0)
         value, pattern = price(duals, units, room)
-        if value <= 1 + 1e-7:
+        bound = max(bound, float(duals @ demand) / max(1.0, value))  # duals / value are prices that no pattern exceeds
+        if value <= 1 + 1e-7 or (gap and x.sum() - bound < max(1.0, gap * bound)):
             break
         u = inverse @ pattern
         positive = u > 1e-9
@@ -71,20 +76,28 @@ def column_generation(units: np.ndarray, demand: np.ndarray, room: int, most: in
         ratio = np.full(m, np.inf)
         ratio[positive] = np.maximum(x[positive], 0) / u[positive]
         r = int(ratio.argmin())
+        patterns[:, r] = pattern
+        if nth % 200 == 0:
+            inverse = np.linalg.inv(patterns)
+            x = inverse @ demand
+            continue
         x = x - ratio[r] * u
         x[r] = ratio[r]
         inverse[r] /= u[r]
         u[r] = 0
         inverse -= np.outer(u, inverse[r])
-        patterns[:, r] = pattern
-    return patterns.T.astype(np.int64), np.maximum(x, 0)
+    return patterns.T.astype(np.int64), np.maximum(x, 0), bound
 
 
 @dataclass
 class Plan:
-    """For each class, ascending rank segments: first rank, first sequence, items of the class in a sequence, first slot."""
+    """For each class, ascending rank segments: first rank, first sequence, items of the class in a sequence, first slot.
+
+    bound: no plan for the rounded lengths has fewer sequences.
+    """
 
     n_sequences: int
+    bound: float = 0.0
     segments: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
 
 
@@ -95,7 +108,7 @@ def plan(histogram: dict[int, int], room: int) -> Plan:
     out = Plan(0)
     if not len(units):
         return out
-    patterns, uses = column_generation(units, demand.astype(np.float64), room)
+    patterns, uses, out.bound = column_generation(units, demand.astype(np.float64), room)
     whole: list[tuple[np.ndarray, int]] = []
     left = demand.copy()
     for p, n in sorted(zip(patterns, uses, strict=True), key=lambda z: -z[1]):
@@ -145,7 +158,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     Every document, a null or empty one too (its end id alone), has pieces that cover its ids once. Repeated rows and
-    null ids are packed like others. A sequence holds at most capacity ids, without gaps. No documents: no rows.
+    null ids are packed like others; other columns are dropped, whatever their names. A sequence holds at most capacity ids,
+    without gaps. No documents: no rows.
     """
     spark = docs.sparkSession
     room = capacity // class_width
