@@ -20,20 +20,20 @@ from pyspark.sql import functions as F
 
 from tallyhire.llm.common import drop_kept, keep
 
-#: Parts of a group of copies; parts of a shard (or of the unlinked rows) that are ranked apart.
-SALTS, BUCKETS = 256, 256
+#: Parts of a group of copies; rows of a part of the unlinked rows (or of a shard) that one window ranks, and least number of parts.
+SALTS, BUCKET_ROWS, LEAST_BUCKETS = 256, 100_000, 256
 
 
 def numbers(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
-def running(rows: DataFrame, by: str, weight: str) -> DataFrame:
+def running(rows: DataFrame, by: str, weight: str, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """rows with `before`: the sum of weight over earlier rows of the same `by` (0 to shards - 1), in the order of (bucket, link).
 
     Sums by (by, bucket) give each bucket's start; a window runs in each bucket only.
     """
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("link"), F.lit(BUCKETS)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("link"), F.lit(buckets)))
     sums = rows.groupBy(by, "bucket").agg(F.sum(weight).alias("s"))
     starts = sums.withColumn("start", F.sum("s").over(Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).drop("s")
     inside = Window.partitionBy(by, "bucket").orderBy("link").rowsBetween(Window.unboundedPreceding, 0)
@@ -86,7 +86,8 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int | None = None, id_col
     """(id, size, text_crc32, law 'rows', shard, slot, grown_shard null): shards whose row counts are at most one apart.
 
     A null text is as an empty one. Slots run from 0 without gaps in each shard. Repeated rows and null ids are placed
-    like others: which of several equal rows gets which place is left open. An empty table gives no rows.
+    like others: which of several equal rows gets which place is left open. Other columns are dropped, whatever their
+    names. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = keep(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("link")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))))
@@ -130,7 +131,7 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int | None = None, id_col
     stays = F.col("at") < at(quotas, F.col("home"))
     fixed = mine.select("id", "size", "text_crc32", F.when(stays, F.col("home")).alias("shard"), F.col("at"), F.when(~stays, at(over_at, F.col("home")) + F.col("at") - at(quotas, F.col("home"))).alias("free"))
     # rows without links, after the linked ones that had no place, go through the free places in order
-    alone = running(single.select("link", "salt", F.lit(1).cast("long").alias("n"), F.lit(0).alias("all")), "all", "n").select("link", "salt", (F.col("before") + sum(over)).alias("free"))
+    alone = running(single.select("link", "salt", F.lit(1).cast("long").alias("n"), F.lit(0).alias("all")), "all", "n", max(LEAST_BUCKETS, total // BUCKET_ROWS)).select("link", "salt", (F.col("before") + sum(over)).alias("free"))
     rest = base.join(alone, ["link", "salt"]).select("id", "size", "text_crc32", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("at"), "free")
     both = fixed.withColumn("shard", F.col("shard").cast("long")).unionByName(rest)
     to = F.size(F.filter(numbers(free_at), lambda x: x <= F.col("free"))) - 1
