@@ -104,7 +104,8 @@ def test_column_generation_is_optimal():
     rng = np.random.default_rng(8)
     units = np.unique(rng.integers(5, 250, 80))
     demand = rng.integers(50, 900, len(units))
-    patterns, uses = packing.column_generation(units, demand.astype(float), 256)
+    patterns, uses, bound = packing.column_generation(units, demand.astype(float), 256, gap=0)
+    assert np.isclose(bound, uses.sum())
     assert np.allclose(uses @ patterns, demand) and (patterns @ units <= 256).all()
     # strong duality: prices under which no pattern is worth more than a sequence, and the demand as much as the sequences used
     prices = np.linalg.solve(patterns.astype(float), np.ones(len(units)))
@@ -113,7 +114,7 @@ def test_column_generation_is_optimal():
         worth[w] = max([worth[w - 1], *(worth[w - u] + y for u, y in zip(units.tolist(), prices, strict=True) if u <= w)])
     assert worth[256] <= 1 + 1e-6 and np.isclose(prices @ demand, uses.sum())
     found = packing.plan(dict(zip(units.tolist(), demand.tolist(), strict=True)), 256)
-    assert found.n_sequences <= uses.sum() + len(units)
+    assert found.bound <= uses.sum() * (1 + 1e-9) and found.n_sequences <= uses.sum() * (1 + 1e-4) + 1 + len(units)
 
 
 # top-k
@@ -129,6 +130,19 @@ def many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_topk_bears_large_components(spark):
+    vectors = [(0, [5e7, 0.5]), (50, [-0.25, 3e9]), (1, [0.5, 0.5]), (2, [3e9, 3e9]), (3, [-3e9, -3e9]), (4, [1e30, 0.0]), (5, [0.1, -0.1])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors if max(map(abs, v)) * 256 <= 2**53}
+    cut = lambda x: max(-exact_topk.TOP, min(exact_topk.TOP, x))
+    want = []
+    for q in (0, 50):
+        best = sorted((-cut(sum(a * b for a, b in zip(ints[q], v, strict=True))), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    got = exact_topk.top_k(df.filter("vec_id % 50 = 0"), df).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_topk_equals_brute_force(spark, many_partitions):
     rng = np.random.default_rng(6)
     vectors = [(k, rng.normal(0, 0.1, 8).astype(np.float32).tolist(), 0) for k in range(700)] + [(k, [0.25] * 8, 0) for k in range(700, 1000)]
@@ -258,6 +272,60 @@ def test_join_bears_odd_rows(spark, odd_docs, no_docs):
     assert parity_join.jaccard_components(no_docs).count() == 0
 
 
+def test_join_of_families_equals_brute_force(spark, monkeypatch):
+    """Families whose members mostly don't link with their base, chains that link one by one, and a passage that unlike texts share."""
+    monkeypatch.setattr(parity_join, "SMALL", 12)  # so that large groups get bases of their own, several times
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    base = text(140)
+    texts = []
+    for k in range(320):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.choice([1, 2, 3, 4, 5, 6])):
+            w[at] = f"m{rng.randrange(10**6)}" if rng.random() < 0.7 else f"n{at}"
+        texts.append(" ".join(w))
+    chain = list(base)
+    for k in range(60):  # each two changes further from the base
+        for at in rng.sample(range(len(chain)), 2):
+            chain[at] = f"c{k}"
+        texts.append(" ".join(chain))
+    passage = text(70)
+    texts += [" ".join(passage + text(rng.randrange(5, 60))) for _ in range(150)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_components(rows)
+    assert 20 < len({c for _, _, c in want}) < len(rows) - 100
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
+def test_join_counts_rows_without_ids(spark):
+    rng = random.Random(6)
+    w = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    near = lambda k, n: " ".join([f"x{k}"] * n + w[n:])
+    # 1 and 2 don't link, but each with the row that has no id
+    rows = [(1, " ".join(w[:-6])), (2, " ".join(w[6:])), (None, " ".join(w)), (None, " ".join(w)), (None, near(1, 30)), (5, None), (None, ""), (None, None)]
+    want = brute_components(rows)
+    assert want[1, 50, 1] == want[2, 50, 1] == 1 and want[None, 56, 1] == 2
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+    named = parity_join.jaccard_components(spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in rows], "doc_id string, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in named.collect()} >= {("d1", "d1"), ("d2", "d1"), (None, "d1")}
+
+
+def test_near_duplicates_keep_one_row_of_each(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    keep = lambda rows: sorted(((r["doc_id"], r["text"], r["lang"]) for r in parity_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string, comp int, at int, k int")).collect()), key=str)
+    row = lambda i, t, lang="en": (i, t, lang, 1, 2, 3)
+    assert keep([row(1, a), row(1, a), row(2, b), row(2, c)]) == [(1, a, "en"), (2, b, "en"), (2, c, "en")]
+    assert keep([row(1, a), row(2, a), row(2, c)]) == [(1, a, "en"), (2, c, "en")]
+    assert keep([row(None, a), row(None, a), row(None, a + " z"), row(4, b), row(3, b + " z")]) == [(3, b + " z", "en"), *keep([row(None, a), row(None, a + " z")])]
+    assert len(keep([row(None, a), row(None, a + " z")])) == 1
+    assert keep([row(1, a, "fr"), row(1, a, "de"), row(1, a, None), row(2, a)]) in ([(1, a, None)], [(1, a, "de")])
+    assert keep([row(1, None), row(1, ""), row(None, "  "), row(2, "")]) == [(1, "", "en"), (1, None, "en"), (2, "", "en"), (None, "  ", "en")]
+    assert keep([]) == []
+
+
 def test_join_keeps_links_of_repeated_ids(spark):
     rng = random.Random(5)
     bases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(40)]
@@ -289,11 +357,42 @@ def test_pipeline(spark):
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "packing"]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = docs
-    for _, stage in pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
+        previous = kept
         after = pipeline.keep(stage(spark, kept, "/root/testdata/sf0.01"))
         assert after.columns == docs.columns and 0 < after.count() < kept.count()
         kept = after
+        if name == "near_duplicates":  # of each component one document, that of the smallest id
+            before = brute_components([(r["doc_id"], r["text"]) for r in previous.select("doc_id", "text").collect()])
+            want = {c if n else i for i, n, c in before}
+            assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
     left = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
     components = brute_components(left)
     assert all(i == c for i, n, c in components if n)
     check_pieces(pipeline.packed(spark, kept, "/root/testdata/sf0.01").collect(), left)
+
+
+def test_mining_bears_long_shared_paths(spark):
+    shared = [f"part{k:02d}" for k in range(40)]
+    rows = [([*shared, f"one{k % 3}"], "block" if k % 2 else "allow") for k in range(60)] + [([f"t{k}", "also"], "allow") for k in range(900)]
+    rows += [([*shared, "bad"], "block") for _ in range(15)]
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert [r["tokens"] for r in got] == [["also"], ["bad"]] and {r["confidence"] for r in got} == {1.0}
+    # tokens that always go together: a rule for each
+    rows = [(["x", "y", "z"] if k % 9 else ["x", "y"], "block" if k % 9 else "allow") for k in range(90)]
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert [(r["tokens"], r["verdict"]) for r in got] == [(["z"], "block"), (["x"], "block"), (["y"], "block")]
+
+
+def test_pipeline_stages_bear_odd_rows(spark, odd_docs, no_docs):
+    import corpus_pipeline as pipeline
+
+    docs = odd_docs
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, docs, DATA)
+        assert stage(spark, no_docs, DATA).count() == 0
+        if name == "packing":
+            check_pieces(found.collect(), [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+        else:
+            assert found.columns == docs.columns and found.count() > 0
+            docs = pipeline.keep(found)

@@ -45,11 +45,20 @@ def test_bpe_round_trip(text):
     assert mine.decode(mine.encode(text)) == text
 
 
-def test_bpe_long_fragments_are_cut_inside(library):
-    text = "qzxj" * 400 + "ñ" * 400
+def test_bpe_fragments_are_cut_at_every_never_pair(library):
     mine = bpe.loaded(queries.BYTE_BPE)
-    assert len(mine._cut(text.encode(), mine.never)) > 100
-    assert mine.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = ["qzxj" * 400 + "ñ" * 400, "plain words, and zqxj wvkq.\n\nMore of them 12345", "日本語 text"]
+    for text in texts:
+        assert mine.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        data, cut = mine.fragments(pa.array([text.encode()], pa.binary()))
+        ends = [*np.flatnonzero(cut)[1:].tolist(), len(data)]
+        pieces = [bytes(data[i:j]) for i, j in zip(np.flatnonzero(cut).tolist(), ends, strict=True)]
+        assert b"".join(pieces) == text.encode()
+        assert not any(mine.never[a << 8 | b] for p in pieces for a, b in zip(p, p[1:], strict=False))
+        # each piece by itself gives the text's ids
+        assert [i for p in pieces for i in mine._merge(p)] == mine.encode(text).tolist()
+    data, cut = mine.fragments(pa.array([texts[0].encode()], pa.binary()))
+    assert cut.sum() > 400
 
 
 def test_encoding_query(spark, odd_docs, no_docs, library):
@@ -191,6 +200,36 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, expected)
 
 
+def test_long_chains_go_in_blocks():
+    rng = np.random.default_rng(5)
+    for sizes in ([300], [64, 65, 128, 129, 1, 700, 63], [5, 1000, 2]):
+        emit, trans = rng.normal(size=sum(sizes)) * 3, rng.normal(size=(2, 2))
+        m, at, want, expected = np.exp(trans), 0, [], np.zeros((2, 2))
+        for n in sizes:
+            e = np.stack([np.ones(n), np.exp(emit[at : at + n])], 1)
+            f, b = e.copy(), np.ones((n, 2))
+            for t in range(1, n):
+                f[t] = (f[t - 1] @ m) * e[t]
+                f[t] /= f[t].sum()
+            for t in range(n - 2, -1, -1):
+                b[t] = m @ (b[t + 1] * e[t + 1])
+                b[t] /= b[t].sum()
+            want += ((f * b)[:, 1] / (f * b).sum(1)).tolist()
+            for t in range(n - 1):
+                x = f[t][:, None] * m * (b[t + 1] * e[t + 1])[None]
+                expected += x / x.sum()
+            at += n
+        p, pairs = toxicity_crf.marginals(emit, np.asarray(sizes), trans)
+        assert np.allclose(p, want) and np.allclose(pairs, expected)
+
+
+def test_excerpts_come_from_the_whole_text():
+    text = "\n".join(" ".join(f"w{k}" for k in range(n, n + 100)) for n in range(0, 20000, 100))
+    words = [int(w[1:]) for w in toxicity_crf.excerpt(text, 1000).split()]
+    assert 900 < len(words) <= 1000 and max(words) > 15000 and min(words) < 5000
+    assert toxicity_crf.excerpt("a b\nc", 3) == "a b\nc"
+
+
 def test_spans_point_at_words(spark):
     # the word stands in many contexts, as copies of one passage would not show that it is the word that counts
     texts = [f"good words{k} {w} and é more" for k in range(20) for w in ("vile", "nasty")] + [f"good words{k} and é more" for k in range(40)]
