@@ -37,6 +37,8 @@ from tallyhire.llm.common import drop_kept, keep, ship, small_side
 WORDS = 5
 HOT = 8
 SMALL = 64
+#: Shingles of deviations that a task unfolds.
+ELEMENTS = 65_536
 SEEDS = 4
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -385,13 +387,19 @@ def based(groups: DataFrame, family: str) -> DataFrame:
     return rows.select(F.col(family).alias("family"), "base", "m").distinct()
 
 
+def elements(rows: DataFrame, column: str) -> DataFrame:
+    """(family, m, e) of the shingles in a column of deviations, about as many in each task, however few and large the members."""
+    n = rows.agg(F.sum(F.size(column))).first()[0] or 0
+    return rows.select("family", "m", column).repartition(n // ELEMENTS + 1, "family", "m").select("family", "m", F.explode(column).alias("e"))
+
+
 def measured(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """Members with component, inner (that of the base), s and u.
 
     s: 9 |d| - n. A partner's s is at most u, as it shares none of the new shingles that no other member has.
     """
     of = lambda c: comp.select(F.col("class").alias(c), F.col("comp").alias(f"c_{c}"))
-    single = rows.select("family", "m", F.explode("new").alias("e")).groupBy("family", "e").agg(F.count("*").alias("k"), F.min("m").alias("m"))
+    single = elements(rows, "new").groupBy("family", "e").agg(F.count("*").alias("k"), F.min("m").alias("m"))
     own = single.filter("k = 1").groupBy("family", "m").agg(F.count("*").alias("own"))
     found = rows.join(of("base"), "base", "left").join(of("m"), "m", "left").join(own, ["family", "m"], "left")
     found = found.withColumn("comp", F.coalesce("c_m", "m")).withColumn("inner", F.col("comp") == F.coalesce("c_base", "base"))
@@ -417,28 +425,35 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
     Rare ones come first, by how many members have them in their deviations.
     """
-    new = rows.select("family", "m", F.explode("new").alias("e"))
+    new = elements(rows, "new")
     often = new.groupBy("family", "e").agg(F.count("*").alias("k")).filter("k > 1")
-    mine = new.join(often, ["family", "e"]).groupBy("family", "m").agg(F.collect_list(F.struct("k", "e")).alias("often"))  # shingles of one text
-    gone = rows.select("family", F.explode("lost").alias("e")).groupBy("family", "e").agg(F.count("*").alias("k"))
-    order = gone.groupBy("family").agg(F.collect_list(F.struct("k", "e")).alias("gone"))  # shingles of the base
+    mine = new.join(often, ["family", "e"]).groupBy("family", "m").agg(F.collect_list("k").alias("k"), F.collect_list("e").alias("e"))  # shingles of one text
+    gone = elements(rows, "lost").groupBy("family", "e").agg(F.count("*").alias("k"))
+    base = gone.groupBy("family").agg(F.collect_list("k").alias("base_k"), F.collect_list("e").alias("base_e"))  # shingles of the base
+
+    def lists(column: pa.Array) -> list[np.ndarray]:
+        return np.split(np.asarray(column.values), np.asarray(column.offsets)[1:-1]) if len(column) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for family, m, n, s, u, comp, least, new, lost, often, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out, keys = [], []
+            fixed = (c.to_pylist() for c in batch.columns[:8])
+            for family, m, n, s, u, comp, least, new, lost, k, e, base_k, base_e in zip(*fixed, *map(lists, batch.columns[8:]), strict=True):
                 shared = max(1, -(-(s + least) // 18), -(-(s - 5 * n // 4) // 9))  # with any partner, at least
-                first = new + len(lost) - shared + 1 - (new - len(often or ()))  # without those that no other has
-                lost = set(lost)
-                known = sorted([(x["k"], x["e"]) for x in often or ()] + [(x["k"], x["e"]) for x in gone or () if x["e"] in lost])
-                chosen = [e for _, e in known[: max(0, first)]]
-                keys = mixed(np.asarray(chosen, np.int64).view(U) ^ mixed(np.asarray([family], np.int64).view(U))).view(np.int64)
-                out += [(k, m, n, s, u, comp) for k in keys.tolist()]
-            columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays(columns, list(FIELDS))
-
-    wanted = rows.join(mine, ["family", "m"], "left").join(order, "family", "left")
-    wanted = wanted.select("family", "m", "n", "s", "u", "comp", "least", F.size("new").alias("new"), "lost", "often", "gone")
+                first = max(0, len(e) + len(lost) - shared + 1)  # new ones that no other has come before them
+                mine = np.isin(base_e, lost, assume_unique=True)
+                k, e = np.concatenate([k, base_k[mine]]), np.concatenate([e, base_e[mine]])
+                chosen = e[np.lexsort((e, k))[:first]]
+                keys.append(mixed(chosen.view(U) ^ mixed(np.asarray([family], np.int64).view(U))).view(np.int64))
+                out.append((m, n, s, u, comp))
+            sizes = [len(x) for x in keys]
+            columns = [np.repeat(np.asarray(x, np.int64), sizes) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
+            columns = [np.concatenate([np.empty(0, np.int64), *keys]), *columns]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], list(FIELDS))
+
+    none = F.array().cast("array<long>")
+    wanted = rows.join(mine, ["family", "m"], "left").join(base, "family", "left")
+    wanted = wanted.select("family", "m", "n", "s", "u", "comp", "least", F.size("new").alias("new"), *(F.coalesce(c, none).alias(c) for c in ("lost", "k", "e", "base_k", "base_e")))
     return wanted.mapInArrow(run, ", ".join(f"{f} long" for f in FIELDS))
 
 
