@@ -52,15 +52,22 @@ def skill_job_match(jobs: DataFrame, skills: DataFrame, user_skills: DataFrame,
 
 
 def skills_to_learn(jobs: DataFrame, skills: DataFrame, user_skills: DataFrame, k: int = 3) -> DataFrame:
-    """(user_id, place, skill_id, wanted): skills the user lacks that most active jobs ask for together with one the user has."""
-    asked = job_skills(jobs, skills)
-    together = asked.alias("a").join(asked.alias("b"), "job_id").filter("a.skill_id <> b.skill_id").groupBy(F.col("a.skill_id").alias("skill_id"), F.col("b.skill_id").alias("other")).agg(F.count("*").alias("n"))
-    wanted = user_skills.join(together, "skill_id").groupBy("user_id", F.col("other").alias("skill_id")).agg(F.sum("n").alias("wanted")).join(user_skills, ["user_id", "skill_id"], "left_anti")
+    """(user_id, place, skill_id, wanted): skills the user lacks that most well-matching active jobs ask for.
+
+    A job matches well if the user has at least half of the skills it asks for. Jobs that ask for one set of skills count
+    together, so what a popular skill brings is bounded by the number of different sets.
+    """
+    sets = job_skills(jobs, skills).groupBy("job_id").agg(F.array_sort(F.collect_set("skill_id")).alias("set"))
+    sets = sets.groupBy("set").agg(F.count("*").alias("n_jobs"))
+    met = user_skills.join(sets.select("set", "n_jobs", F.explode("set").alias("skill_id")), "skill_id")
+    met = met.groupBy("user_id", "set").agg(F.max("n_jobs").alias("n_jobs"), F.collect_set("skill_id").alias("has"))  # skills of one set
+    lacks = met.filter(2 * F.size("has") >= F.size("set")).select("user_id", "n_jobs", F.explode(F.array_except("set", "has")).alias("skill_id"))
+    wanted = lacks.groupBy("user_id", "skill_id").agg(F.sum("n_jobs").alias("wanted"))
     best = Window.partitionBy("user_id").orderBy(F.desc("wanted"), "skill_id")
     return wanted.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("user_id", "place", "skill_id", "wanted")
 
 
-HEADINGS = r"(?im)^\s*(experience|education|skills|projects|summary|certifications)\b"
+HEADINGS = r"(?im)^[ \t]*(experience|education|skills|projects|summary|certifications)\b"
 VERBS = r"(?i)\b(led|built|managed|designed|created|improved|developed|delivered)\b"
 
 
@@ -70,7 +77,7 @@ def resume_features(resumes: DataFrame, text_col: str = "text") -> DataFrame:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     return resumes.select(
         "doc_id", count(HEADINGS).alias("headings"), text.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("has_email"), text.rlike(r"\+?[0-9][0-9 ()-]{7,}[0-9]").alias("has_phone"),
-        count(r"\b(19|20)[0-9]{2}\b").alias("years"), count(r"(?m)^\s*[-*]\s").alias("bullets"), count(VERBS).alias("action_verbs"), count(r"[0-9]+").alias("numbers"),
+        count(r"\b(19|20)[0-9]{2}\b").alias("years"), count(r"(?m)^[ \t]*[-*]\s").alias("bullets"), count(VERBS).alias("action_verbs"), count(r"[0-9]+").alias("numbers"),
     )
 
 
@@ -80,6 +87,13 @@ def premium_feed(matches: DataFrame, users: DataFrame, at: str) -> DataFrame:
     return matches.join(users.select("user_id", active.alias("premium")), "user_id").orderBy(F.desc("premium"), "user_id", "place")
 
 
-def mail_volume(events: DataFrame, ts: str = "ts", window: str = "1 hour") -> DataFrame:
-    """(window_start, kind, n) of tumbling windows."""
-    return events.groupBy(F.window(ts, window).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
+def mail_volume(events: DataFrame, ts: str = "ts", window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """(window_start, kind, n) of tumbling windows, or sliding ones."""
+    by = F.window(ts, window, slide) if slide else F.window(ts, window)
+    return events.groupBy(by.alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
+
+
+def mail_sessions(events: DataFrame, ts: str = "ts", to: str = "to", gap: str = "30 minutes") -> DataFrame:
+    """(to, start, end, n): each recipient's sessions, which end where the next mail is a gap or more away."""
+    found = events.groupBy(F.session_window(ts, gap).alias("w"), to).agg(F.count("*").alias("n"))
+    return found.select(to, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

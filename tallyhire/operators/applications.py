@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhire.functions.text import is_falsy
+from tallyhire.functions.text import fits, is_falsy
+from tallyhire.sources.schemas import STATUSES
 
 
 def first_reason(*checks: tuple[Column, int, str]) -> Column:
@@ -46,6 +47,7 @@ def checked(attempts: DataFrame, users: DataFrame, jobs: DataFrame) -> DataFrame
         (is_falsy(F.col("job_id"), numeric=True), 400, "no_job_id"),
         (F.col("known").isNull(), 404, "job_not_found"),
         (~F.coalesce("is_active", F.lit(False)), 400, "job_inactive"),
+        (~(fits(F.col("applicant_email"), 255) & fits(F.col("resume"), 255)), 400, "too_long"),
     )
     return rows.withColumn("reject", reject).withColumn("subscribed", F.coalesce(F.col("subscription") > F.col("attempted_at"), F.lit(False)))
 
@@ -73,11 +75,22 @@ def admit(attempts: DataFrame, users: DataFrame, jobs: DataFrame, existing: Data
 def applicant_queue(applications: DataFrame, k: int | None = None) -> DataFrame:
     """Applications with their place in their job's queue: subscribers first (null before true), then by time.
 
-    With k, only the first k of each job: the plan prunes them before the shuffle.
+    With k, only the first k of each job: the plan prunes them before the shuffle. Without, a job's queue is ranked in
+    parts, by subscription and day, and each part starts where counts say the earlier ones end; so no task ranks a whole
+    viral job.
     """
-    order = Window.partitionBy("job_id").orderBy(F.desc_nulls_first("subscribed"), F.asc_nulls_last("applied_at"), "application_id")
-    ranked = applications.withColumn("place", F.row_number().over(order))
-    return ranked if k is None else ranked.filter(F.col("place") <= k)
+    if k is not None:
+        order = Window.partitionBy("job_id").orderBy(F.desc_nulls_first("subscribed"), F.asc_nulls_last("applied_at"), "application_id")
+        return applications.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    kind = F.when(F.col("subscribed").isNull(), 0).when(F.col("subscribed"), 1).otherwise(2)
+    day = F.coalesce(F.date_diff("applied_at", F.lit("1970-01-01")), F.lit(2**31 - 1))
+    rows = applications.withColumn("queue_kind", kind).withColumn("queue_day", day)
+    part = ["job_id", "queue_kind", "queue_day"]
+    before = Window.partitionBy("job_id").orderBy("queue_kind", "queue_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*part).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy(F.asc_nulls_last("applied_at"), "application_id"))
+    ranked = rows.withColumn("nth", inside).join(starts, part)
+    return ranked.withColumn("place", F.col("start") + F.col("nth")).select(*applications.columns, "place")
 
 
 def my_applications(applications: DataFrame, jobs: DataFrame, users: DataFrame) -> DataFrame:
@@ -90,8 +103,8 @@ def my_applications(applications: DataFrame, jobs: DataFrame, users: DataFrame)
 def decide(applications: DataFrame, jobs: DataFrame, users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new applications, decisions, rejects) for requests (request_id, actor_user_id, application_id, status, requested_at).
 
-    Any status may follow any other; the last request for an application holds. Every accepted request is a decision,
-    changed or not, and so sends a mail.
+    Any of STATUSES may follow any other; the last request for an application holds. Every accepted request is a decision,
+    changed or not, and so sends a mail. Who does not own the job learns no more than that it is not found.
     """
     rows = (
         requests.join(users.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("actor_role")), "actor_user_id", "left")
@@ -102,7 +115,8 @@ def decide(applications: DataFrame, jobs: DataFrame, users: DataFrame, requests:
         (F.coalesce(F.col("actor_role") != "recruiter", F.lit(True)), 403, "not_recruiter"),
         (F.col("applicant_email").isNull(), 404, "application_not_found"),
         (F.col("job_title").isNull(), 404, "job_not_found"),
-        (F.coalesce(F.col("owner") != F.col("actor_user_id"), F.lit(True)), 403, "not_owner"),
+        (F.coalesce(F.col("owner") != F.col("actor_user_id"), F.lit(True)), 404, "not_owner"),
+        (~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)), 400, "bad_status"),
     )
     rows = rows.withColumn("reject", reject)
     accepted = rows.filter(F.col("reject").isNull())

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-JOB_FIELDS = ["job_id", "title", "salary", "location", "job_type", "openings", "role", "work_location", "created_at", "is_active"]
+JOB_FIELDS = [
+    "job_id", "title", "description", "salary", "location", "job_type", "openings", "role", "work_location", "company_id", "posted_by_recruiter_id", "created_at", "is_active",
+]
 
 
 def companies_of(companies: DataFrame, recruiter_ids: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def company_pages(companies: DataFrame, jobs: DataFrame, max_jobs: int | None =
 
     max_jobs keeps a page to the first so many jobs, ranked before they are collected.
     """
-    mine = jobs.select("company_id", *JOB_FIELDS)
+    mine = jobs.select(*JOB_FIELDS)
     if max_jobs is not None:
         mine = mine.withColumn("n", F.row_number().over(Window.partitionBy("company_id").orderBy("job_id"))).filter(F.col("n") <= max_jobs)
     lists = mine.groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct(*JOB_FIELDS))).alias("jobs"))
@@ -27,6 +29,12 @@ def company_pages(companies: DataFrame, jobs: DataFrame, max_jobs: int | None =
     return page.withColumn("jobs", F.coalesce("jobs", empty))
 
 
+def owned(rows: DataFrame, parents: DataFrame, key: str, owner: str) -> DataFrame:
+    """rows (key, actor_user_id, ...) with `owned`: whether the parent of that key is there and the actor is its owner."""
+    mine = parents.select(key, F.col(owner).alias("actor_user_id"), F.lit(True).alias("owned"))
+    return rows.join(mine, [key, "actor_user_id"], "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+
+
 def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, reference: str) -> DataFrame:
     """(reference, key): the child's key values that the parent lacks, a row for each child row."""
     missing = child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")

@@ -46,10 +46,13 @@ def decode_pdfs(df: DataFrame) -> DataFrame:
 
 
 def ats_summary(ats: DataFrame) -> DataFrame:
-    """(dimension, n, mean_score, median_score) of parsed ATS documents, the total as dimension 'total'."""
+    """(dimension, n, mean_score, p10, median_score, p90) of parsed ATS documents, the total as dimension 'total'.
+
+    The percentiles are exact: a score has few values, so each aggregate holds few counts.
+    """
     parts = ats.select(F.explode(F.map_entries("doc.scoreBreakdown")).alias("e")).select(F.col("e.key").alias("dimension"), F.col("e.value.score").alias("score"))
     total = ats.select(F.lit("total").alias("dimension"), F.col("doc.atsScore").alias("score"))
-    return parts.unionByName(total).groupBy("dimension").agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.percentile_approx("score", 0.5).alias("median_score"))
+    return parts.unionByName(total).groupBy("dimension").agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), *(F.percentile("score", F.lit(q)).alias(name) for name, q in (("p10", 0.1), ("median_score", 0.5), ("p90", 0.9))))
 
 
 def ats_issues(ats: DataFrame) -> DataFrame:

@@ -42,6 +42,14 @@ def unique_in_batch(rows: DataFrame, keys: list[str], code: int, reason: str) ->
     return marked.withColumn("reject", F.when(late, F.struct(F.lit(code).alias("code"), F.lit(reason).alias("reason"))).otherwise(F.col("reject"))).drop("first_request")
 
 
+def too_long(**limits: int) -> Column:
+    """Whether one of the columns has more characters than its limit."""
+    out = F.lit(False)
+    for name, limit in limits.items():
+        out = out | ~fits(F.col(name), limit)
+    return out
+
+
 def register_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests: request_id, name, email, phone_number, role, bio, resume, resume_public_id, requested_at."""
     known = users.select("email", F.lit(True).alias("taken")).distinct()
@@ -52,7 +60,7 @@ def register_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
         (F.coalesce("taken", F.lit(False)), 409, "email_exists"),
         (~F.col("role").isin("jobseeker", "recruiter"), 400, "invalid_role"),
         ((F.col("role") == "jobseeker") & is_falsy(F.col("resume")), 400, "no_resume"),
-        (~(fits(F.col("name"), 255) & fits(F.col("email"), 255) & fits(F.col("phone_number"), 20)), 400, "too_long"),
+        (too_long(name=255, email=255, phone_number=20, resume=255, resume_public_id=255), 400, "too_long"),
     )).drop("taken")
     good, rejects = split(unique_in_batch(rows, ["email"], 409, "email_exists"))
     seeker = F.col("role") == "jobseeker"
@@ -80,7 +88,8 @@ def create_companies(companies: DataFrame, users: DataFrame, requests: DataFrame
         (is_falsy(F.col("name")) | is_falsy(F.col("description")) | is_falsy(F.col("website")), 409, "missing_field"),
         (F.coalesce("taken", F.lit(False)), 409, "name_exists"),
         (is_falsy(F.col("logo")), 400, "no_logo"),
-        (~fits(F.col("name"), 255), 400, "too_long"),
+        (F.col("logo_public_id").isNull(), 400, "no_logo"),
+        (too_long(name=255, website=255, logo=255, logo_public_id=255), 400, "too_long"),
     )).drop("taken")
     good, rejects = split(unique_in_batch(rows, ["name"], 409, "name_exists"))
     new = new_ids(good, "company_id", ["name"], companies).select("company_id", "name", "description", "website", "logo", "logo_public_id", F.col("actor_user_id").alias("recruiter_id"), F.col("requested_at").alias("created_at"))
@@ -94,7 +103,7 @@ def job_checks() -> list[tuple[Column, int, str]]:
         (~F.coalesce(F.col("work_location").isin(WORK_LOCATIONS), F.lit(False)), 400, "bad_work_location"),
         (F.col("salary").isNotNull() & decimal_or_null(F.col("salary"), 10, 2).isNull(), 400, "bad_salary"),
         (decimal_or_null(F.col("openings"), 3, 1).isNull(), 400, "bad_openings"),
-        (~(fits(F.col("title"), 255) & fits(F.col("location"), 255) & fits(F.col("role"), 255)), 400, "too_long"),
+        (too_long(title=255, location=255, role=255), 400, "too_long"),
     ]
 
 
@@ -123,9 +132,13 @@ JOB_UPDATE = ["title", "description", "salary", "location", "role", "job_type",
 
 
 def update_jobs(jobs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replaces nine columns of the owner's job (job_id, actor_user_id); the last request for a job holds whole."""
+    """Replaces nine columns of the owner's job (job_id, actor_user_id); the last request for a job holds whole.
+
+    The table takes no null title, description or role.
+    """
     rows = requests.join(jobs.select("job_id", F.col("posted_by_recruiter_id").alias("owner")), "job_id", "left")
-    rows = rows.withColumn("reject", first_reason((F.col("owner").isNull(), 404, "job_not_found"), (F.coalesce(F.col("owner") != F.col("actor_user_id"), F.lit(True)), 403, "not_owner"), *job_checks()))
+    nulls = F.col("title").isNull() | F.col("description").isNull() | F.col("role").isNull()
+    rows = rows.withColumn("reject", first_reason((F.col("owner").isNull(), 404, "job_not_found"), (F.coalesce(F.col("owner") != F.col("actor_user_id"), F.lit(True)), 403, "not_owner"), (nulls, 400, "null_field"), *job_checks()))
     good, rejects = split(rows)
     last = latest_by(good.select("job_id", *JOB_UPDATE, *ORDER), ["job_id"], ORDER).select("job_id", F.struct(*JOB_UPDATE).alias("new"))
     kinds = dict(jobs.dtypes)
@@ -133,20 +146,36 @@ def update_jobs(jobs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
     return jobs.join(last, "job_id", "left").select(new), rejects
 
 
-def update_profiles(users: DataFrame, requests: DataFrame) -> DataFrame:
-    """name, phone_number and bio: each keeps its value unless a request (user_id, ...) gives a non-empty one; the last such holds."""
+def of_users(requests: DataFrame, users: DataFrame, *more: tuple[Column, int, str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted requests, rejects): unknown users are rejected, and what `more` says."""
+    rows = requests.join(users.select("user_id", F.lit(True).alias("known")), "user_id", "left")
+    return split(rows.withColumn("reject", first_reason((F.col("known").isNull(), 404, "user_not_found"), *more)).drop("known"))
+
+
+def update_profiles(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(users, rejects) for requests (request_id, user_id, name, phone_number, bio, requested_at).
+
+    Each of the three keeps its value unless an accepted request gives a non-empty one; the last such holds.
+    """
     fields = ["name", "phone_number", "bio"]
+    good, rejects = of_users(requests, users, (too_long(name=255, phone_number=20), 400, "too_long"))
     given = [F.max_by(F.nullif(c, F.lit("")), F.when(F.nullif(c, F.lit("")).isNotNull(), F.struct(*ORDER))).alias(f"new_{c}") for c in fields]
-    merged = requests.groupBy("user_id").agg(*given)
-    return users.join(merged, "user_id", "left").select([or_else(F.col(f"new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in users.columns])
+    merged = good.groupBy("user_id").agg(*given)
+    new = [or_else(F.col(f"new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in users.columns]
+    return users.join(merged, "user_id", "left").select(new), rejects
+
 
+def replace_files(users: DataFrame, requests: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(users, rejects): overwrites (resume, resume_public_id) or (profile_pic, profile_pic_public_id).
 
-def replace_files(users: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
-    """Overwrites (resume, resume_public_id) or (profile_pic, profile_pic_public_id) from requests (user_id, url, public_id)."""
+    requests: request_id, user_id, url, public_id, requested_at; the last accepted one for a user holds.
+    """
     pair = {"resume": ("resume", "resume_public_id"), "profile_pic": ("profile_pic", "profile_pic_public_id")}[kind]
-    last = latest_by(requests.select("user_id", "url", "public_id", *ORDER), ["user_id"], ORDER).select("user_id", F.struct("url", "public_id").alias("new"))
+    good, rejects = of_users(requests, users, (is_falsy(F.col("url")), 400, "no_file"), (too_long(url=255, public_id=255), 400, "too_long"))
+    last = latest_by(good.select("user_id", "url", "public_id", *ORDER), ["user_id"], ORDER).select("user_id", F.struct("url", "public_id").alias("new"))
     new = {pair[0]: "new.url", pair[1]: "new.public_id"}
-    return users.join(last, "user_id", "left").select([F.when(F.col("new").isNotNull(), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in users.columns])
+    columns = [F.when(F.col("new").isNotNull(), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in users.columns]
+    return users.join(last, "user_id", "left").select(columns), rejects
 
 
 def delete_companies(companies: DataFrame, jobs: DataFrame, applications: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

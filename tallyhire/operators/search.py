@@ -31,21 +31,41 @@ def search_jobs(jobs: DataFrame, companies: DataFrame, title: str | None = None,
     return feed if first is None else feed.limit(first)
 
 
+def grams(c: Column) -> Column:
+    """The distinct trigrams of a lower-cased text."""
+    lower = F.lower(c)
+    places = F.when(F.length(lower) >= 3, F.sequence(F.lit(1), F.length(lower) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(lower, i, F.lit(3))))
+
+
+def literal_grams(term: Column) -> Column:
+    """Trigrams that any text which fits a typed term must hold: those of its longest run of ASCII without wildcards and escapes."""
+    runs = F.split(F.coalesce(term, F.lit("")), r"[^\x00-\x7f]|[%_\\]")
+    return grams(F.element_at(F.array_sort(runs, lambda a, b: F.length(a) - F.length(b)), -1))
+
+
+def tagged(title: Column, location: Column) -> Column:
+    return F.concat(F.transform(title, lambda g: F.concat(F.lit("t"), g)), F.transform(location, lambda g: F.concat(F.lit("l"), g)))
+
+
 def match_saved_searches(searches: DataFrame, jobs: DataFrame) -> DataFrame:
     """(search_id, job_id) of every saved search (search_id, title, location) and active job that fits it.
 
-    Searches with a title term of three characters or more without wildcards meet only jobs that hold the term's first
-    trigram, by an equi-join; the patterns are checked on what meets. The other searches are joined on the patterns
-    alone, which is what they ask for: each may match any job.
+    A search meets only jobs that hold the trigram, of all that its terms demand, which fewest jobs hold, by an equi-join;
+    the patterns are checked on what meets; repeated searches count once. Searches whose terms demand no trigram are joined on the patterns alone, which
+    is what they ask for: each may match any job.
     """
     jobs = active(jobs).select("job_id", F.col("title").alias("job_title"), F.col("location").alias("job_location"))
-    keyed = searches.withColumn("term", F.lower("title"))
-    plain = F.coalesce((F.length("term") >= 3) & ~F.col("term").rlike(r"[%_\\]") & F.col("term").rlike("^[\\x00-\\x7f]*$"), F.lit(False))
-    fits = (F.coalesce(F.col("title") == "", F.lit(True)) | contains_ilike(F.col("job_title"), F.col("title"))) & (F.coalesce(F.col("location") == "", F.lit(True)) | contains_ilike(F.col("job_location"), F.col("location")))
-    lower = F.lower("job_title")
-    grams = jobs.filter(F.length("job_title") >= 3).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("job_title") - 2), lambda i: F.substring(lower, i, F.lit(3))))))
-    by_gram = keyed.filter(plain).withColumn("gram", F.substring("term", 1, 3)).join(grams, "gram").filter(fits)
-    by_pattern = keyed.filter(~plain).join(jobs, fits)
+    held = jobs.withColumn("gram", F.explode(tagged(grams(F.col("job_title")), grams(F.col("job_location")))))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = searches.select("search_id", "title", "location").distinct().withColumn("asks", tagged(literal_grams(F.col("title")), literal_grams(F.col("location"))))
+    each = asked.filter(F.size("asks") > 0).select("search_id", "title", "location", F.explode("asks").alias("gram"))
+    rarest = each.join(counts, "gram", "left").groupBy("search_id", "title", "location").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    fits = (F.coalesce(F.col("title") == "", F.lit(True)) | contains_ilike(F.col("job_title"), F.col("title"))) & (
+        F.coalesce(F.col("location") == "", F.lit(True)) | contains_ilike(F.col("job_location"), F.col("location"))
+    )
+    by_gram = rarest.filter("best.n > 0").select("search_id", "title", "location", "best.gram").join(held, "gram").filter(fits)
+    by_pattern = asked.filter(F.size("asks") == 0).join(jobs, fits)
     return by_gram.select("search_id", "job_id").union(by_pattern.select("search_id", "job_id"))
 
 

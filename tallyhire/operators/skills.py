@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyhire.functions.text import is_falsy, trimmed
 from tallyhire.operators.applications import dedup_first, first_reason
-from tallyhire.operators.lifecycle import ORDER, new_ids, split
+from tallyhire.operators.lifecycle import ORDER, new_ids, split, too_long
 
 
 def named(requests: DataFrame, users: DataFrame) -> DataFrame:
     rows = requests.withColumn("skill", trimmed(F.col("skill_name"))).join(users.select("user_id", F.lit(True).alias("known")), "user_id", "left")
-    return rows.withColumn("reject", first_reason((is_falsy(F.col("skill")), 400, "blank_skill"), (F.col("known").isNull(), 404, "user_not_found"))).drop("known")
+    return rows.withColumn("reject", first_reason((is_falsy(F.col("skill")), 400, "blank_skill"), (F.col("known").isNull(), 404, "user_not_found"), (too_long(skill=100), 400, "too_long"))).drop("known")
 
 
 def add_skills(skills: DataFrame, user_skills: DataFrame, users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

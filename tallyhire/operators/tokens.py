@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TTL_SECONDS = 900
+SESSION_DAYS = 15
+
+
+def live_until(issued: Column, seconds: int) -> Column:
+    """The end of a token's life, at which it is no longer valid."""
+    return issued + F.expr(f"INTERVAL '{seconds}' SECOND")
+
+
+def session_live(issued: Column, at: Column, days: int = SESSION_DAYS) -> Column:
+    """Whether a session issued at one time is valid at another."""
+    return F.coalesce((at >= issued) & (at < live_until(issued, days * 86_400)), F.lit(False))
 
 
 def latest_request(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
@@ -17,22 +28,23 @@ def latest_request(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     order = Window.partitionBy("email").orderBy("ts", F.when(F.col("kind") == "request", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
     asked = F.when(F.col("kind") == "request", F.struct("event_id", "ts", "token"))
     rows = log.withColumn("last", F.last(asked, ignorenulls=True).over(order)).filter(F.col("kind") == "attempt")
-    live = F.coalesce(F.col("ts") < F.col("last.ts") + F.expr(f"INTERVAL '{ttl_seconds}' SECOND"), F.lit(False))
+    live = F.coalesce(F.col("ts") < live_until(F.col("last.ts"), ttl_seconds), F.lit(False))
     return rows.select("event_id", "email", "ts", "token", F.col("last.event_id").alias("request_id"), F.col("last.ts").alias("request_ts"), F.col("last.token").alias("request_token"), live.alias("live"))
 
 
 def resolve_resets(log: DataFrame, users: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """(event_id, email, ts, request_id, outcome) of every attempt.
 
-    outcome: 'expired' without a live request or after its token was used; 'mismatch' for another token, which uses
-    nothing up; 'unknown_user' for the right token of an email without a user; 'ok' for the first attempt that is right.
+    A request for an email without a user stores no token. outcome: 'expired' without a live token or after it was used;
+    'mismatch' for another token, which uses nothing up; 'ok' for the first attempt that is right.
     """
-    rows = latest_request(log, ttl_seconds).join(users.select("email", F.lit(True).alias("known")).distinct(), "email", "left")
-    right = F.coalesce(F.col("token").eqNullSafe(F.col("request_token")) & F.col("live") & F.col("known"), F.lit(False))
+    known = users.select("email").distinct()
+    stored = log.join(known.withColumn("known", F.lit(True)), "email", "left").filter((F.col("kind") != "request") | F.col("known")).drop("known")
+    rows = latest_request(stored, ttl_seconds)
+    right = F.coalesce(F.col("token").eqNullSafe(F.col("request_token")) & F.col("live"), F.lit(False))
     used = F.sum(F.when(right, 1).otherwise(0)).over(Window.partitionBy("email", "request_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
     outcome = (
         F.when(~F.col("live") | (F.coalesce(used, F.lit(0)) > 0), "expired")
-        .when(~F.col("token").eqNullSafe(F.col("request_token")), "mismatch")
-        .when(F.col("known").isNull(), "unknown_user").otherwise("ok")
+        .when(~F.col("token").eqNullSafe(F.col("request_token")), "mismatch").otherwise("ok")
     )
     return rows.select("event_id", "email", "ts", "request_id", outcome.alias("outcome"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhire.functions import documents as docs_fn
 from tallyhire.functions.text import comma_list, contains_ilike, decimal_or_null, trimmed
 from tallyhire.operators import analytics, applications, assets, companies, documents, lifecycle, notify, profiles, search, skills, tokens
+from tallyhire.sources.io import to_json_rows
 from tallyhire.sources.portal import Portal, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,15 +57,15 @@ def saved_search_match(p: Portal) -> DataFrame:
     return search.match_saved_searches(p.saved_searches(), p.jobs())
 
 
-@query("SELECT job_id, title, salary, is_active FROM jobs WHERE job_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
+@query("SELECT job_id, title, salary, is_active FROM jobs WHERE job_id IN (SELECT l_partkey FROM lineitem)")
 def jobs_by_id(p: Portal) -> DataFrame:
-    ids = p.star("lineitem").filter("l_quantity >= 50").selectExpr("l_partkey AS job_id")
+    ids = p.star("lineitem").selectExpr("l_partkey AS job_id")
     return search.jobs_by_id(p.jobs(), ids).select("job_id", "title", "salary", "is_active")
 
 
-@query("SELECT company_id, name, recruiter_id FROM companies WHERE recruiter_id IN (SELECT user_id FROM users WHERE role = 'recruiter' AND name LIKE '%1%')")
+@query("SELECT company_id, name, recruiter_id FROM companies WHERE recruiter_id IN (SELECT user_id FROM users WHERE role = 'recruiter')")
 def recruiter_companies(p: Portal) -> DataFrame:
-    ids = p.users().filter("role = 'recruiter' AND name LIKE '%1%'").select(F.col("user_id").alias("recruiter_id"))
+    ids = p.users().filter("role = 'recruiter'").select(F.col("user_id").alias("recruiter_id"))
     return companies.companies_of(p.companies(), ids).select("company_id", "name", "recruiter_id")
 
 
@@ -145,9 +146,8 @@ def job_validation(p: Portal) -> DataFrame:
 
 @query("""SELECT j.job_id, c.company_id IS NOT NULL AS owned FROM jobs j LEFT JOIN companies c ON c.company_id = j.company_id AND c.recruiter_id = CASE WHEN j.job_id % 2 = 0 THEN j.posted_by_recruiter_id ELSE 1000001 END""")
 def owner_gate(p: Portal) -> DataFrame:
-    asked = p.jobs().selectExpr("job_id", "company_id", "CASE WHEN job_id % 2 = 0 THEN posted_by_recruiter_id ELSE 1000001 END AS recruiter_id")
-    owned = p.companies().select("company_id", "recruiter_id", F.lit(True).alias("owned"))
-    return asked.join(owned, ["company_id", "recruiter_id"], "left").select("job_id", F.coalesce("owned", F.lit(False)).alias("owned"))
+    asked = p.jobs().selectExpr("job_id", "company_id", "CASE WHEN job_id % 2 = 0 THEN posted_by_recruiter_id ELSE 1000001 END AS actor_user_id")
+    return companies.owned(asked, p.companies(), "company_id", "recruiter_id").select("job_id", "owned")
 
 
 def company_requests(p: Portal) -> DataFrame:
@@ -165,15 +165,16 @@ def company_name_conflicts(p: Portal) -> DataFrame:
     return made.unionByName(rejects.select("request_id", F.col("reason").alias("outcome")))
 
 
-@query("SELECT DISTINCT concat('new', o_custkey % 500, '@example.com') AS email, true AS is_new, 'jobseeker' AS role FROM orders WHERE o_orderkey % 3 <> 0")
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'email_exists'
+  WHEN row_number() OVER (PARTITION BY o_orderkey % 3 = 0, o_custkey ORDER BY o_orderdate, o_orderkey) > 1 THEN 'email_exists' ELSE 'ok' END AS outcome FROM orders""")
 def user_email_conflicts(p: Portal) -> DataFrame:
     asked = p.star("orders").selectExpr(
-        "o_orderkey AS request_id", "concat('Name ', o_custkey) AS name", "CASE WHEN o_orderkey % 3 = 0 THEN concat('user', o_custkey, '@example.com') ELSE concat('new', o_custkey % 500, '@example.com') END AS email",
-        "'+3' AS phone_number", "'jobseeker' AS role", "CAST(NULL AS STRING) AS bio", "'https://cdn.example.com/r' AS resume", "'resume/r' AS resume_public_id", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS requested_at",
+        "o_orderkey AS request_id", "concat('Name ', o_orderkey) AS name", "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'user' ELSE 'new' END, o_custkey, '@example.com') AS email", "'+3' AS phone_number",
+        "'jobseeker' AS role", "CAST(NULL AS STRING) AS bio", "'https://cdn.example.com/r' AS resume", "concat('resume/new/', o_orderkey) AS resume_public_id", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS requested_at",
     )
-    users = p.users()
-    new, _ = lifecycle.register_users(users, asked)
-    return new.join(users.select("user_id"), "user_id", "left_anti").select("email", F.lit(True).alias("is_new"), "role")
+    new, rejects = lifecycle.register_users(p.users(), asked)
+    made = new.filter(F.col("resume_public_id").startswith("resume/new/")).select(F.substring_index("resume_public_id", "/", -1).cast("long").alias("request_id"), F.lit("ok").alias("outcome"))
+    return made.unionByName(rejects.select("request_id", F.col("reason").alias("outcome")))
 
 
 @query("""SELECT u.user_id, coalesce(n.name, u.name) AS name, u.phone_number, coalesce(b.bio, u.bio) AS bio FROM users u
@@ -184,7 +185,7 @@ def profile_merge(p: Portal) -> DataFrame:
         "o_orderkey AS request_id", "o_custkey AS user_id", "CASE WHEN o_orderkey % 2 = 1 THEN concat('N', o_orderkey) ELSE '' END AS name", "CAST(NULL AS STRING) AS phone_number",
         "CASE WHEN o_orderkey % 3 = 1 THEN concat('B', o_orderkey) END AS bio", "o_orderdate AS requested_at",
     )
-    return lifecycle.update_profiles(p.users(), asked).select("user_id", "name", "phone_number", "bio")
+    return lifecycle.update_profiles(p.users(), asked)[0].select("user_id", "name", "phone_number", "bio")
 
 
 @query("""SELECT a.job_id, a.applicant_email, arg_max(a.status, (a.attempted_at, a.attempt_id)) AS status FROM ranked a GROUP BY 1, 2""")
@@ -240,16 +241,36 @@ def orphan_assets(p: Portal) -> DataFrame:
     return assets.orphans(p.stored_assets(), p.users(), p.companies())
 
 
-def decisions(p: Portal) -> DataFrame:
+def decided(p: Portal) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One decision request for each application, every fifth by somebody who does not own the job."""
     made = p.applications().join(p.jobs().select("job_id", "posted_by_recruiter_id"), "job_id").selectExpr(
-        "application_id AS request_id", "application_id", "CASE WHEN job_id % 5 = 0 THEN 1000000 + (posted_by_recruiter_id + 1) % 25 ELSE posted_by_recruiter_id END AS actor_user_id", "'Hired' AS status", "applied_at AS requested_at",
+        "application_id AS request_id", "application_id", "CASE WHEN job_id % 5 = 0 THEN 1000000 + (posted_by_recruiter_id + 1) % 25 WHEN job_id % 7 = 0 THEN 1 ELSE posted_by_recruiter_id END AS actor_user_id",
+        "CASE WHEN job_id % 11 = 0 THEN 'Paused' ELSE 'Hired' END AS status", "applied_at AS requested_at",
     )
-    return applications.decide(p.applications(), p.jobs(), p.users(), made)[1]
+    return applications.decide(p.applications(), p.jobs(), p.users(), made)
+
+
+def decisions(p: Portal) -> DataFrame:
+    return decided(p)[1]
+
 
+DECISIONS = """asked AS (SELECT a.application_id, a.applicant_email, a.status, j.title, CASE WHEN j.job_id % 11 = 0 THEN 'Paused' ELSE 'Hired' END AS asks, j.posted_by_recruiter_id AS owner,
+CASE WHEN j.job_id % 5 = 0 THEN 1000000 + (j.posted_by_recruiter_id + 1) % 25 WHEN j.job_id % 7 = 0 THEN 1 ELSE j.posted_by_recruiter_id END AS actor FROM applications a JOIN jobs j USING (job_id)),
+judged AS (SELECT *, CASE WHEN actor < 1000000 THEN 'not_recruiter' WHEN actor <> owner THEN 'not_owner' WHEN asks = 'Paused' THEN 'bad_status' END AS reason FROM asked)"""
 
-@query(f"""SELECT '{{"to":"' || a.applicant_email || '","subject":"{notify.STATUS_SUBJECT}","html":"' || replace('{notify.STATUS_TEMPLATE}', '{{title}}', j.title) || '"}}' AS value
-FROM applications a JOIN jobs j USING (job_id) WHERE j.posted_by_recruiter_id = CASE WHEN j.job_id % 5 = 0 THEN 1000000 + (j.posted_by_recruiter_id + 1) % 25 ELSE j.posted_by_recruiter_id END""")
+
+@query(f"""SELECT * FROM (WITH {DECISIONS} SELECT application_id, CASE WHEN reason IS NULL THEN 'Hired' ELSE status END AS status FROM judged)""")
+def decided_applications(p: Portal) -> DataFrame:
+    return decided(p)[0].select("application_id", "status")
+
+
+@query(f"""SELECT * FROM (WITH {DECISIONS} SELECT application_id AS request_id, CASE reason WHEN 'not_recruiter' THEN 403 WHEN 'not_owner' THEN 404 ELSE 400 END AS code, reason FROM judged WHERE reason IS NOT NULL)""")
+def decision_rejects(p: Portal) -> DataFrame:
+    return decided(p)[2]
+
+
+@query(f"""SELECT * FROM (WITH {DECISIONS} SELECT '{{"to":"' || applicant_email || '","subject":"{notify.STATUS_SUBJECT}","html":"' || replace('{notify.STATUS_TEMPLATE}', '{{title}}', title) || '"}}' AS value
+FROM judged WHERE reason IS NULL)""")
 def mail_events(p: Portal) -> DataFrame:
     return notify.to_mail_events(notify.status_mails(decisions(p)))
 
@@ -279,10 +300,11 @@ def data_uri_roundtrip(p: Portal) -> DataFrame:
 
 
 def reset_sql(seconds: int) -> str:
-    return f"""SELECT event_id, request_id, CASE WHEN NOT live OR used > 0 THEN 'expired' WHEN NOT known THEN 'unknown_user' ELSE 'ok' END AS outcome FROM
-(SELECT *, coalesce(sum(CASE WHEN live AND known THEN 1 ELSE 0 END) OVER (PARTITION BY email, request_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM
-(SELECT a.*, a.email IN (SELECT email FROM users) AS known, coalesce(a.ts < a.request_ts + to_seconds({seconds}), false) AS live FROM
-(SELECT *, last_value(CASE WHEN kind = 'request' THEN event_id END IGNORE NULLS) OVER o AS request_id, last_value(CASE WHEN kind = 'request' THEN ts END IGNORE NULLS) OVER o AS request_ts FROM reset_log
+    return f"""SELECT event_id, request_id, CASE WHEN NOT live OR used > 0 THEN 'expired' ELSE 'ok' END AS outcome FROM
+(SELECT *, coalesce(sum(CASE WHEN live THEN 1 ELSE 0 END) OVER (PARTITION BY email, request_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM
+(SELECT a.*, coalesce(a.ts < a.request_ts + to_seconds({seconds}), false) AS live FROM
+(SELECT *, last_value(CASE WHEN kind = 'request' THEN event_id END IGNORE NULLS) OVER o AS request_id, last_value(CASE WHEN kind = 'request' THEN ts END IGNORE NULLS) OVER o AS request_ts
+ FROM (SELECT * FROM reset_log WHERE kind = 'attempt' OR email IN (SELECT email FROM users))
  WINDOW o AS (PARTITION BY email ORDER BY ts, CASE WHEN kind = 'request' THEN 0 ELSE 1 END, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) a WHERE kind = 'attempt'))"""
 
 
@@ -319,24 +341,25 @@ def skill_job_match(p: Portal) -> DataFrame:
 
 
 def jobs_with_two(p: Portal) -> DataFrame:
-    """Jobs whose description asks for a second skill, the one whose number follows by key."""
-    names = p.skills().selectExpr("name", "row_number() OVER (ORDER BY skill_id) - 1 AS k")
-    return p.jobs().withColumn("k", F.col("job_id") % 25).join(F.broadcast(names.withColumnRenamed("name", "second")), "k").withColumn("description", F.concat_ws(" and ", "description", "second")).drop("k", "second")
+    """Jobs whose description asks for a second skill, that of the brand which follows by key."""
+    second = F.concat(F.lit("Brand#"), (11 + F.col("job_id") % 15).cast("string"))
+    return p.jobs().withColumn("description", F.concat_ws(" and ", "description", second))
 
 
-JOBS_TWO = "two AS (SELECT j.job_id, j.title, j.description || ' and ' || n.name AS description, j.is_active FROM jobs j JOIN (SELECT name, row_number() OVER (ORDER BY skill_id) - 1 AS k FROM skills) n ON n.k = j.job_id % 25)"
+JOBS_TWO = "two AS (SELECT job_id, title, description || ' and Brand#' || (11 + job_id % 15) AS description, is_active FROM jobs)"
 
 
 @query(f"""SELECT user_id, place, skill_id, wanted FROM (SELECT user_id, skill_id, wanted, row_number() OVER (PARTITION BY user_id ORDER BY wanted DESC, skill_id)::BIGINT AS place FROM
-(WITH {JOBS_TWO}, {JOB_SKILLS.replace('FROM jobs j', 'FROM two j')}, pairs AS (SELECT a.skill_id, b.skill_id AS other, count(*) AS n FROM job_skills a JOIN job_skills b ON a.job_id = b.job_id AND a.skill_id <> b.skill_id GROUP BY 1, 2)
-SELECT us.user_id, p.other AS skill_id, sum(p.n)::BIGINT AS wanted FROM user_skills us JOIN pairs p USING (skill_id) WHERE NOT EXISTS (SELECT 1 FROM user_skills x WHERE x.user_id = us.user_id AND x.skill_id = p.other) GROUP BY 1, 2)) WHERE place <= 3""")
+(WITH {JOBS_TWO}, {JOB_SKILLS.replace('FROM jobs j', 'FROM two j')}, asks AS (SELECT job_id, count(DISTINCT skill_id) AS n FROM job_skills GROUP BY 1),
+good AS (SELECT us.user_id, s.job_id FROM user_skills us JOIN (SELECT DISTINCT * FROM job_skills) s USING (skill_id) JOIN asks USING (job_id) GROUP BY 1, 2 HAVING 2 * count(*) >= max(n))
+SELECT g.user_id, s.skill_id, count(*)::BIGINT AS wanted FROM good g JOIN (SELECT DISTINCT * FROM job_skills) s USING (job_id) WHERE NOT EXISTS (SELECT 1 FROM user_skills x WHERE x.user_id = g.user_id AND x.skill_id = s.skill_id) GROUP BY 1, 2)) WHERE place <= 3""")
 def skills_to_learn(p: Portal) -> DataFrame:
     found = analytics.skills_to_learn(jobs_with_two(p), p.skills(), p.user_skills())
     return found.withColumn("place", F.col("place").cast("long"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(t, '(?im)^\s*(experience|education|skills|projects|summary|certifications)\b'))::BIGINT AS headings, regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS has_email,
-regexp_matches(t, '\+?[0-9][0-9 ()-]{7,}[0-9]') AS has_phone, len(regexp_extract_all(t, '\b(19|20)[0-9]{2}\b'))::BIGINT AS years, len(regexp_extract_all(t, '(?m)^\s*[-*]\s'))::BIGINT AS bullets,
+@query(r"""SELECT doc_id, len(regexp_extract_all(t, '(?im)^[ \t]*(experience|education|skills|projects|summary|certifications)\b'))::BIGINT AS headings, regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS has_email,
+regexp_matches(t, '\+?[0-9][0-9 ()-]{7,}[0-9]') AS has_phone, len(regexp_extract_all(t, '\b(19|20)[0-9]{2}\b'))::BIGINT AS years, len(regexp_extract_all(t, '(?m)^[ \t]*[-*]\s'))::BIGINT AS bullets,
 len(regexp_extract_all(t, '(?i)\b(led|built|managed|designed|created|improved|developed|delivered)\b'))::BIGINT AS action_verbs, len(regexp_extract_all(t, '[0-9]+'))::BIGINT AS numbers FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def resume_features(p: Portal) -> DataFrame:
     return analytics.resume_features(p.star("documents"))
@@ -367,7 +390,7 @@ def job_updates(p: Portal) -> DataFrame:
 LEFT JOIN (SELECT o_custkey AS user_id, concat('https://cdn.example.com/v/', max(o_orderkey)) AS url, concat('v/', max(o_orderkey)) AS id FROM orders GROUP BY 1) f USING (user_id)""")
 def resume_replacements(p: Portal) -> DataFrame:
     asked = p.star("orders").selectExpr("o_orderkey AS request_id", "o_custkey AS user_id", "concat('https://cdn.example.com/v/', o_orderkey) AS url", "concat('v/', o_orderkey) AS public_id", "DATE '1997-01-01' AS requested_at")
-    return lifecycle.replace_files(p.users(), asked, "resume").select("user_id", "resume", "resume_public_id")
+    return lifecycle.replace_files(p.users(), asked, "resume")[0].select("user_id", "resume", "resume_public_id")
 
 
 @query("SELECT job_id, applicant_email, count(*)::BIGINT AS n FROM ranked GROUP BY 1, 2 HAVING count(*) > 1")
@@ -387,3 +410,115 @@ def skill_cascade(p: Portal) -> DataFrame:
 def scalar_rules(p: Portal) -> DataFrame:
     rows = p.star("customer").selectExpr("c_custkey AS user_id", "concat('\\t\\u00a0 ', lower(c_mktsegment), ' \\ufeff\\n') AS c", "c_custkey * 123456.0 AS n", "CASE WHEN c_custkey % 2 = 0 THEN '5%' ELSE '5 of 100' END AS title")
     return rows.select("user_id", F.concat(F.lit("["), trimmed(F.col("c")), F.lit("]")).alias("trimmed"), decimal_or_null(F.col("n"), 10, 2).alias("salary"), contains_ilike(F.col("title"), F.lit(r"\%")).alias("has_percent"))
+
+
+@query("""SELECT company_id, job_id, title, description, salary, location, job_type, openings, role, work_location, posted_by_recruiter_id, is_active FROM jobs""")
+def company_page_jobs(p: Portal) -> DataFrame:
+    pages = companies.company_pages(p.companies(), p.jobs()).select("company_id", F.explode("jobs").alias("j"))
+    return pages.select("company_id", *(F.col(f"j.{c}") for c in companies.JOB_FIELDS if c not in ("company_id", "created_at")))
+
+
+@query("""SELECT title, salary, openings, company_id FROM jobs""")
+def created_jobs(p: Portal) -> DataFrame:
+    """Every job posted again by its owner."""
+    asked = p.jobs().selectExpr(
+        "job_id AS request_id", "posted_by_recruiter_id AS actor_user_id", "title", "description", "salary", "location", "role", "job_type", "work_location", "company_id", "openings", "created_at AS requested_at",
+    )
+    old = p.jobs().agg(F.max("job_id").alias("top"))
+    new, _ = lifecycle.create_jobs(p.jobs(), p.companies(), p.users(), asked)
+    return new.join(F.broadcast(old), F.col("job_id") > F.col("top")).select("title", "salary", "openings", "company_id")
+
+
+@query("""SELECT * FROM (SELECT o_orderkey AS request_id, CASE WHEN lost THEN 404 ELSE 400 END AS code, CASE WHEN lost THEN 'user_not_found' ELSE 'too_long' END AS reason
+FROM (SELECT *, o_custkey % 2 = 1 OR o_custkey NOT IN (SELECT c_custkey FROM customer) AS lost FROM orders) WHERE lost OR o_orderkey % 3 = 0)""")
+def profile_rejects(p: Portal) -> DataFrame:
+    asked = p.star("orders").selectExpr(
+        "o_orderkey AS request_id", "CASE WHEN o_custkey % 2 = 1 THEN -o_custkey ELSE o_custkey END AS user_id", "'N' AS name", "CASE WHEN o_orderkey % 3 = 0 THEN repeat('1', 21) END AS phone_number",
+        "CAST(NULL AS STRING) AS bio", "o_orderdate AS requested_at",
+    )
+    return lifecycle.update_profiles(p.users(), asked)[1]
+
+
+@query("""SELECT o_orderkey AS event_id, o_orderkey % 30 < 15 AS live FROM orders""")
+def session_expiry(p: Portal) -> DataFrame:
+    """Sessions issued on each order's date, looked at up to 29 days later."""
+    issued = F.col("o_orderdate").cast("timestamp_ntz")
+    seen = issued + F.make_dt_interval((F.col("o_orderkey") % 30).cast("int"))
+    return p.star("orders").select(F.col("o_orderkey").alias("event_id"), tokens.session_live(issued, seen).alias("live"))
+
+
+def ats_answers(p: Portal) -> DataFrame:
+    """Model-written ATS documents made of orders, some with a score that is out of range."""
+    return p.star("orders").selectExpr("o_orderkey AS doc_id", """concat('```json{"atsScore": ', o_orderkey % 120, ', "scoreBreakdown": {"formatting": {"score": ', o_custkey % 101, ', "feedback": "f"}, "keywords": {"score": ', o_orderkey % 101,
+        ', "feedback": "k"}}, "suggestions": [{"category": "c', o_custkey % 3, '", "issue": "i", "recommendation": "r", "priority": "', CASE o_orderkey % 2 WHEN 0 THEN 'high' ELSE 'low' END, '"}], "strengths": ["s"], "summary": "x"}```') AS raw""")
+
+
+@query("""SELECT o_orderkey AS doc_id, o_orderkey % 120 AS score, o_custkey % 101 AS formatting, concat('c', o_custkey % 3) AS category FROM orders WHERE o_orderkey % 120 <= 100""")
+def ats_typed(p: Portal) -> DataFrame:
+    good, _ = documents.parse_ats(ats_answers(p))
+    first = F.col("doc.suggestions")[0]["category"]
+    return good.select("doc_id", F.col("doc.atsScore").cast("long").alias("score"), F.col("doc.scoreBreakdown")["formatting"]["score"].cast("long").alias("formatting"), first.alias("category"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'bad_score' AS reason FROM orders WHERE o_orderkey % 120 > 100")
+def ats_rejects(p: Portal) -> DataFrame:
+    return documents.parse_ats(ats_answers(p))[1].select("doc_id", "reason")
+
+
+@query("""SELECT dimension, count(*)::BIGINT AS n, avg(score) AS mean_score, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.5) AS median_score, quantile_cont(score, 0.9) AS p90 FROM
+(SELECT unnest(['total', 'formatting', 'keywords']) AS dimension, unnest([o_orderkey % 120, o_custkey % 101, o_orderkey % 101])::DOUBLE AS score FROM orders WHERE o_orderkey % 120 <= 100) GROUP BY 1""")
+def ats_scores(p: Portal) -> DataFrame:
+    return documents.ats_summary(documents.parse_ats(ats_answers(p))[0])
+
+
+@query("SELECT CASE o_orderkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS priority, concat('c', o_custkey % 3) AS category, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 120 <= 100 GROUP BY 1, 2")
+def ats_issue_counts(p: Portal) -> DataFrame:
+    return documents.ats_issues(documents.parse_ats(ats_answers(p))[0])
+
+
+@query("""SELECT o_orderkey AS doc_id, concat('s', o_custkey) AS summary, concat('t', o_orderkey) AS skill FROM orders""")
+def career_typed(p: Portal) -> DataFrame:
+    raw = p.star("orders").selectExpr("o_orderkey AS doc_id", """concat('{"summary": "s', o_custkey, '", "skillsToLearn": [{"category": "c", "skills": [{"title": "t', o_orderkey, '"}]}]}') AS raw""")
+    good, _ = documents.parse_career(raw)
+    return good.select("doc_id", "doc.summary", F.col("doc.skillsToLearn")[0]["skills"][0]["title"].alias("skill"))
+
+
+@query(f"""SELECT m.user_id, m.job_id, coalesce(u.subscription > TIMESTAMP '1996-01-01', false) AS premium FROM (SELECT user_id, job_id FROM (SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY matched DESC, job_id) AS place FROM
+(WITH {JOB_SKILLS} SELECT us.user_id, js.job_id, count(*) AS matched FROM user_skills us JOIN job_skills js USING (skill_id) GROUP BY 1, 2)) WHERE place <= 3) m JOIN users u USING (user_id)""")
+def premium_feed(p: Portal) -> DataFrame:
+    matches = analytics.skill_job_match(p.jobs(), p.skills(), p.user_skills())
+    return analytics.premium_feed(matches, p.users(), "1996-01-01 00:00:00").select("user_id", "job_id", "premium")
+
+
+def mail_values(p: Portal) -> DataFrame:
+    """Mail events of which some name no recipient and some are no JSON."""
+    return p.star("events").selectExpr("concat(CASE WHEN event_id % 3 = 1 THEN '{\"to\":\"\"' ELSE concat('{\"to\":\"user', user_id, '@example.com\"') END, ',\"subject\":\"s', event_id, '\",\"html\":\"h\"}', CASE WHEN event_id % 3 = 2 THEN ' x' ELSE '' END) AS value")
+
+
+@query(f"""SELECT '{notify.SENDER}' AS sender, concat('user', user_id, '@example.com') AS recipient, concat('s', event_id) AS subject, 'h' AS html FROM events WHERE event_id % 3 = 0""")
+def mail_outbox(p: Portal) -> DataFrame:
+    sent = notify.outbox(notify.parse_mails(mail_values(p)))
+    return sent.select(F.col("from").alias("sender"), F.col("to").alias("recipient"), "subject", "html")
+
+
+@query("""SELECT concat(CASE WHEN event_id % 3 = 1 THEN '{"to":""' ELSE concat('{"to":"user', user_id, '@example.com"') END, ',"subject":"s', event_id, '","html":"h"}', CASE WHEN event_id % 3 = 2 THEN ' x' ELSE '' END) AS value,
+CASE WHEN event_id % 3 = 1 THEN 'no_recipient' ELSE 'invalid_json' END AS reason FROM events WHERE event_id % 3 <> 0""")
+def mail_rejects(p: Portal) -> DataFrame:
+    return notify.rejects(notify.parse_mails(mail_values(p)))
+
+
+@query("""SELECT '{"company_id":' || company_id || ',"name":"' || name || '","bio":null}' AS value FROM companies""")
+def json_rows(p: Portal) -> DataFrame:
+    return to_json_rows(p.companies().select("company_id", "name", F.lit(None).cast("string").alias("bio")))
+
+
+@query(f"SELECT {TS.format('w')} AS window_start, kind, count(*)::BIGINT AS n FROM (SELECT unnest([date_trunc($$hour$$, ts), date_trunc($$hour$$, ts) - INTERVAL 1 HOUR]) AS w, kind FROM reset_log) GROUP BY ALL".replace("$$", "'"))
+def mail_volume_sliding(p: Portal) -> DataFrame:
+    return analytics.mail_volume(p.reset_log(), window="2 hours", slide="1 hour").withColumn("window_start", text_ts("window_start"))
+
+
+@query(f"""SELECT email, {TS.format('min(ts)')} AS session_start, count(*)::BIGINT AS n FROM (SELECT email, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY email ORDER BY ts, event_id) AS nth FROM
+(SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY email ORDER BY ts, event_id) + INTERVAL 6 HOUR, true) AS gap FROM reset_log)) GROUP BY email, nth""")
+def mail_sessions(p: Portal) -> DataFrame:
+    found = analytics.mail_sessions(p.reset_log(), to="email", gap="6 hours")
+    return found.select("email", text_ts("start").alias("session_start"), "n")
