@@ -16,6 +16,7 @@ frequent in toxic texts of the sample than in clean ones.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -276,6 +277,17 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 40, rate: float = 0.5, de
     return field
 
 
+_known: tuple[str, dict[bytes, float]] = ("", {})
+
+
+def known(name: str) -> dict[bytes, float]:
+    """The scores of words that this worker process has seen under the model of that name, the last one only."""
+    global _known
+    if _known[0] != name:
+        _known = (name, {})
+    return _known[1]
+
+
 def excerpt(text: str, most: int) -> str:
     """A text of at most `most` words as it is; of a longer one, windows of up to 64 words of its lines, drawn over the whole text by a hash."""
     windows = []
@@ -318,7 +330,7 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", out: str = "sco
     threshold by their byte offsets in UTF-8. Row-local; all columns and repeated rows stay.
     """
     ship(docs.sparkSession)
-    names = docs.columns
+    names, model_name = docs.columns, uuid.uuid4().hex
     if {out, spans} & {*names}:
         raise ValueError(f"docs already has a column {out} or {spans}")
     # of fixed size: 2 MB
@@ -336,7 +348,7 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", out: str = "sco
         return [{"start": where[k][0], "length": where[k][1] - where[k][0], "probability": round(float(p[k]), 6)} for k in np.flatnonzero(p >= threshold).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = Field(*shared.value), {}
+        model, cache = Field(*shared.value), known(model_name)
         for batch in batches:
             scores, found = [], []
             for lo in range(0, batch.num_rows, 512):

@@ -65,6 +65,26 @@ def test_mined_rules_equal_brute_force(spark):
         assert r["v"] == next((x["verdict"] for x in got if set(x["tokens"]) <= set(r["tokens"])), None)
 
 
+def test_url_verdicts_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    url = F.col("url")
+    host, path = url_filter.host_of(url), url_filter.path_of(url)
+    rows = pages.select("page_id", "url", url_filter.tokens_of(url, host, path).alias("tokens")).collect()
+    given = {r["page_id"]: judged(r["url"]) for r in rows}
+    labelled = [(list(r["tokens"]), given[r["page_id"]][3]) for r in rows]
+    rules = url_filter.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
+    by_token = {}
+    for k, rule in enumerate(rules):
+        by_token.setdefault(rule["tokens"][0], []).append((k, set(rule["tokens"]), rule["verdict"]))
+    got = {r["page_id"]: r for r in url_filter.judge(pages, queries.HOST_RULES).collect()}
+    assert len(got) == len(rows) and rules
+    for r in rows:
+        fired = min(((k, v) for t in r["tokens"] for k, need, v in by_token.get(t, ()) if need <= set(r["tokens"])), default=(0, None))[1]
+        host, path, rule, verdict = given[r["page_id"]]
+        found = got[r["page_id"]]
+        assert (found["host"], found["path"], found["rule"], found["mined"], found["verdict"]) == (host, path, rule, fired, verdict or fired or "allow")
+
+
 # packing
 
 
