@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tallyhire.llm.common import ship
 
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -157,6 +157,11 @@ class ForcedBoundaryBPE:
             out[k] = self._encode_special(texts[k].as_py().encode())
         return out
 
+    def each(self, texts: pa.Array, rows: int = 2048) -> Iterator[np.ndarray]:
+        """encode_all, so many texts at a time."""
+        for lo in range(0, len(texts), rows):
+            yield from self.encode_all(texts.slice(lo, rows))
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
@@ -219,7 +224,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         decimal = [str(i) for i in range(len(bpe._table))]
         for batch in batches:
             n, a, b = [], [], []
-            for ids in bpe.encode_all(batch.column(1)):
+            for ids in bpe.each(batch.column(1)):
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

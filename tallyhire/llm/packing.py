@@ -144,7 +144,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: st
         bpe = loaded(path)
         for batch in batches:
             n, crcs = [], []
-            for ids in bpe.encode_all(batch.column(1)):
+            for ids in bpe.each(batch.column(1)):
                 data = np.concatenate([ids.astype("<u4"), end]).tobytes()
                 n.append(len(data) // 4)
                 crcs.append([crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])

@@ -188,7 +188,7 @@ def keyed(docs: DataFrame) -> DataFrame:
                     c = class_of(h)
                     if not len(h) or c in seen:
                         continue
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(c)
                     keys.append(np.unique(signatures(h)[0]))
@@ -231,7 +231,7 @@ def met(rows: DataFrame) -> DataFrame:
             _, first = np.unique(print_, return_index=True)
             new = np.zeros(len(start), bool)
             new[[i for i in first.tolist() if int(print_[i]) not in given]] = True
-            if len(given) > 1_000_000:
+            if len(given) > 200_000:
                 given.clear()
             given.update(print_[new].tolist())
             end = np.repeat(start + size, size)  # of each row's group
