@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tallyhire.llm.common import ship
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -157,10 +157,11 @@ class ForcedBoundaryBPE:
             out[k] = self._encode_special(texts[k].as_py().encode())
         return out
 
-    def each(self, texts: pa.Array, rows: int = 2048) -> Iterator[np.ndarray]:
+    def each(self, texts: pa.Array, rows: int = 512) -> Iterator[np.ndarray]:
         """encode_all, so many texts at a time."""
         for lo in range(0, len(texts), rows):
             yield from self.encode_all(texts.slice(lo, rows))
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]

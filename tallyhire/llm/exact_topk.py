@@ -69,14 +69,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     spark = candidates.sparkSession
     ship(spark)
     q = keep(quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-    c = keep(quantised(candidates, id_col, vector_col, scale))
+    c = keep(quantised(candidates, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
     norm = lambda df: df.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x.cast("double"))).alias("m")).first()
     (n_q, m_q), (n_c, m_c) = norm(q), norm(c)
     if not n_q or not n_c:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts, groups = max(8, -(-n_c // CANDIDATES)), -(-n_q // QUERIES)
     # both sides' keys must be of one type: 64-bit hashes and sequences, as an int and a long are dealt to different partitions
-    dealt = c.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts).cast("long"))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = c.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.lit(parts).cast("long"))).withColumn("g", every(groups))
     limit = min(TOP, int((m_q * m_c) ** 0.5 * (1 + 1e-9)) + 2)  # no score is beyond it, by Cauchy and Schwarz
     width = 1
     while width * BINS < 2 * limit + 1:
@@ -86,7 +87,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     state = q.select("id", F.lit(-limit).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
 
     def side(now: DataFrame) -> DataFrame:
-        return q.join(now, "id").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups).cast("long"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return q.join(now, "id").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups).cast("long"))).withColumn("part", every(parts))
 
     def blocks(qs: pa.Table, cs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(query ids, lo, need, candidate ids, scores with the queries' own at the least value)"""
@@ -124,7 +125,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         above = bins.withColumn("upto", F.sum("n").over(down)).join(state, "id").filter(F.col("upto") >= F.col("need"))
         chosen = above.groupBy("id").agg(F.max_by(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need")), "bin").alias("x"))
         # a query with fewer candidates than it needs keeps its lowest bound and takes them all
-        state = keep(state.join(chosen, "id", "left").select("id", F.when(F.col("x").isNull(), F.col("lo")).otherwise((F.col("lo").cast("decimal(38,0)") + F.col("x.bin") * F.lit(width).cast("decimal(20,0)")).cast("long")).alias("lo"), F.coalesce("x.need", "need").alias("need")))
+        up = (F.col("lo").cast("decimal(38,0)") + F.col("x.bin") * F.lit(width).cast("decimal(20,0)")).cast("long")
+        lo = F.when(F.col("x").isNull(), F.col("lo")).otherwise(up)
+        state = keep(state.join(chosen, "id", "left").select("id", lo.alias("lo"), F.coalesce("x.need", "need").alias("need")))
         if width == 1:
             break
         width //= BINS

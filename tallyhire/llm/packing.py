@@ -164,9 +164,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
     spark = docs.sparkSession
     room = capacity // class_width
     full, rest = F.floor(F.col("doc_tokens") / capacity), F.col("doc_tokens") % capacity
-    # 256 parts by a hash: a class that a third of all documents share is still ranked by many tasks
+    # 256 parts by a hash, of the row's number too: a class that a third of all documents share, even one document that is a
+    # third of all rows, is still ranked by many tasks; the parts are fixed once the rows are written
     rows = keep(tokenized(docs, path, end_id, capacity, id_col, text_col).select(
-        "*", full.alias("n_full"), F.ceil(rest / class_width).cast("int").alias("class"), F.pmod(F.xxhash64("id", "crcs"), F.lit(RANK_PARTS)).cast("int").alias("part"),
+        "*", full.alias("n_full"), F.ceil(rest / class_width).cast("int").alias("class"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(RANK_PARTS)).cast("int").alias("part"),
     ))
     # at most (room + 1) * RANK_PARTS rows, however many documents
     counts = rows.groupBy("class", "part").agg(F.count("*").alias("n"), F.sum("n_full").alias("full")).toPandas().sort_values(["class", "part"])
@@ -206,7 +207,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
                 k = rank[mine] - at[:, 0]
                 sequence[last[mine]], slot[last[mine]] = at[:, 1] + k // at[:, 2], at[:, 3] + k % at[:, 2]
             values = crcs.values.slice(int(lists[0]), int(lists[-1] - lists[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(nth * capacity), pa.array(length), values, pa.array(tokens[row]), pa.array(sequence), pa.array(slot)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
+            columns = [batch.column(0).take(pa.array(row)), pa.array(nth * capacity), pa.array(length), values, pa.array(tokens[row]), pa.array(sequence), pa.array(slot)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     cut = ranked.mapInArrow(pieces, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")

@@ -154,7 +154,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """(doc_id, print, n, class, spare, sketch) of every text; class is a hash of the whole set, spare signatures' second value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             n, a, b, sk = [], [], [], []
             for t in batch.column(2):
                 h = shingles(t.as_py())
@@ -291,6 +291,14 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one before it is handed on stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()  # the worker process lives on
+
+
 class Sets:
     """The sets of the classes seen last."""
 
@@ -342,7 +350,7 @@ def deviations(families: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, members = Sets(), Sets()
-        for batch in batches:
+        for batch in sliced(batches):
             n, new, lost, ok = [], [], [], []
             for c, d, x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 p, q = bases.of(c, x), members.of(d, y)
@@ -377,12 +385,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def based(groups: DataFrame, family: str) -> DataFrame:
-    """(family, base, m) from large groups (key, m, n): a group's base is its member in most groups, of those the smallest.
+    """(family, base, m) from large groups (key, m, n, often): a group's base is its member in most groups, of those the smallest.
 
     family: "base" joins the groups of one base, "key" keeps each apart.
     """
-    often = groups.groupBy("m").agg(F.count("*").alias("groups"))
-    base = groups.join(often, "m").groupBy("key").agg(F.max_by("m", F.struct("groups", -F.col("n"), "m")).alias("base"))
+    base = groups.groupBy("key").agg(F.max(F.struct("often", -F.col("n"), "m")).alias("best")).select("key", F.col("best.m").alias("base"))
     rows = groups.select("key", "m").join(base, "key").filter("m <> base")
     return rows.select(F.col(family).alias("family"), "base", "m").distinct()
 
@@ -432,10 +439,11 @@ def prefixes(rows: DataFrame) -> DataFrame:
     base = gone.groupBy("family").agg(F.collect_list("k").alias("base_k"), F.collect_list("e").alias("base_e"))  # shingles of the base
 
     def lists(column: pa.Array) -> list[np.ndarray]:
-        return np.split(np.asarray(column.values), np.asarray(column.offsets)[1:-1]) if len(column) else []
+        values, offsets = np.asarray(column.values), np.asarray(column.offsets)  # both of the whole batch, offsets of the slice
+        return [values[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out, keys = [], []
             fixed = (c.to_pylist() for c in batch.columns[:8])
             for family, m, n, s, u, comp, least, new, lost, k, e, base_k, base_e in zip(*fixed, *map(lists, batch.columns[8:]), strict=True):
@@ -485,23 +493,24 @@ def family_pairs(rows: DataFrame, comp: DataFrame, texts: DataFrame) -> tuple[li
             return [*pairs, keep(across(sized))], links
         pairs.append(keep(across(sized.filter(F.col("size") <= SMALL))))
         most = left
-        rows = keep(deviations(based(large.select("key", "m", "n"), "key"), texts))
+        often = large.groupBy("m").agg(F.count("*").alias("often"))
+        rows = keep(deviations(based(large.join(often, "m").select("key", "m", "n", "often"), "key"), texts))
         links.append(rows.filter("linked").select("base", "m").toDF("a", "b"))
 
 
 def meetings(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that meet in small groups, by sizes and sketches possible; rows (key, m, n) of the large groups' doubtful classes."""
+    """Pairs (a, b) that meet in small groups, by sizes and sketches possible; rows (key, m, n, often) of the large groups' doubtful classes."""
     groups = keep(met(keyed(docs).repartition("key").sortWithinPartitions("key", "class")))
     large = groups.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("m")).withColumn("odd", F.col("key").bitwiseAND(F.lit(1)).cast("int"))
     spare = classes.select(F.col("class").alias("m"), "spare", "n")
     doubtful = large.groupBy("m", "odd").agg(F.count("*").alias("hot")).join(spare, "m").filter(F.col("hot") >= F.element_at("spare", F.col("odd") + 1))
-    stays = large.join(doubtful.select("m", "odd", "n"), ["m", "odd"]).select("key", "m", "n")
+    stays = large.join(doubtful.select("m", "odd", "n", "hot"), ["m", "odd"]).select("key", "m", "n", F.col("hot").alias("often"))
     stays = keep(stays.join(stays.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"))
     few = stays.filter(F.col("size") <= HOT).select("key", "m")
     more = few.withColumnRenamed("m", "a").join(few.withColumnRenamed("m", "b"), "key").filter("a < b").select("a", "b")
     pairs = keep(near(groups.filter("NOT hot").select("a", "b").union(more).distinct(), classes))
     drop_kept(groups)
-    return pairs, stays.filter(F.col("size") > HOT).select("key", "m", "n")
+    return pairs, stays.filter(F.col("size") > HOT).select("key", "m", "n", "often")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -50,7 +50,11 @@ def features(text: str | None, metadata: tuple[float | None, ...] = ()) -> tuple
     n = max(1, len(data))
     by = np.bincount(CLASSES[np.frombuffer(data, np.uint8)], minlength=10) / n
     lines = [x for x in data.split(b"\n") if x.strip()]
-    stats = [min(BINS - 1, n.bit_length() - 1), *(share_bin(x) for x in by[1:]), min(BINS - 1, int(BINS * len(distinct) / max(1, len(words)))), min(BINS - 1, int(len(data) / max(1, len(words)))), share_bin(1 - len(set(lines)) / max(1, len(lines))), min(BINS - 1, int(len(data) / max(1, len(lines))).bit_length())]
+    per_word, per_line = len(data) / max(1, len(words)), len(data) / max(1, len(lines))
+    stats = [
+        min(BINS - 1, n.bit_length() - 1), *(share_bin(x) for x in by[1:]), min(BINS - 1, int(BINS * len(distinct) / max(1, len(words)))),
+        min(BINS - 1, int(per_word)), share_bin(1 - len(set(lines)) / max(1, len(lines))), min(BINS - 1, int(per_line).bit_length()),
+    ]
     for x in metadata:
         stats.append(0 if x is None or not np.isfinite(x) else 1 + min(BINS - 2, int(max(0, x)).bit_length()))
     offset = (1 << WORD_BITS) + BINS * np.arange(len(stats))
@@ -131,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py(), tuple(m)) for t, *m in zip(batch.column(2), *([x.as_py() for x in batch.column(k)] for k in range(3, batch.num_columns)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))], ["place", "y", "index", "value"])
+            index, value = pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index, value], ["place", "y", "index", "value"])
 
     found = sample.select(F.xxhash64("doc_id").alias("place"), "y", "text", *(F.col(c).cast("double") for c in metadata))
     found = found.mapInArrow(run, "place long, y int, index array<int>, value array<float>").toArrow()

@@ -37,7 +37,8 @@ def running(rows: DataFrame, by: str, weight: str, buckets: int = LEAST_BUCKETS)
     sums = rows.groupBy(by, "bucket").agg(F.sum(weight).alias("s"))
     starts = sums.withColumn("start", F.sum("s").over(Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).drop("s")
     inside = Window.partitionBy(by, "bucket").orderBy("link").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("inside", F.sum(weight).over(inside) - F.col(weight)).join(starts, [by, "bucket"]).withColumn("before", F.col("start") + F.col("inside")).drop("start", "inside", "bucket")
+    rows = rows.withColumn("inside", F.sum(weight).over(inside) - F.col(weight)).join(starts, [by, "bucket"])
+    return rows.withColumn("before", F.col("start") + F.col("inside")).drop("start", "inside", "bucket")
 
 
 def propagate(shares: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
@@ -59,10 +60,15 @@ def propagate(shares: DataFrame, quotas: list[int], rounds: int | None = None) -
             break
         limit = [max(0, r) + leaving.get(s, 0) for s, r in enumerate(room)]
         # shares of one text that move to one shard are ranked together
-        arriving = running(moving.groupBy("link", "to").agg(F.sum("n").alias("n")), "to", "n").select("link", "to", F.greatest(F.lit(0).cast("long"), F.least("n", F.element_at(numbers(limit), F.col("to") + 1) - F.col("before"))).alias("allowed"))
+        none = F.lit(0).cast("long")
+        allowed = F.greatest(none, F.least("n", F.element_at(numbers(limit), F.col("to") + 1) - F.col("before")))
+        arriving = running(moving.groupBy("link", "to").agg(F.sum("n").alias("n")), "to", "n").select("link", "to", allowed.alias("allowed"))
         order = Window.partitionBy("link", "to").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-        moved = moving.join(arriving, ["link", "to"]).withColumn("first", F.sum("n").over(order) - F.col("n")).withColumn("go", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("allowed") - F.col("first"))))
-        parts = wish.filter(F.col("to") == F.col("shard")).select("link", "shard", "n").unionByName(moved.select("link", F.col("to").alias("shard"), F.col("go").alias("n"))).unionByName(moved.select("link", "shard", (F.col("n") - F.col("go")).alias("n")))
+        moved = moving.join(arriving, ["link", "to"]).withColumn("first", F.sum("n").over(order) - F.col("n"))
+        moved = moved.withColumn("go", F.greatest(none, F.least(F.col("n"), F.col("allowed") - F.col("first"))))
+        stay = wish.filter(F.col("to") == F.col("shard")).select("link", "shard", "n")
+        gone, rest = moved.select("link", F.col("to").alias("shard"), F.col("go").alias("n")), moved.select("link", "shard", (F.col("n") - F.col("go")).alias("n"))
+        parts = stay.unionByName(gone).unionByName(rest)
         after = keep(parts.filter(F.col("n") > 0).groupBy("link", "shard").agg(F.sum("n").alias("n")))
         drop_kept(shares)
         shares = after
@@ -90,9 +96,14 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int | None = None, id_col
     names. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = keep(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("link")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))))
+    size, crc = (F.octet_length(text) + 16).cast("long"), F.crc32(text.cast("binary"))
+    base = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), F.sha2(text, 256).alias("link"))
+    # the row's number spreads repeated ids, too; salts are fixed once the rows are written
+    base = keep(base.withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS))))
     by_link = Window.partitionBy("link")  # at most SALTS rows
-    cells = keep(base.groupBy("link", "salt").agg(F.count("*").alias("c")).withColumn("group", F.sum("c").over(by_link)).withColumn("start", F.sum("c").over(by_link.orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")))
+    upto = F.sum("c").over(by_link.orderBy("salt").rowsBetween(Window.unboundedPreceding, 0))
+    cells = base.groupBy("link", "salt").agg(F.count("*").alias("c")).withColumn("group", F.sum("c").over(by_link))
+    cells = keep(cells.withColumn("start", upto - F.col("c")))
     linked, single = cells.filter("group > 1"), cells.filter("group = 1")
     total = base.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -117,7 +128,8 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int | None = None, id_col
     in_group = by_link.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     placed = running(shares, "shard", "n").withColumn("before", F.col("before") + at(taken, F.col("shard")))
     if seated:
-        first = F.array(*[F.struct(F.lit(link).alias("link"), F.lit(to).alias("shard"), F.lit(n).cast("long").alias("n"), F.lit(before).cast("long").alias("before")) for link, to, before, n in seated])
+        seat = lambda link, to, before, n: F.struct(F.lit(link).alias("link"), F.lit(to).alias("shard"), F.lit(n).cast("long").alias("n"), F.lit(before).cast("long").alias("before"))
+        first = F.array(*(seat(*x) for x in seated))
         placed = placed.unionByName(docs.sparkSession.range(1).select(F.inline(first)))
     placed = placed.withColumn("from", F.sum("n").over(in_group) - F.col("n"))
     pieces = linked.join(placed, "link").filter((F.col("start") < F.col("from") + F.col("n")) & (F.col("from") < F.col("start") + F.col("c"))).select(
@@ -125,13 +137,16 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int | None = None, id_col
         F.col("shard").alias("home"), (F.col("before") + F.col("start") - F.col("from")).alias("base"),
     )
     ranked = base.withColumn("r", F.row_number().over(Window.partitionBy("link", "salt").orderBy("id", "size")) - 1)
-    mine = ranked.alias("d").join(pieces.alias("p"), (F.col("d.link") == F.col("p.link")) & (F.col("d.salt") == F.col("p.salt")) & (F.col("d.r") >= F.col("p.lo")) & (F.col("d.r") < F.col("p.hi"))).select(
+    cell = (F.col("d.link") == F.col("p.link")) & (F.col("d.salt") == F.col("p.salt"))
+    mine = ranked.alias("d").join(pieces.alias("p"), cell & (F.col("d.r") >= F.col("p.lo")) & (F.col("d.r") < F.col("p.hi"))).select(
         "d.id", "d.size", "d.text_crc32", "p.home", (F.col("p.base") + F.col("d.r")).alias("at"),
     )
     stays = F.col("at") < at(quotas, F.col("home"))
-    fixed = mine.select("id", "size", "text_crc32", F.when(stays, F.col("home")).alias("shard"), F.col("at"), F.when(~stays, at(over_at, F.col("home")) + F.col("at") - at(quotas, F.col("home"))).alias("free"))
+    free = F.when(~stays, at(over_at, F.col("home")) + F.col("at") - at(quotas, F.col("home")))
+    fixed = mine.select("id", "size", "text_crc32", F.when(stays, F.col("home")).alias("shard"), F.col("at"), free.alias("free"))
     # rows without links, after the linked ones that had no place, go through the free places in order
-    alone = running(single.select("link", "salt", F.lit(1).cast("long").alias("n"), F.lit(0).alias("all")), "all", "n", max(LEAST_BUCKETS, total // BUCKET_ROWS)).select("link", "salt", (F.col("before") + sum(over)).alias("free"))
+    ones = single.select("link", "salt", F.lit(1).cast("long").alias("n"), F.lit(0).alias("all"))
+    alone = running(ones, "all", "n", max(LEAST_BUCKETS, total // BUCKET_ROWS)).select("link", "salt", (F.col("before") + sum(over)).alias("free"))
     rest = base.join(alone, ["link", "salt"]).select("id", "size", "text_crc32", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("at"), "free")
     both = fixed.withColumn("shard", F.col("shard").cast("long")).unionByName(rest)
     to = F.size(F.filter(numbers(free_at), lambda x: x <= F.col("free"))) - 1

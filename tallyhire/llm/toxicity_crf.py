@@ -33,7 +33,7 @@ BITS = 18
 PREFIXES = (3, 4, 5, 6, 7)
 SUFFIXES = (3, 4)
 N_FEATURES = 2 + len(PREFIXES) + len(SUFFIXES)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 MARKS = ".,;:!?#*$%&|<>\"'()[]{}-_~+=/\\"
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -347,5 +347,6 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", out: str = "sco
                     found += [offsets(t, p) for t, p in zip(texts, tagged, strict=True)]
             more = [pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, out, *([spans] if spans else [])])
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return docs.mapInArrow(run, schema)

@@ -269,9 +269,8 @@ def variants(rng, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_brute_force(spark, seed):
-    rng = random.Random(seed)
+def test_join_equals_brute_force(spark):
+    rng = random.Random(1)
     text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
     texts = variants(rng, text(150), 220, 3) + [f"{text(40)} {common}" for common in [text(60)] for _ in range(150)]
     for n in (1, 2, 4, 5, 6, 8, 9, 12, 15, 20, 40, 90, 700):
@@ -299,18 +298,18 @@ def test_join_of_families_equals_brute_force(spark, monkeypatch):
     text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
     base = text(140)
     texts = []
-    for k in range(320):
+    for k in range(220):
         w = list(base)
         for at in rng.sample(range(len(w)), rng.choice([1, 2, 3, 4, 5, 6])):
             w[at] = f"m{rng.randrange(10**6)}" if rng.random() < 0.7 else f"n{at}"
         texts.append(" ".join(w))
     chain = list(base)
-    for k in range(60):  # each two changes further from the base
+    for k in range(40):  # each two changes further from the base
         for at in rng.sample(range(len(chain)), 2):
             chain[at] = f"c{k}"
         texts.append(" ".join(chain))
     passage = text(70)
-    texts += [" ".join(passage + text(rng.randrange(5, 60))) for _ in range(150)]
+    texts += [" ".join(passage + text(rng.randrange(5, 60))) for _ in range(100)]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
