@@ -151,10 +151,13 @@ def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, transition
         return p, np.zeros((2, 2))
     inner = np.ones(len(emit), bool)  # tokens with a successor in their chain
     inner[np.cumsum(sizes) - 1] = False
-    left = np.flatnonzero(inner)
-    right = back[left + 1] * np.stack([np.ones(len(left)), e[left + 1]], 1)
-    both = forward[left][:, :, None] * m * right[:, None, :]
-    return p, (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    left, count = np.flatnonzero(inner), np.zeros((2, 2))
+    for lo in range(0, len(left), 1 << 16):
+        at = left[lo : lo + (1 << 16)]
+        right = back[at + 1] * np.stack([np.ones(len(at)), e[at + 1]], 1)
+        both = forward[at][:, :, None] * m * right[:, None, :]
+        count += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return p, count
 
 
 @dataclass
@@ -203,12 +206,16 @@ def indicative(texts: list[str], y: np.ndarray, least: int = 4, lift: float = 25
     A context is the word before: passages that copies share count once, and so don't make their words look toxic.
     """
     toxic, clean = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    contexts: set[tuple[str, str]] = set()
+    numbers: dict[str, int] = {}
+    contexts: set[int] = set()  # a word's number and a hash of the word before
     for text in (t for t, label in zip(texts, y, strict=True) if label == 1):
-        words = list(map(core, text.split()))
-        contexts.update(zip(["", *words], words, strict=False))
-    counts = Counter(w for _, w in contexts if w)
-    counts = Counter({w: n for w, n in counts.items() if n >= min(least, max(2, toxic // 12))})
+        before = 0
+        for word in map(core, text.split()):
+            contexts.add(numbers.setdefault(word, len(numbers)) << 32 | before)
+            before = crc32(word.encode("utf-8", "replace"))
+    found = Counter(c >> 32 for c in contexts)
+    counts = Counter({w: found[k] for w, k in numbers.items() if w and found[k] >= min(least, max(2, toxic // 12))})
+    del contexts, found
     elsewhere: Counter = Counter()
     for text in (t for t, label in zip(texts, y, strict=True) if label == 0):
         elsewhere.update({w for w in map(core, set(text.split())) if w in counts})
@@ -308,7 +315,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: st
 
     found = sample.select(F.xxhash64("doc_id").alias("place"), "y", "text").mapInArrow(run, "place long, y int, text string").toArrow()
     found = found.sort_by([("place", "ascending"), ("text", "ascending")])
-    return fit(found["text"].to_pylist(), np.asarray(found["y"].to_pylist(), np.float64), **options)
+    texts, y = found["text"].to_pylist(), np.asarray(found["y"].to_pylist(), np.float64)
+    del found
+    pa.default_memory_pool().release_unused()
+    return fit(texts, y, **options)
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text", out: str = "score", spans: str | None = None, threshold: float = 0.5) -> DataFrame:
