@@ -11,7 +11,6 @@ The program's size depends on the capacity only. Spark tokenizes, counts, ranks
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -30,46 +29,124 @@ CLASS_WIDTH = 8
 RANK_PARTS = 256
 
 
-def price(duals: np.ndarray, units: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The pattern of largest dual value that fits in room: unbounded knapsack. units ascend."""
+#: Patterns that one pricing adds to the pool, pivots before the next one, pivots before the basis is inverted anew.
+POOL, PRICE_EVERY, INVERT_EVERY = 48, 48, 300
+
+
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse of a square matrix by Gauss-Jordan elimination in numpy's own loops.
+
+    A driver shares its process with Spark's threads, and threaded LAPACK calls were seen to hang there; so the linear
+    program calls neither LAPACK nor BLAS.
+    """
+    n = len(a)
+    work = np.concatenate([a, np.eye(n)], axis=1)
+    for k in range(n):
+        r = k + int(np.abs(work[k:, k]).argmax())
+        if r != k:
+            work[[k, r]] = work[[r, k]]
+        work[k] /= work[k, k]
+        column = work[:, k].copy()
+        column[k] = 0
+        rows = np.flatnonzero(column)
+        work[rows] -= column[rows, None] * work[k]
+    return work[:, n:]
+
+
+def times(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Matrix times vector, without BLAS."""
+    return np.einsum("ij,j->i", a, v)
+
+
+def price(duals: np.ndarray, units: np.ndarray, room: int, most: int = 1) -> tuple[float, np.ndarray]:
+    """The largest dual value of a pattern that fits in room, and up to `most` patterns, best first (rows): unbounded knapsack.
+
+    The patterns are the best ones that hold each class. units ascend.
+    """
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
+    fits = np.searchsorted(units, np.arange(room + 1), "right").tolist()
     for w in range(1, room + 1):
-        best[w], took[w] = best[w - 1], -1
-        k = int(np.searchsorted(units, w, "right"))
+        best[w] = best[w - 1]
+        k = fits[w]
         if k:
             value = best[w - units[:k]] + duals[:k]
             j = int(value.argmax())
             if value[j] > best[w] + 1e-12:
                 best[w], took[w] = value[j], j
-    pattern, w = np.zeros(len(units), np.int64), room
-    while w > 0:
-        if took[w] < 0:
-            w -= 1
-        else:
-            pattern[took[w]] += 1
-            w -= units[took[w]]
-    return float(best[room]), pattern
+    holding = duals + best[room - units]
+    found: dict[bytes, np.ndarray] = {}
+    for first in np.argsort(-holding, kind="stable").tolist():
+        pattern, w = np.zeros(len(units), np.int64), room - int(units[first])
+        pattern[first] = 1
+        while w > 0:
+            if took[w] < 0:
+                w -= 1
+            else:
+                pattern[took[w]] += 1
+                w -= int(units[took[w]])
+        found.setdefault(pattern.tobytes(), pattern)
+        if len(found) >= most or (len(found) > 1 and holding[first] <= 1 + 1e-7):
+            break
+    return float(best[room]), np.stack(list(found.values()))
+
+
+def largest_first(units: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
+    """A basis (columns): patterns filled with the largest classes left, each used until a class is used up.
+
+    No later pattern holds that class, so the patterns are independent.
+    """
+    left, open_, out = demand.astype(np.float64), np.ones(len(units), bool), []
+    while open_.any():
+        p, w = np.zeros(len(units)), room
+        for k in np.flatnonzero(open_)[::-1].tolist():
+            p[k] = w // units[k]
+            w -= int(p[k]) * int(units[k])
+        held = np.flatnonzero(p)
+        uses = left[held] / p[held]
+        last = int(uses.argmin())
+        left[held] = np.maximum(left[held] - uses[last] * p[held], 0)
+        open_[held[last]] = False
+        out.append(p)
+    return np.stack(out, 1)
 
 
-def column_generation(units: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def column_generation(units: np.ndarray, demand: np.ndarray, room: int, gap: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Patterns (rows), how often each is used, possibly a fraction, so that demand is met exactly, and a bound no plan can beat.
 
-    Revised simplex, begun with patterns of one class each. It ends when no pattern is worth more than a sequence, or when
-    the duals prove that no plan saves one sequence, or the share `gap` of all (0: the optimum). The basis is inverted
-    anew now and then, so that rounding errors don't add up.
+    Revised simplex, begun with the patterns of largest_first. A pricing fills a pool of patterns, from which pivots take the
+    best until none is worth more than a sequence. Prices are drawn towards those of the best bound so far, at first the
+    lengths themselves, so that they don't swing; where these find nothing, the basis's own prices decide. It ends when no
+    pattern is worth more than a sequence, or, with a gap, when the bound proves that no plan saves one sequence, or the
+    share `gap` of all; at the latest after 400 pivots a class, as rounding errors could make it go round in circles.
+    The basis is inverted anew now and then, so that errors don't add up.
     """
     m = len(units)
-    patterns = np.diag(room // units).astype(np.float64)  # columns of the basis
-    inverse = np.diag(1.0 / (room // units))
-    x = inverse @ demand
-    bound = 0.0
-    for nth in itertools.count(1):
+    patterns = largest_first(units, demand, room)  # columns of the basis
+    inverse = inverted(patterns)
+    x = times(inverse, demand)
+    centre = units / room  # prices that no pattern exceeds
+    bound, pool, since = float((centre * demand).sum()), np.empty((0, m)), 0
+    for nth in range(1, 400 * m + 400):
         duals = inverse.sum(0)
-        value, pattern = price(duals, units, room)
-        bound = max(bound, float(duals @ demand) / max(1.0, value))  # duals / value are prices that no pattern exceeds
-        if value <= 1 + 1e-7 or (gap and x.sum() - bound < max(1.0, gap * bound)):
+        if gap and x.sum() - bound < max(1.0, gap * bound):
             break
-        u = inverse @ pattern
+        values = times(pool, duals)
+        if not len(values) or values.max() <= 1 + 1e-7 or since >= PRICE_EVERY:
+            for drawn in (0.7, 0.0):
+                prices = np.maximum(drawn * centre + (1 - drawn) * duals, 0)
+                value, found = price(prices, units, room, POOL)
+                prices = prices / max(1.0, value)
+                if (prices * demand).sum() > bound:
+                    bound, centre = float((prices * demand).sum()), prices
+                pool = found.astype(np.float64)
+                values = times(pool, duals)
+                if values.max() > 1 + 1e-7:
+                    break
+            else:
+                break
+            since = 0
+        pattern = pool[int(values.argmax())]
+        u = times(inverse, pattern)
         positive = u > 1e-9
         if not positive.any():
             break
@@ -77,15 +154,17 @@ def column_generation(units: np.ndarray, demand: np.ndarray, room: int, gap: flo
         ratio[positive] = np.maximum(x[positive], 0) / u[positive]
         r = int(ratio.argmin())
         patterns[:, r] = pattern
-        if nth % 200 == 0:
-            inverse = np.linalg.inv(patterns)
-            x = inverse @ demand
+        since += 1
+        if nth % INVERT_EVERY == 0:
+            inverse = inverted(patterns)
+            x = times(inverse, demand)
             continue
         x = x - ratio[r] * u
         x[r] = ratio[r]
         inverse[r] /= u[r]
         u[r] = 0
-        inverse -= np.outer(u, inverse[r])
+        rows = np.flatnonzero(u)
+        inverse[rows] -= u[rows, None] * inverse[r]
     return patterns.T.astype(np.int64), np.maximum(x, 0), bound
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -128,7 +129,7 @@ def test_column_generation_is_optimal():
     assert np.isclose(bound, uses.sum())
     assert np.allclose(uses @ patterns, demand) and (patterns @ units <= 256).all()
     # strong duality: prices under which no pattern is worth more than a sequence, and the demand as much as the sequences used
-    prices = np.linalg.solve(patterns.astype(float), np.ones(len(units)))
+    prices = packing.inverted(patterns.astype(float)).sum(axis=1)
     worth = [0.0] * 257
     for w in range(1, 257):
         worth[w] = max([worth[w - 1], *(worth[w - u] + y for u, y in zip(units.tolist(), prices, strict=True) if u <= w)])
@@ -137,6 +138,23 @@ def test_column_generation_is_optimal():
     assert found.bound <= uses.sum() * (1 + 1e-9) and found.n_sequences <= uses.sum() * (1 + 1e-4) + 1 + len(units)
 
 
+HISTOGRAMS = {
+    "every class": (np.arange(1, 257), lambda rng: rng.integers(1, 10**9, 256)), "large classes": (np.arange(50, 200), lambda rng: rng.integers(1, 10**6, 150)),
+    "few of each": (np.arange(1, 257), lambda rng: rng.integers(1, 4, 256)), "one class with nearly all": (np.arange(20, 120), lambda rng: np.where(np.arange(100) == 50, 10**8, rng.integers(1, 1000, 100))),
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_column_generation_ends_soon(spark, name):
+    """With a session beside it, whose process threaded LAPACK calls have hung."""
+    units, draw = HISTOGRAMS[name]
+    demand = draw(np.random.default_rng(2))
+    began = time.time()
+    patterns, uses, bound = packing.column_generation(units, demand.astype(float), 256)
+    assert time.time() - began < 10
+    assert np.allclose(uses @ patterns, demand) and (patterns @ units <= 256).all() and np.isclose(bound, uses.sum())
+
+
 # top-k
 
 
