@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhire.llm import bpe, exact_topk, packing, parity_join, quality_fm, repetition, sharding, token_counts, toxicity_crf, url_filter
+from tallyhire.llm import bpe, exact_topk, packing, parity_join, quality_fm, repetition, secret_scan, sharding, token_counts, toxicity_crf, url_filter
 from tallyhire.llm.common import held_out, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,12 +119,16 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reac
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY 1) USING (doc_id)"""
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_factorisation_machine, op2_forced_boundary_bpe, op3_association_url_filter, op4_cutting_stock_packing,
         op5_histogram_topk, op6_repetition_coverage, op7_label_propagation_shards, op8_trie_token_counts, op9_toxicity_crf,
-        op10_parity_sketch_join,
+        op10_parity_sketch_join, op13_secret_scan,
     )
 }
 
