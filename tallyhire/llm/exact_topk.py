@@ -17,44 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhire.llm.common import keep, ship
+from tallyhire.llm.exact_scores import TOP, Exact, matrix, places, products, scaled, widened
 
 BINS = 1024
 #: Rows of a block: candidates, queries.
 CANDIDATES, QUERIES = 16384, 2048
-#: Scaled components beyond this take no part: doubles no longer hold each integer there.
-LARGEST = 1 << 53
-#: Scores beyond 64 bits become the largest or smallest of these.
-TOP = (1 << 63) - 1
-
-
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>, dim) of the rows that take part: vectors, ids and components not null, all components finite and at most LARGEST."""
-    x = F.col(vector_col)
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(F.lit(float(scale)) * c.cast("double")) <= F.lit(float(LARGEST))))
-    return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(finite).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"), F.size(x).alias("dim"),
-    )
-
-
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in double precision where no sum can pass 2^53, else in 64-bit integers.
-
-    The few pairs of vectors so large that a sum could pass 2^62 are computed with Python's integers and cut to 64 bits.
-    """
-    large = [np.abs(x).max(axis=1, initial=0).astype(np.float64) for x in (q, c)]
-    bound = np.outer(*large) * q.shape[1]
-    if bound.max(initial=0) < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    exact = q @ c.T
-    for i, j in zip(*np.nonzero(bound >= 2**62), strict=True):
-        exact[i, j] = max(-TOP, min(TOP, sum(int(a) * int(b) for a, b in zip(q[i], c[j], strict=True))))
-    return exact
-
-
-def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -62,15 +29,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
 
     Components become floor(scale * x). A query's own id is no candidate for it. Only vectors of the query's dimension
     are; null vectors, and those with null or non-finite components, take no part. A query row that is repeated counts
-    once (of different vectors under one query id, the smallest); repeated candidate rows each count. Vectors with scaled
-    components beyond LARGEST take no part either, and scores beyond 64 bits become the largest or smallest that fit. Other
-    columns are ignored, whatever their names. Empty tables give no rows.
+    once (of different vectors under one query id, the smallest); repeated candidate rows each count. Scores beyond 64 bits
+    compare as they are and are returned as the largest or smallest long. Other columns are ignored, whatever their names.
+    Empty tables give no rows.
     """
     spark = candidates.sparkSession
     ship(spark)
-    q = keep(quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-    c = keep(quantised(candidates, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
-    norm = lambda df: df.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x.cast("double"))).alias("m")).first()
+    q = keep(scaled(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    c = keep(scaled(candidates, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
+    norm = lambda df: df.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     (n_q, m_q), (n_c, m_c) = norm(q), norm(c)
     if not n_q or not n_c:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -78,7 +45,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     # both sides' keys must be of one type: 64-bit hashes and sequences, as an int and a long are dealt to different partitions
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     dealt = c.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.lit(parts).cast("long"))).withColumn("g", every(groups))
-    limit = min(TOP, int((m_q * m_c) ** 0.5 * (1 + 1e-9)) + 2)  # no score is beyond it, by Cauchy and Schwarz
+    most = (m_q * m_c) ** 0.5 if m_q < 2.0**500 and m_c < 2.0**500 else 2.0**500
+    limit = min(TOP, int(most * (1 + 1e-9)) + 2)  # no score is beyond it, by Cauchy and Schwarz
     width = 1
     while width * BINS < 2 * limit + 1:
         width *= BINS
@@ -89,8 +57,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     def side(now: DataFrame) -> DataFrame:
         return q.join(now, "id").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups).cast("long"))).withColumn("part", every(parts))
 
-    def blocks(qs: pa.Table, cs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(query ids, lo, need, candidate ids, scores with the queries' own at the least value)"""
+    def blocks(qs: pa.Table, cs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Exact]]:
+        """(query ids, lo, need, candidate ids, scores with the queries' own at the least value, those cut to 64 bits)"""
         if not qs.num_rows or not cs.num_rows:
             return
         ids, dim = np.asarray(cs["id"]), qs["dim"][0].as_py()
@@ -98,14 +66,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         for at in range(0, qs.num_rows, 256):
             part = qs.slice(at, 256)
             own = np.asarray(part["id"])
-            s = products(matrix(part["v"], dim), cv)
+            s, exact = products(matrix(part["v"], dim), cv)
             s[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-            yield own, np.asarray(part["lo"]), np.asarray(part["need"]), ids, s
+            yield own, np.asarray(part["lo"]), np.asarray(part["need"]), ids, s, exact
 
     def histogram(width: int):
         def run(qs: pa.Table, cs: pa.Table) -> pa.Table:
             out = [[], [], []]
-            for own, lo, need, _, s in blocks(qs, cs):
+            for own, lo, need, _, s, _ in blocks(qs, cs):
                 above = (s.view(np.uint64) - lo.view(np.uint64)[:, None]) // np.uint64(width)  # right where s >= lo, without overflow
                 bins = np.where((s >= lo[:, None]) & (above < BINS), above.astype(np.int64), -1)
                 n = min(k, s.shape[1])
@@ -133,20 +101,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         width //= BINS
 
     def take(qs: pa.Table, cs: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        for own, lo, need, ids, s in blocks(qs, cs):
+        out: list[list] = [[], [], [], []]
+        for own, lo, need, ids, s, exact in blocks(qs, cs):
             i, j = np.nonzero(s > lo[:, None])
             tie_i, tie_j = np.nonzero(s == lo[:, None])
-            order = np.lexsort((ids[tie_j], tie_i))
+            wide = places(s.shape, exact)
+            order = np.lexsort((ids[tie_j], tie_i) if wide is None else (ids[tie_j], -wide[tie_i, tie_j], tie_i))
             tie_i, tie_j = tie_i[order], tie_j[order]
             first = np.searchsorted(tie_i, tie_i, "left")
             few = np.arange(len(tie_i)) - first < need[tie_i]
             i, j = np.concatenate([i, tie_i[few]]), np.concatenate([j, tie_j[few]])
-            for column, x in zip(out, (own[i], ids[j], s[i, j]), strict=True):
-                column.append(x)
-        return pa.table({n: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+            cut = [exact.get(x) for x in zip(i.tolist(), j.tolist(), strict=True)] if exact else [None] * len(i)
+            for column, x in zip(out, (own[i].tolist(), ids[j].tolist(), s[i, j].tolist(), [None if x is None else widened(x) for x in cut]), strict=True):
+                column += x
+        return pa.table({n: pa.array(x, kind) for n, x, kind in zip(("query_id", "vec_id", "score", "wide"), out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)})
 
     both = side(state).groupBy("dim", "g", "part").cogroup(dealt.groupBy("dim", "g", "part"))
-    found = both.applyInArrow(take, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = both.applyInArrow(take, "query_id long, vec_id long, score long, wide string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhire.llm import bpe, exact_topk, packing, parity_join, quality_fm, repetition, secret_scan, sharding, token_counts, toxicity_crf, url_filter
+from tallyhire.llm import bpe, exact_topk, hard_negatives, packing, parity_join, quality_fm, repetition, secret_scan, sharding, token_counts, toxicity_crf, url_filter
 from tallyhire.llm.common import held_out, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,6 +119,21 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reac
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY 1) USING (doc_id)"""
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.nth ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.nth <= 5 AND p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10"""
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -128,8 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_factorisation_machine, op2_forced_boundary_bpe, op3_association_url_filter, op4_cutting_stock_packing,
         op5_histogram_topk, op6_repetition_coverage, op7_label_propagation_shards, op8_trie_token_counts, op9_toxicity_crf,
-        op10_parity_sketch_join, op13_secret_scan,
+        op10_parity_sketch_join, op12_hard_negatives, op13_secret_scan,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_histogram_topk": OP5_SQL, "op6_repetition_coverage": op6_sql(), "op10_parity_sketch_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_histogram_topk": OP5_SQL, "op6_repetition_coverage": op6_sql(), "op10_parity_sketch_join": OP10_SQL, "op12_hard_negatives": OP12_SQL}

@@ -168,15 +168,19 @@ def many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+LARGE = [(0, [5e7, 0.5]), (50, [-0.25, 3e9]), (100, [1e30, -1e30]), (1, [0.5, 0.5]), (2, [3e9, 3e9]), (3, [-3e9, -3e9]), (4, [1e30, 0.0]), (5, [0.1, -0.1]), (6, [1e30, 2e30]), (7, [2e30, 1e30]), (8, [1e30, 1.0]), (9, [0.0, 0.0]), (10, [-1e300, 1e300])]
+
+
 def test_topk_bears_large_components(spark):
-    vectors = [(0, [5e7, 0.5]), (50, [-0.25, 3e9]), (1, [0.5, 0.5]), (2, [3e9, 3e9]), (3, [-3e9, -3e9]), (4, [1e30, 0.0]), (5, [0.1, -0.1])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors if max(map(abs, v)) * 256 <= 2**53}
+    """Every finite vector takes part; scores beyond 64 bits rank as they are and come out cut."""
+    df = spark.createDataFrame(LARGE, "vec_id long, embedding array<double>")
+    whole = lambda x: int(256 * x) if abs(x) > 2**40 else int(np.floor(256 * x))
+    ints = {i: [whole(x) for x in v] for i, v in LARGE}
     cut = lambda x: max(-exact_topk.TOP, min(exact_topk.TOP, x))
     want = []
-    for q in (0, 50):
-        best = sorted((-cut(sum(a * b for a, b in zip(ints[q], v, strict=True))), i) for i, v in ints.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for q in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, n + 1, i, cut(-s)) for n, (s, i) in enumerate(best)]
     got = exact_topk.top_k(df.filter("vec_id % 50 = 0"), df).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
