@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhire.llm import bpe, exact_topk, hard_negatives, packing, parity_join, quality_fm, repetition, secret_scan, sharding, token_counts, toxicity_crf, url_filter
+from tallyhire.llm import bpe, collocations, exact_topk, hard_negatives, packing, parity_join, quality_fm, repetition, secret_scan, sharding, token_counts, toxicity_crf, url_filter
 from tallyhire.llm.common import held_out, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,6 +119,26 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reac
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY 1) USING (doc_id)"""
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')), '[^ 	]+') AS ws FROM documents),
+grams AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30 OR m = 1),
+c AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+cut AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
+scored AS (SELECT cut.lang, cut.m, cut.phrase, cut.a, k, fl.a AS l, fr.a AS r, (2000000::HUGEINT * cut.a // (fl.a + fr.a))::BIGINT AS score FROM cut JOIN f fl ON fl.lang = cut.lang AND fl.phrase = x JOIN f fr ON fr.lang = cut.lang AND fr.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS by_longer FROM (SELECT c.*, s, unnest(range(1, m - s + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE by_longer IS NULL OR 100::HUGEINT * by_longer < 80::HUGEINT * a),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -143,8 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_factorisation_machine, op2_forced_boundary_bpe, op3_association_url_filter, op4_cutting_stock_packing,
         op5_histogram_topk, op6_repetition_coverage, op7_label_propagation_shards, op8_trie_token_counts, op9_toxicity_crf,
-        op10_parity_sketch_join, op12_hard_negatives, op13_secret_scan,
+        op10_parity_sketch_join, op11_collocations, op12_hard_negatives, op13_secret_scan,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_histogram_topk": OP5_SQL, "op6_repetition_coverage": op6_sql(), "op10_parity_sketch_join": OP10_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_histogram_topk": OP5_SQL, "op6_repetition_coverage": op6_sql(), "op10_parity_sketch_join": OP10_SQL, "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL}
