@@ -67,7 +67,11 @@ def admit(attempts: DataFrame, users: DataFrame, jobs: DataFrame, existing: Data
         firsts = firsts.join(existing.select(*keys).distinct(), keys, "left_anti")
     new = firsts.select(F.col("attempt_id").alias("application_id"), "job_id", "applicant_email", F.lit("Submitted").alias("status"), "resume", F.col("attempted_at").alias("applied_at"), "subscribed")
     failed = rows.filter(F.col("reject").isNotNull()).select("attempt_id", "job_id", "user_id", "reject.code", "reject.reason")
-    late = valid.join(firsts.select("attempt_id", *keys), ["attempt_id", *keys], "left_anti")
+    judged = firsts.select("attempt_id", *keys).toDF(*(f"first_{k}" for k in ("attempt_id", *keys)))
+    same = F.col("attempt_id") == F.col("first_attempt_id")
+    for key in keys:  # a user without an email has applications, too
+        same = same & F.col(key).eqNullSafe(F.col(f"first_{key}"))
+    late = valid.join(judged, same, "left_anti")
     repeated = late.select("attempt_id", "job_id", "user_id", F.lit(409).alias("code"), F.lit("duplicate").alias("reason"))
     return new, failed.unionByName(repeated)
 

@@ -6,17 +6,14 @@ their timestamps within a micro-batch, and windows close with the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyhire.operators.notify import outbox, parse_mails, rejects, status_mails, to_mail_events
-from tallyhire.operators.tokens import TTL_SECONDS
-from tallyhire.sources.shipping import ship
+from tallyhire.streaming.state import admission_stream, admitted, refused, reset_stream
+
+__all__ = ["admission_stream", "admitted", "deliver", "first_applications", "mail_sessions", "mail_volume_stream", "read_mail_stream", "refused", "reset_stream", "status_mail_stream", "without_repeats"]
 
 
 def read_mail_stream(spark: SparkSession, servers: str, topic: str = "send-mail", group: str = "mail-service-group") -> DataFrame:
@@ -43,54 +40,6 @@ def status_mail_stream(decisions: DataFrame, jobs: DataFrame) -> DataFrame:
     return to_mail_events(status_mails(decisions.join(jobs.select("job_id", F.col("title").alias("job_title")), "job_id")))
 
 
-def reset_states(ttl_seconds: int):
-    """State by email: the latest request's token and time. A right attempt removes it, and so does the watermark that passes its end."""
-    ttl = pd.Timedelta(seconds=ttl_seconds)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        found = pd.concat(list(frames))
-        found = found.assign(o=(found["kind"] != "request").astype(int)).sort_values(["ts", "o", "event_id"])
-        held = state.get if state.exists else None
-        out = []
-        for r in found.itertuples():
-            if r.kind == "request":
-                held = (r.token, r.ts.to_pydatetime()) if r.known else held
-                continue
-            if held is None or not r.ts < pd.Timestamp(held[1]) + ttl:
-                outcome = "expired"
-            elif held[0] != r.token:
-                outcome = "mismatch"
-            else:
-                outcome, held = "ok", None
-            out.append((r.event_id, key[0], r.ts, outcome))
-        end = None if held is None else int((pd.Timestamp(held[1]) + ttl).tz_localize("UTC").timestamp() * 1000)
-        if end is None or end <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-            state.setTimeoutTimestamp(end)
-        yield pd.DataFrame(out, columns=["event_id", "email", "ts", "outcome"])
-
-    return run
-
-
-def reset_stream(log: DataFrame, users: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """(event_id, email, ts, outcome) of the attempts of a stream like tokens.resolve_resets' log, by event time in a UTC session.
-
-    A request of an unknown email leaves no token, so its attempts are 'expired'. Rows later than the delay are dropped;
-    a token's state goes once the watermark has passed its end.
-    """
-    ship(log.sparkSession)
-    known = users.select("email").distinct().withColumn("found", F.lit(True))
-    marked = log.withWatermark("ts", delay).join(known, "email", "left").withColumn("known", F.coalesce("found", F.lit(False))).drop("found")
-    schema = "event_id long, email string, ts timestamp, outcome string"
-    return marked.groupBy("email").applyInPandasWithState(reset_states(ttl_seconds), schema, "token string, ts timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def first_applications(attempts: DataFrame) -> DataFrame:
     """The first attempt to arrive for each (job_id, applicant_email). The rule has no time limit, so the state has none."""
     return attempts.dropDuplicates(["job_id", "applicant_email"])
