@@ -7,12 +7,14 @@ request_id).
 
 from __future__ import annotations
 
+from graphlib import CycleError, TopologicalSorter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhire.functions.text import decimal_or_null, fits, is_falsy, or_else
 from tallyhire.operators.applications import dedup_first, first_reason, latest_by
-from tallyhire.sources.schemas import JOB_TYPES, WORK_LOCATIONS
+from tallyhire.sources.schemas import FOREIGN_KEYS, JOB_TYPES, WORK_LOCATIONS
 
 ORDER = ["requested_at", "request_id"]
 
@@ -188,6 +190,36 @@ def delete_companies(companies: DataFrame, jobs: DataFrame, applications: DataFr
     return companies.join(gone, "company_id", "left_anti"), jobs.join(gone, "company_id", "left_anti"), applications.join(gone_jobs, "job_id", "left_anti"), rejects
 
 
+def delete_cascading(tables: dict[str, DataFrame], removed: dict[str, DataFrame], keys: list[tuple[str, str, str, str]] = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """All tables after rows were removed, and what refers to them, along the declared keys.
+
+    removed: for some tables, the values of one of their columns (a frame of that column alone) whose rows go. Tables are
+    taken parents first, so each is read once for itself and once for its children; references in a circle are a ValueError.
+    Null references and keys remove nothing.
+    """
+    parents: dict[str, set[str]] = {name: set() for name in tables}
+    for child, _, parent, _ in keys:
+        if child in tables and parent in tables:
+            parents[child].add(parent)
+    try:
+        order = list(TopologicalSorter(parents).static_order())
+    except CycleError as e:
+        raise ValueError(f"references in a circle: {' -> '.join(e.args[1])}") from None
+    kept: dict[str, DataFrame] = {}
+    gone: dict[str, DataFrame] = {}  # rows that go, for tables that lose any
+    for name in order:
+        table = tables[name]
+        causes = [(removed[name].columns[0], removed[name])] if name in removed else []
+        causes += [(column, gone[parent].select(F.col(key).alias(column))) for child, column, parent, key in keys if child == name and parent in gone]
+        kept[name] = table
+        for column, values in causes:
+            values = values.select(F.col(values.columns[0]).cast(table.schema[column].dataType).alias(column)).filter(F.col(column).isNotNull()).distinct()
+            lost = kept[name].join(values, column, "left_semi").select(table.columns)
+            gone[name] = gone[name].unionByName(lost) if name in gone else lost
+            kept[name] = kept[name].join(values, column, "left_anti").select(table.columns)
+    return kept
+
+
 def cascade(bridge: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """Rows of a bridge table after its parents were removed (users or skills)."""
     return bridge.join(removed.select(key).distinct(), key, "left_anti").select(bridge.columns)

@@ -39,7 +39,7 @@ def parse_mails(events: DataFrame) -> DataFrame:
     """
     value = F.coalesce("value", F.lit("{}"))
     rows = events.withColumn("text", value).withColumn("ok", is_strict_json("text")).withColumn("mail", F.when(F.col("ok"), F.from_json("text", MAIL)))
-    is_object = F.trim("text").startswith("{")
+    is_object = F.col("text").rlike(r"^[ \t\r\n]*\{")  # JSON's white space
     reason = F.when(~F.col("ok"), "invalid_json").when(~is_object, "not_an_object").when(F.coalesce(F.col("mail.to"), F.lit("")) == "", "no_recipient")
     return rows.withColumn("reason", reason).drop("text", "ok")
 

@@ -23,13 +23,22 @@ def latest_request(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Attempts of a log (event_id, email, ts, kind 'request' or 'attempt') with the latest request at or before each.
 
     request_id and request_ts are null without one; live says that it is younger than the lifetime. At equal times a
-    request comes before an attempt. One shuffle by email; no self-join.
+    request comes before an attempt.
+
+    The last request is carried forward within an email's hours, and from hour to hour over one row for each: so the rows of
+    an email that holds a third of the log are dealt out by hours, and no task orders them all.
     """
-    order = Window.partitionBy("email").orderBy("ts", F.when(F.col("kind") == "request", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    asked = F.when(F.col("kind") == "request", F.struct("event_id", "ts", "token"))
-    rows = log.withColumn("last", F.last(asked, ignorenulls=True).over(order)).filter(F.col("kind") == "attempt")
+    is_request = F.col("kind") == "request"
+    hour = F.date_diff("ts", F.lit("1970-01-01").cast("date")) * 24 + F.hour("ts")
+    rows = log.withColumn("hour", hour).withColumn("asked", F.when(is_request, F.struct("event_id", "ts", "token")))
+    heads = rows.groupBy("email", "hour").agg(F.max_by("asked", F.when(is_request, F.struct("ts", "event_id"))).alias("head"))
+    earlier = Window.partitionBy("email").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select(F.col("email").alias("of"), F.col("hour").alias("at"), F.last("head", ignorenulls=True).over(earlier).alias("carried"))
+    order = Window.partitionBy("email", "hour").orderBy("ts", F.when(is_request, 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("within", F.last("asked", ignorenulls=True).over(order)).filter(F.col("kind") == "attempt")
+    found = within.join(carried, F.col("email").eqNullSafe(F.col("of")) & F.col("hour").eqNullSafe(F.col("at")), "left").withColumn("last", F.coalesce("within", "carried"))
     live = F.coalesce(F.col("ts") < live_until(F.col("last.ts"), ttl_seconds), F.lit(False))
-    return rows.select("event_id", "email", "ts", "token", F.col("last.event_id").alias("request_id"), F.col("last.ts").alias("request_ts"), F.col("last.token").alias("request_token"), live.alias("live"))
+    return found.select("event_id", "email", "ts", "token", F.col("last.event_id").alias("request_id"), F.col("last.ts").alias("request_ts"), F.col("last.token").alias("request_token"), live.alias("live"))
 
 
 def resolve_resets(log: DataFrame, users: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
@@ -41,10 +50,10 @@ def resolve_resets(log: DataFrame, users: DataFrame, ttl_seconds: int = TTL_SECO
     known = users.select("email").distinct()
     stored = log.join(known.withColumn("known", F.lit(True)), "email", "left").filter((F.col("kind") != "request") | F.col("known")).drop("known")
     rows = latest_request(stored, ttl_seconds)
-    right = F.coalesce(F.col("token").eqNullSafe(F.col("request_token")) & F.col("live"), F.lit(False))
-    used = F.sum(F.when(right, 1).otherwise(0)).over(Window.partitionBy("email", "request_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    outcome = (
-        F.when(~F.col("live") | (F.coalesce(used, F.lit(0)) > 0), "expired")
-        .when(~F.col("token").eqNullSafe(F.col("request_token")), "mismatch").otherwise("ok")
-    )
+    right = rows.filter(F.col("live") & F.col("token").eqNullSafe(F.col("request_token")))
+    # the first right attempt uses a token up; an aggregate finds it, which combines before the shuffle
+    first = right.groupBy(F.col("request_id").alias("used_id"), F.col("email").alias("used_by")).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    rows = rows.join(first, F.col("request_id").eqNullSafe(F.col("used_id")) & F.col("email").eqNullSafe(F.col("used_by")), "left")
+    used = F.coalesce(F.struct("ts", "event_id") > F.col("first"), F.lit(False))
+    outcome = F.when(~F.col("live") | used, "expired").when(~F.col("token").eqNullSafe(F.col("request_token")), "mismatch").otherwise("ok")
     return rows.select("event_id", "email", "ts", "request_id", outcome.alias("outcome"))

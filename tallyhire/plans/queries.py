@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhire.functions import documents as docs_fn
 from tallyhire.functions.text import comma_list, contains_ilike, decimal_or_null, trimmed
-from tallyhire.operators import analytics, applications, assets, companies, documents, lifecycle, notify, profiles, search, skills, tokens
+from tallyhire.operators import analytics, applications, assets, companies, documents, lifecycle, notify, profiles, search, sketches, skills, tokens
 from tallyhire.sources.io import to_json_rows
 from tallyhire.sources.portal import Portal, with_views
 
@@ -522,3 +522,55 @@ def mail_volume_sliding(p: Portal) -> DataFrame:
 def mail_sessions(p: Portal) -> DataFrame:
     found = analytics.mail_sessions(p.reset_log(), to="email", gap="6 hours")
     return found.select("email", text_ts("start").alias("session_start"), "n")
+
+
+@query("""SELECT 'job' AS level, job_id AS key, count(DISTINCT applicant_email)::BIGINT AS applicants, true AS close FROM applications JOIN jobs USING (job_id) GROUP BY job_id
+UNION ALL SELECT 'company', company_id, count(DISTINCT applicant_email)::BIGINT, true FROM applications JOIN jobs USING (job_id) GROUP BY company_id
+UNION ALL SELECT 'recruiter', posted_by_recruiter_id, count(DISTINCT applicant_email)::BIGINT, true FROM applications JOIN jobs USING (job_id) GROUP BY posted_by_recruiter_id""")
+def applicant_sketch_error(p: Portal) -> DataFrame:
+    """Exact distinct applicants, and whether sketches by job and day, united upward, are within 3 %."""
+    rows = p.applications().join(p.jobs().select("job_id", "company_id", F.col("posted_by_recruiter_id").alias("recruiter_id")), "job_id")
+    kept = sketches.applicant_sketches(p.applications(), p.jobs())
+    found = None
+    for level, by in (("job", "job_id"), ("company", "company_id"), ("recruiter", "recruiter_id")):
+        exact = rows.groupBy(by).agg(F.count_distinct("applicant_email").alias("exact"))
+        both = exact.join(sketches.applicants(kept, by), by, "left")
+        close = F.abs(F.col("applicants") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+        each = both.select(F.lit(level).alias("level"), F.col(by).alias("key"), F.col("exact").alias("applicants"), F.coalesce(close, F.lit(False)).alias("close"))
+        found = each if found is None else found.unionByName(each)
+    return found
+
+
+@query("""SELECT dimension, count(*)::BIGINT AS n, true AS close FROM
+(SELECT unnest(['total', 'formatting', 'keywords']) AS dimension FROM orders WHERE o_orderkey % 120 <= 100) GROUP BY 1""")
+def ats_sketch_quantiles(p: Portal) -> DataFrame:
+    """Scores counted by sketches of days, merged; whether the 10th, 50th and 90th percentile hold their rank within 2 %."""
+    good = documents.parse_ats(ats_answers(p))[0].join(p.star("orders").select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day")), "doc_id")
+    at = (0.1, 0.5, 0.9)
+    found = sketches.score_quantiles(sketches.score_sketches(good, "day"), "dimension", at=at)
+    parts = good.select(F.explode(F.map_entries("doc.scoreBreakdown")).alias("e")).select(F.col("e.key").alias("dimension"), F.col("e.value.score").alias("score"))
+    scores = parts.unionByName(good.select(F.lit("total").alias("dimension"), F.col("doc.atsScore").alias("score")))
+    close = F.lit(True)
+    ranks = []
+    for k, q in enumerate(at):
+        v = F.col("quantiles")[k]
+        ranks += [F.avg((F.col("score") < v).cast("int")).alias(f"below_{k}"), F.avg((F.col("score") <= v).cast("int")).alias(f"upto_{k}")]
+        close = close & (F.col(f"below_{k}") - 0.02 <= q) & (F.col(f"upto_{k}") + 0.02 >= q)
+    return scores.join(F.broadcast(found), "dimension").groupBy("dimension", "n").agg(*ranks).select("dimension", "n", close.alias("close"))  # a row for each dimension
+
+
+@query("""SELECT 'companies' AS table_name, count(*)::BIGINT AS n FROM companies WHERE company_id % 7 <> 0
+UNION ALL SELECT 'jobs', count(*)::BIGINT FROM jobs WHERE company_id % 7 <> 0
+UNION ALL SELECT 'applications', count(*)::BIGINT FROM applications JOIN jobs USING (job_id) WHERE company_id % 7 <> 0
+UNION ALL SELECT 'users', count(*)::BIGINT FROM users WHERE user_id % 5 <> 1
+UNION ALL SELECT 'skills', count(*)::BIGINT FROM skills WHERE name NOT LIKE '%3'
+UNION ALL SELECT 'user_skills', count(*)::BIGINT FROM user_skills JOIN skills USING (skill_id) WHERE user_id % 5 <> 1 AND name NOT LIKE '%3'""")
+def declared_cascade(p: Portal) -> DataFrame:
+    """Rows left in each table after companies, users and skills were removed with all that refers to them."""
+    tables = {"companies": p.companies(), "jobs": p.jobs(), "applications": p.applications(), "users": p.users(), "skills": p.skills(), "user_skills": p.user_skills()}
+    removed = {"companies": p.companies().filter("company_id % 7 = 0").select("company_id"), "users": p.users().filter("user_id % 5 = 1").select("user_id"), "skills": p.skills().filter("name LIKE '%3'").select("skill_id")}
+    found = None
+    for name, rows in lifecycle.delete_cascading(tables, removed).items():
+        each = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        found = each if found is None else found.unionByName(each)
+    return found

@@ -20,6 +20,8 @@ TABLES: dict[str, T.StructType] = {
     "applications": struct(application_id=S, job_id=L, applicant_email=S, status=S, resume=S, applied_at=TS, subscribed=B),
 }
 KEYS = {"users": ["user_id"], "skills": ["skill_id"], "user_skills": ["user_id", "skill_id"], "companies": ["company_id"], "jobs": ["job_id"], "applications": ["application_id"]}
+#: Declared references, whose rows go with their parent's: child table and column, parent table and column.
+FOREIGN_KEYS = [("jobs", "company_id", "companies", "company_id"), ("applications", "job_id", "jobs", "job_id"), ("user_skills", "user_id", "users", "user_id"), ("user_skills", "skill_id", "skills", "skill_id")]
 
 # The enumerations of the portal's tables.
 USER_ROLES = ["jobseeker", "recruiter"]

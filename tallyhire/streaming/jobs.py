@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tallyhire.functions.documents import data_uri, mime_of
+from tallyhire.operators.assets import MAX_BYTES
 from tallyhire.operators.notify import outbox, parse_mails, rejects, status_mails, to_mail_events
 from tallyhire.streaming.state import admission_stream, admitted, refused, reset_stream
 
-__all__ = ["admission_stream", "admitted", "deliver", "first_applications", "mail_sessions", "mail_volume_stream", "read_mail_stream", "refused", "reset_stream", "status_mail_stream", "without_repeats"]
+__all__ = ["admission_stream", "admitted", "deliver", "first_applications", "ingest_stream", "mail_sessions", "mail_volume_stream", "read_mail_stream", "refused", "reset_stream", "status_mail_stream", "without_repeats"]
 
 
 def read_mail_stream(spark: SparkSession, servers: str, topic: str = "send-mail", group: str = "mail-service-group") -> DataFrame:
@@ -45,6 +47,22 @@ def first_applications(attempts: DataFrame) -> DataFrame:
     return attempts.dropDuplicates(["job_id", "applicant_email"])
 
 
+def ingest_stream(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(public_id, path, mime, length, data_uri, code, reason) of the files that arrive in a folder.
+
+    public_id is the content's digest: content that arrives again, under whatever name, is stored once, for the state
+    remembers every digest. Files of more than max_bytes have a code and a reason instead; their content is not read.
+    """
+    files = lambda: spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    small = files().filter(F.col("length") <= max_bytes)
+    stored = small.select(F.sha2("content", 256).alias("public_id"), "path", mime_of(name).alias("mime"), "length", data_uri(name, F.col("content")).alias("data_uri")).dropDuplicates(["public_id"])
+    large = files().filter(F.col("length") > max_bytes).select("path", "length")
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    rejects = large.select(none("public_id"), "path", none("mime"), "length", none("data_uri"), F.lit(413).alias("code"), F.lit("too_large").alias("reason"))
+    return stored.select("*", F.lit(None).cast("int").alias("code"), none("reason")).unionByName(rejects)
+
+
 def mail_volume_stream(events: DataFrame, ts: str = "ts", delay: str = "10 minutes", window: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(window_start, kind, n) once a window closes."""
     by = F.window(ts, window, slide) if slide else F.window(ts, window)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +271,52 @@ def test_plans_have_no_cartesian_product_and_no_single_window(spark):
         assert "CartesianProduct" not in plan and not any("Window" in x for x in above), name
     plan = QUERIES["jobs_by_id"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_partkey" in plan and "l_comment" not in plan
+
+
+def test_declared_cascade_equals_the_written_ones(spark, companies, jobs):
+    applications = spark.createDataFrame([(f"a{k}", k % 9) for k in range(40)] + [("none", None)], "application_id string, job_id long")
+    requests = companies.select(F.col("company_id"), F.col("recruiter_id").alias("actor_user_id"), F.col("company_id").cast("string").alias("request_id")).limit(1)
+    by_hand = lifecycle.delete_companies(companies, jobs, applications, requests)
+    tables = {"applications": applications, "jobs": jobs, "companies": companies}
+    declared = lifecycle.delete_cascading(tables, {"companies": requests.select("company_id")})
+    for name, want in zip(("companies", "jobs", "applications"), by_hand, strict=False):
+        assert sorted(map(str, declared[name].collect())) == sorted(map(str, want.select(declared[name].columns).collect()))
+    users, skills = spark.range(6).withColumnRenamed("id", "user_id"), spark.range(4).withColumnRenamed("id", "skill_id")
+    bridge = users.join(skills, F.lit(True)).unionByName(spark.createDataFrame([(None, 1)], "user_id long, skill_id long"))
+    removed = {"users": users.filter("user_id < 2"), "skills": skills.filter("skill_id = 3")}
+    want = lifecycle.cascade(lifecycle.cascade(bridge, removed["users"], "user_id"), removed["skills"], "skill_id")
+    found = lifecycle.delete_cascading({"users": users, "skills": skills, "user_skills": bridge}, removed)
+    assert sorted(map(str, found["user_skills"].collect())) == sorted(map(str, want.collect())) and found["users"].count() == 4
+    assert found["skills"].count() == 3 and found["user_skills"].filter("user_id IS NULL").count() == 1
+
+
+def test_circles_are_an_error(spark):
+    one = spark.createDataFrame([(1, 1)], "id long, of long")
+    with pytest.raises(ValueError, match="circle"):
+        lifecycle.delete_cascading({"a": one, "b": one}, {}, [("a", "of", "b", "id"), ("b", "of", "a", "id")])
+
+
+def test_hot_email_is_dealt_out_by_hours(spark, capsys):
+    """Carrying requests forward by hours gives what one pass over each email's whole log gives; its plan orders no whole email."""
+    rng = random.Random(21)
+    start = datetime(1995, 3, 25, 12)
+    log = [(k, "hot@x" if k % 3 else f"u{k % 5}@x" if k % 7 else None, start + timedelta(seconds=rng.choice([0, 1, 5, 1800, 3599, 3600, rng.randrange(600_000)])), rng.choice(["request", "attempt", "attempt"]), rng.choice("ab")) for k in range(1500)]
+    log += [(9000, "only@x", None, "attempt", "a"), (9001, "hot@x", None, "attempt", "a")]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(log, "event_id long, email string, ts timestamp, kind string, token string").withColumn("ts", F.col("ts").cast(kind))
+        found = {r["event_id"]: r["request_id"] for r in tokens.latest_request(df).collect()}
+        last, want = {}, {}
+        for i, email, ts, what, _ in sorted(log, key=lambda r: (r[2] or datetime(1, 1, 1), r[3] != "request", r[0])):
+            if what == "request":
+                last[email] = i
+            else:
+                want[i] = last.get(email)
+        assert found == want
+    tokens.latest_request(df).explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "SinglePartition" not in plan
+
+
+def test_white_space_before_a_mail(spark):
+    values = [f'{w}{{"to": "a@x", "subject": "s", "html": "h"}}{w}' for w in ("", " ", "\n", "\t", "\r\n ")]
+    assert notify.outbox(notify.parse_mails(spark.createDataFrame([(v,) for v in values], "value string"))).count() == 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -180,3 +182,21 @@ def test_repeated_mails_go_out_once(spark, tmp_path):
     spark.createDataFrame(rows, "ts timestamp, to string, subject string, html string").write.parquet(str(tmp_path / "m"))
     mails = spark.readStream.schema("ts timestamp, to string, subject string, html string").parquet(str(tmp_path / "m"))
     assert sorted(r["subject"] for r in run(streams.without_repeats(mails), "once", tmp_path)) == ["s", "t"]
+
+
+def test_files_are_stored_once(spark, tmp_path):
+    """The same content under two names, in one batch or after a restart, is one asset; large files are rejects, unread."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    stream = lambda: streams.ingest_stream(spark, str(folder), max_bytes=100)
+    for name, content in (("a.pdf", b"one"), ("b.pdf", b"two"), ("c.txt", b"one"), ("large.bin", b"x" * 101)):
+        (folder / name).write_bytes(content)
+    found, _ = to_files(stream(), tmp_path)
+    assert len(found) == 3
+    for name, content in (("again.pdf", b"two"), ("new.png", b"three"), ("edge.bin", b"y" * 100)):
+        (folder / name).write_bytes(content)
+    found, _ = to_files(stream(), tmp_path)
+    kept = {r["public_id"]: r for r in found if r["code"] is None}
+    assert {hashlib.sha256(c).hexdigest() for c in (b"one", b"two", b"three", b"y" * 100)} == set(kept) and len(found) == 5
+    assert all(base64.b64decode(r["data_uri"].split(",", 1)[1]) in (b"one", b"two", b"three", b"y" * 100) for r in kept.values())
+    assert [(r["path"].rsplit("/", 1)[1], r["length"], r["code"], r["reason"]) for r in found if r["code"]] == [("large.bin", 101, 413, "too_large")]
