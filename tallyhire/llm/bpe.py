@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tallyhire.llm.common import ship
+from tallyhire.llm.common import give_back, ship
 
 UNIT_BYTES = 2 << 20
 
@@ -161,7 +161,6 @@ class ForcedBoundaryBPE:
         """encode_all, so many texts at a time."""
         for lo in range(0, len(texts), rows):
             yield from self.encode_all(texts.slice(lo, rows))
-        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
@@ -210,6 +209,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
@@ -230,6 +230,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 a.append(hashlib.sha256(",".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

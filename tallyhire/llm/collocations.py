@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhire.llm.common import keep, ship
+from tallyhire.llm.common import give_back, keep, ship
 
 #: Bits of a Bloom filter (4 MB) and bits set for a phrase.
 BLOOM_BITS, BLOOM_HASHES = 1 << 25, 4
@@ -167,7 +167,7 @@ def counted(docs: DataFrame, pick: Callable[[], Pick]) -> DataFrame:
                         columns = [[words[x] for x in t[at + k].tolist()] for k in range(n)]
                         phrases = pa.array(list(map(b" ".join, zip(*columns, strict=True))) if n else [b""] * len(at), pa.binary()).cast(pa.string())
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrases, pa.array(counts[lo : lo + ROWS], pa.int64())], ["lang", "phrase", "n"])
-        pa.default_memory_pool().release_unused()  # the worker process lives on
+        give_back()
 
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 

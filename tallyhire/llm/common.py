@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhire.sources.shipping import ship
 
-__all__ = ["drop_kept", "held_out", "keep", "read", "shared_dir", "ship", "small_side", "training_rows"]
+__all__ = ["drop_kept", "give_back", "held_out", "keep", "read", "shared_dir", "ship", "small_side", "training_rows"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +42,15 @@ def drop_kept(*frames: DataFrame) -> None:
             df.sparkSession.range(0).write.mode("overwrite").parquet(file.rpartition("/")[0])
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system at the end of a task: workers live on while those of the next stage work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
+
+
 def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A side of a join, few long columns wide: to be broadcast where it has at most so many rows, else shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

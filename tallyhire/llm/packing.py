@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhire.llm.bpe import loaded
-from tallyhire.llm.common import keep, ship
+from tallyhire.llm.common import give_back, keep, ship
 
 CAPACITY = 2048
 CLASS_WIDTH = 8
@@ -228,6 +228,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: st
                 n.append(len(data) // 4)
                 crcs.append([crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "doc_tokens", "crcs"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, doc_tokens long, crcs array<long>")
@@ -288,6 +289,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
             values = crcs.values.slice(int(lists[0]), int(lists[-1] - lists[0]))
             columns = [batch.column(0).take(pa.array(row)), pa.array(nth * capacity), pa.array(length), values, pa.array(tokens[row]), pa.array(sequence), pa.array(slot)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     cut = ranked.mapInArrow(pieces, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhire.llm.common import drop_kept, keep, ship, small_side
+from tallyhire.llm.common import drop_kept, give_back, keep, ship, small_side
 
 WORDS = 5
 HOT = 8
@@ -296,7 +296,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
-    pa.default_memory_pool().release_unused()  # the worker process lives on
+    give_back()
 
 
 class Sets:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhire.llm.common import ship, training_rows
+from tallyhire.llm.common import give_back, ship, training_rows
 
 WORD_BITS = 18
 BINS = 16
@@ -170,5 +170,6 @@ def score(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text"
                 rows = [features(t.as_py(), tuple(d[j] for d in data)) for j, t in enumerate(part.column(text_at))]
                 scores.append(fm.score(rows))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(np.concatenate(scores) if scores else np.empty(0), 6))], [*names, out])
+        give_back()
 
     return docs.mapInArrow(run, f"{schema}, `{out}` double")

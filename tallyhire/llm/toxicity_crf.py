@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhire.llm.common import ship, training_rows
+from tallyhire.llm.common import give_back, ship, training_rows
 
 STEP = 64
 BITS = 18
@@ -317,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: st
     found = found.sort_by([("place", "ascending"), ("text", "ascending")])
     texts, y = found["text"].to_pylist(), np.asarray(found["y"].to_pylist(), np.float64)
     del found
-    pa.default_memory_pool().release_unused()
+    give_back()
     return fit(texts, y, **options)
 
 
@@ -357,6 +357,6 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", out: str = "sco
                     found += [offsets(t, p) for t, p in zip(texts, tagged, strict=True)]
             more = [pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, out, *([spans] if spans else [])])
-        pa.default_memory_pool().release_unused()  # the worker process lives on
+        give_back()
 
     return docs.mapInArrow(run, schema)
