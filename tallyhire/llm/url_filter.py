@@ -8,7 +8,6 @@ the few rules found. Urls that no rule of either kind fits get the default verdi
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 from dataclasses import dataclass
@@ -17,6 +16,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhire.llm.common import keep, small_side
+
 BLOCK, ALLOW = "block", "allow"
 #: Marks the verdicts among the items of a transaction; no url token holds a blank.
 VERDICT = "verdict "
@@ -89,83 +90,93 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     ))
 
 
-def lone_tokens(labelled: DataFrame, least: int) -> tuple[list[dict], dict[str, str]]:
-    """What single tokens of (tokens, verdict) tell: rules of tokens with one verdict only, and which frequent tokens always go together.
+def leads(labelled: DataFrame, least: int, alike: float) -> list[str]:
+    """The frequent tokens of (tokens) but those that nearly always go together with a more frequent one.
 
-    A token that occurs with one verdict only is a rule that no rule on more tokens can better. Tokens that occur in the
-    same rows are as one item: {token: the least of them}. Rows are told by two hashes that are summed up by token. At
-    most (tokens of a url) / min_support tokens are frequent, however many rows there are.
+    Two tokens are alike if they occur together in the share `alike` of the rows with either. Tokens are taken by falling
+    number of rows, then by text; one that is like a lead before it is none itself. So paths that many urls share don't make
+    all their subsets frequent. The driver gets frequent tokens and alike pairs of them: at most (tokens of a url) /
+    min_support tokens, however many rows there are.
     """
-    place = F.xxhash64(F.array_sort("tokens"), "verdict"), F.xxhash64(F.array_sort("tokens"), "verdict", F.lit(1))
-    rows = labelled.select("verdict", *(h.cast("decimal(38,0)").alias(f"h{k}") for k, h in enumerate(place)), F.explode("tokens").alias("token"))
-    stats = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("verdict").alias("lo"), F.max("verdict").alias("hi"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
-    found = sorted(stats.filter(F.col("n") >= least).collect(), key=lambda r: r["token"])
-    first: dict[tuple, str] = {}
-    same = {r["token"]: first.setdefault((r["n"], r["h0"], r["h1"]), r["token"]) for r in found}
-    pure = [{"tokens": [r["token"]], "verdict": r["lo"], "confidence": 1.0, "support": r["n"]} for r in found if r["lo"] == r["hi"]]
-    return pure, same
-
-
-def mine(transactions: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> list[dict]:
-    """All rules {tokens, verdict, confidence, support} from (tokens, verdict), best first, that support and confidence leave.
-
-    A rule is dropped if one on part of its tokens with the same verdict is as sure. FP-growth sees neither tokens that
-    are rules by themselves nor more than one of the tokens that always go together, so that long paths shared by many
-    urls don't make all their subsets frequent; a rule on such a token stands for a rule on each of them.
+    counts = {r["token"]: r["n"] for r in labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
+    kept = labelled.select(F.array_sort(F.array_intersect("tokens", literal(sorted(counts), "array<string>"))).alias("kept"))
+    pairs = F.flatten(F.transform("kept", lambda x, i: F.transform(F.slice("kept", i + 2, F.size("kept")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    both = kept.filter(F.size("kept") > 1).select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    sizes = labelled.sparkSession.createDataFrame(sorted(counts.items()), "token string, n long")
+    sized = both.join(F.broadcast(sizes.toDF("x", "n_x")), "x").join(F.broadcast(sizes.toDF("y", "n_y")), "y")
+    near: dict[str, set[str]] = {}
+    for r in sized.filter(F.col("n") >= alike * (F.col("n_x") + F.col("n_y") - F.col("n"))).select("x", "y").collect():
+        near.setdefault(r["x"], set()).add(r["y"])
+        near.setdefault(r["y"], set()).add(r["x"])
+    out: list[str] = []
+    for token in sorted(counts, key=lambda t: (-counts[t], t)):
+        if not near.get(token, set()) & set(out):
+            out.append(token)
+    return sorted(out)
+
+
+def rules_of(transactions: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, alike: float = 0.9) -> DataFrame:
+    """All rules (tokens, verdict, confidence, support) from (tokens, verdict) that support and confidence leave.
+
+    FP-growth finds the frequent sets of leads (see leads), single tokens and larger ones, with and without a verdict. A rule
+    is dropped if one on part of its tokens with the same verdict is as sure: sets are taken by size, and each learns from
+    those with one token less what the surest of its parts is.
     """
     labelled = transactions.filter(F.col("verdict").isNotNull()).select(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("tokens"), "verdict")
     least = max(1, math.ceil(labelled.count() * min_support))
-    pure, same = lone_tokens(labelled, least)
-    alike: dict[str, list[str]] = {}
-    for token, lead in same.items():
-        alike.setdefault(lead, []).append(token)
-    gone = {r["tokens"][0] for r in pure}
-    leads = sorted(t for t in alike if t not in gone)
-    kept = F.array_intersect("tokens", literal(leads, "array<string>"))
-    items = labelled.select(F.array_union(kept, F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
+    mined = F.array_intersect("tokens", literal(leads(labelled, least, alike), "array<string>"))
+    items = labelled.select(F.array_union(mined, F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     sets = model.freqItemsets.withColumn("head", F.filter("items", lambda x: x.startswith(VERDICT))).withColumn("tokens", F.array_sort(F.filter("items", lambda x: ~x.startswith(VERDICT))))
     plain = sets.filter(F.size("head") == 0).select("tokens", F.col("freq").alias("all"))
     heads = sets.filter((F.size("head") == 1) & (F.size("tokens") > 0)).select("tokens", F.expr(f"substring(head[0], {len(VERDICT) + 1})").alias("verdict"), "freq")
-    rules = heads.join(plain, "tokens").withColumn("confidence", F.col("freq") / F.col("all")).filter(F.col("confidence") >= min_confidence)
-    subsets = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), bits -> filter(tokens, (t, k) -> (shiftright(bits, k) & 1) = 1))")
-    parts = rules.filter(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode(subsets).alias("part"))
-    better = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("by_part"))
-    worse = parts.join(better, ["part", "verdict"]).filter("by_part >= confidence").select("tokens", "verdict").distinct()
-    best = [r.asDict() for r in rules.join(worse, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", F.col("freq").alias("support")).collect()]
-    each = pure + [r | {"tokens": sorted(x)} for r in best for x in itertools.product(*(alike[t] for t in r["tokens"]))]
-    return sorted(each, key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"], r["verdict"]))
-
-
-def mined_verdict(tokens: Column, rules: list[dict]) -> Column:
-    """The verdict of the best mined rule whose tokens are all there, null if none is: an inverted index in the plan, no join."""
-    if not rules:
-        return F.lit(None).cast("string")
-    uses: dict[str, int] = {}
-    for r in rules:
-        for t in r["tokens"]:
-            uses[t] = uses.get(t, 0) + 1
-    index: dict[str, list[dict]] = {}
-    for k, r in enumerate(rules):
-        at = min(r["tokens"], key=lambda t: (uses[t], t))  # the rule's rarest token
-        index.setdefault(at, []).append({"place": k, "tokens": r["tokens"], "verdict": r["verdict"]})
-    kind = "array<struct<place:int,tokens:array<string>,verdict:string>>"
-    posted = literal(index, f"map<string,{kind}>")
-    found = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(posted, t), F.array().cast(kind))))
-    firing = F.filter(found, lambda r: F.size(F.array_except(r["tokens"], tokens)) == 0)
-    return F.array_min(F.transform(firing, lambda r: F.struct(r["place"].alias("place"), r["verdict"].alias("verdict"))))["verdict"]
+    sure = keep(heads.join(plain, "tokens").select("tokens", "verdict", (F.col("freq") / F.col("all")).alias("confidence"), F.col("freq").alias("support")))
+    largest = sure.agg(F.max(F.size("tokens"))).first()[0] or 0
+    done = sure.filter(F.size("tokens") == 1).withColumn("by_part", F.lit(0.0))
+    found = done
+    for size in range(2, largest + 1):
+        one_less = F.transform("tokens", lambda t: F.array_except("tokens", F.array(t)))
+        parts = sure.filter(F.size("tokens") == size).withColumn("part", F.explode(one_less))
+        surest = done.select(F.col("tokens").alias("part"), "verdict", F.greatest("confidence", "by_part").alias("of_part"))
+        known = parts.join(surest, ["part", "verdict"]).groupBy("tokens", "verdict", "confidence", "support").agg(F.max("of_part").alias("by_part"))
+        done = keep(known)
+        found = found.unionByName(done)
+    return found.filter((F.col("confidence") >= min_confidence) & (F.col("by_part") < F.col("confidence"))).drop("by_part")
+
+
+def mine(transactions: DataFrame, **mining) -> list[dict]:
+    """The rules of rules_of, best first."""
+    found = [r.asDict() for r in rules_of(transactions, **mining).collect()]
+    return sorted(found, key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"], r["verdict"]))
+
+
+def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(row, mined): for the urls (row, tokens) that a rule fits, the verdict of the best one.
+
+    An inverted index: each rule hangs on the one of its tokens that fewest rules have; a url's tokens are looked up by a
+    join, and what is found is checked. The index is broadcast only up to a bounded number of rules.
+    """
+    each = rules.withColumn("token", F.explode("tokens"))
+    uses = each.groupBy("token").agg(F.count("*").alias("uses"))
+    at = each.join(uses, "token").groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("uses", "token")).alias("rarest"))
+    index = keep(at.select(F.col("rarest.token").alias("token"), F.col("tokens").alias("need"), "verdict", "confidence", "support"))
+    looked = urls.select("row", "tokens", F.explode("tokens").alias("token")).join(small_side(index, 100_000), "token")
+    firing = looked.filter(F.size(F.array_except("need", "tokens")) == 0)
+    best = F.min(F.struct((-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), F.size("need").alias("c"), "need", "verdict"))
+    return firing.groupBy("row").agg(best.alias("best")).select("row", F.col("best.verdict").alias("mined"))
 
 
 def judge(pages: DataFrame, rules: list[HostRule], id_col: str = "page_id", url_col: str = "url", default: str = ALLOW, **mining) -> DataFrame:
     """(id, host, path, rule, verdict, mined) of every url; mined is the mined rules' verdict, where one fires.
 
     Null urls, and those without ://, have empty host and path and the default verdict, if no rule fits the empty host.
-    Repeated rows and null ids are kept as they come; other columns are dropped, whatever their names. Nothing but the
-    mining shuffles. An empty table gives no rows.
+    Repeated rows and null ids are kept as they come; other columns are dropped, whatever their names. An empty table gives
+    no rows.
     """
     url = F.col(url_col)
     cut = pages.select(F.col(id_col), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     known = cut.withColumn("given", rule_for(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
-    mined = mine(known.select("tokens", F.col("given.verdict").alias("verdict")), **mining)
-    said = mined_verdict(F.col("tokens"), mined)
-    return known.select(id_col, "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", said, F.lit(default)).alias("verdict"), said.alias("mined"))
+    rows = keep(known.select(id_col, "host", "path", "given", "tokens").withColumn("row", F.monotonically_increasing_id()))
+    mined = mined_verdicts(rows, rules_of(rows.select("tokens", F.col("given.verdict").alias("verdict")), **mining))
+    told = rows.drop("tokens").join(mined, "row", "left")
+    return told.select(id_col, "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", "mined", F.lit(default)).alias("verdict"), "mined")

@@ -61,9 +61,14 @@ def test_mined_rules_equal_brute_force(spark):
                     rules[items, v] = c / len(have), c
     want = {(i, v): x for (i, v), x in rules.items() if not any(set(j) < set(i) and u == v and y[0] >= x[0] for (j, u), y in rules.items())}
     assert {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in got} == want
-    df = spark.createDataFrame([(t,) for t, _ in rows], "tokens array<string>").withColumn("v", url_filter.mined_verdict(F.col("tokens"), got))
-    for r in df.collect():
-        assert r["v"] == next((x["verdict"] for x in got if set(x["tokens"]) <= set(r["tokens"])), None)
+    urls = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "row int, tokens array<string>")
+    said = {r["row"]: r["mined"] for r in url_filter.mined_verdicts(urls, spark.createDataFrame(got, "tokens array<string>, verdict string, confidence double, support long")).collect()}
+    by_more = 0
+    for k, (t, _) in enumerate(rows):
+        best = next((x for x in got if set(x["tokens"]) <= set(t)), None)
+        assert said.get(k) == (best and best["verdict"])
+        by_more += best is not None and len(best["tokens"]) > 1
+    assert by_more > 20  # rules of several tokens decide
 
 
 def test_url_verdicts_equal_brute_force(spark):
@@ -76,7 +81,7 @@ def test_url_verdicts_equal_brute_force(spark):
     rules = url_filter.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
     by_token = {}
     for k, rule in enumerate(rules):
-        by_token.setdefault(rule["tokens"][0], []).append((k, set(rule["tokens"]), rule["verdict"]))
+        by_token.setdefault(rule["tokens"][0], []).append((k, set(rule["tokens"]), rule["verdict"]))  # any token will do here
     got = {r["page_id"]: r for r in url_filter.judge(pages, queries.HOST_RULES).collect()}
     assert len(got) == len(rows) and rules
     for r in rows:
@@ -421,10 +426,37 @@ def test_mining_bears_long_shared_paths(spark):
     rows += [([*shared, "bad"], "block") for _ in range(15)]
     got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
     assert [r["tokens"] for r in got] == [["also"], ["bad"]] and {r["confidence"] for r in got} == {1.0}
-    # tokens that always go together: a rule for each
+    # of tokens that always go together, one is mined
     rows = [(["x", "y", "z"] if k % 9 else ["x", "y"], "block" if k % 9 else "allow") for k in range(90)]
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), alike=0.95)
+    assert [(r["tokens"], r["verdict"]) for r in got] == [(["z"], "block"), (["x"], "block")]
+
+
+def test_mining_bears_tokens_that_nearly_always_go_together(spark):
+    """Each of 60 rows lacks one of 40 tokens: all their subsets are frequent, and one of them is mined."""
+    tokens = [f"t{k:02d}" for k in range(40)]
+    rows = [([t for n, t in enumerate(tokens) if n != k % 40] + ["bad"] * (k % 2), "block" if k % 2 else "allow") for k in range(60)]
+    began = time.time()
     got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
-    assert [(r["tokens"], r["verdict"]) for r in got] == [(["z"], "block"), (["x"], "block"), (["y"], "block")]
+    assert time.time() - began < 30
+    assert (["bad"], "block") in [(r["tokens"], r["verdict"]) for r in got] and len(got) < 10
+
+
+def test_rules_of_several_tokens_judge_urls(spark):
+    """example.com is blocked under /de/ and org allowed under /fr/ only, so neither host nor path alone decides elsewhere."""
+    rows = [(k, f"http://{h}/{lang}/{kind}/p{k}", None) for k, (h, lang, kind) in enumerate(itertools.product(["example.com", "a.org", "a.net", "example.net"], ["de", "fr", "en"], ["shop", "news"] * 10))]
+    rows += [(9000, "http://example.io/de/shop/x", None), (9001, "http://unknown.io/", None), (9002, "http://shop.io/fr/shop/y", None), (9003, "http://example.de/en/news", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    url = F.col("url")
+    tokens = {r["page_id"]: set(r["tokens"]) for r in pages.select("page_id", url_filter.tokens_of(url, url_filter.host_of(url), url_filter.path_of(url)).alias("tokens")).collect()}
+    labelled = [(sorted(tokens[i]), judged(u)[3]) for i, u, _ in rows]
+    rules = url_filter.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
+    fired = {i: next((r for r in rules if set(r["tokens"]) <= t), None) for i, t in tokens.items()}
+    found = {r["page_id"]: r for r in url_filter.judge(pages, queries.HOST_RULES).collect()}
+    for i, u, _ in rows:
+        assert found[i]["mined"] == (fired[i] and fired[i]["verdict"])
+        assert found[i]["verdict"] == (judged(u)[3] or found[i]["mined"] or "allow")
+    assert any(len(fired[i]["tokens"]) > 1 for i, u, _ in rows if fired[i] and not judged(u)[3])
 
 
 def test_pipeline_stages_bear_odd_rows(spark, odd_docs, no_docs):
