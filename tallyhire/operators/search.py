@@ -31,42 +31,58 @@ def search_jobs(jobs: DataFrame, companies: DataFrame, title: str | None = None,
     return feed if first is None else feed.limit(first)
 
 
-def grams(c: Column) -> Column:
-    """The distinct trigrams of a lower-cased text."""
+def grams(c: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a lower-cased text."""
     lower = F.lower(c)
-    places = F.when(F.length(lower) >= 3, F.sequence(F.lit(1), F.length(lower) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(lower, i, F.lit(3))))
+    places = F.when(F.length(lower) >= n, F.sequence(F.lit(1), F.length(lower) - (n - 1)))
+    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(lower, i, F.lit(n))))
 
 
-def literal_grams(term: Column) -> Column:
-    """Trigrams that any text which fits a typed term must hold: those of its longest run of ASCII without wildcards and escapes."""
+def literal_run(term: Column) -> Column:
+    """The longest run of ASCII without wildcards and escapes in a typed term: any text that fits must hold it, whatever its case."""
     runs = F.split(F.coalesce(term, F.lit("")), r"[^\x00-\x7f]|[%_\\]")
-    return grams(F.element_at(F.array_sort(runs, lambda a, b: F.length(a) - F.length(b)), -1))
+    return F.element_at(F.array_sort(runs, lambda a, b: F.length(a) - F.length(b)), -1)
 
 
 def tagged(title: Column, location: Column) -> Column:
     return F.concat(F.transform(title, lambda g: F.concat(F.lit("t"), g)), F.transform(location, lambda g: F.concat(F.lit("l"), g)))
 
 
+def by_rarest(asked: DataFrame, jobs: DataFrame, demanded: Column, held: Column, fits: Column) -> DataFrame:
+    """(search_id, job_id): each search meets the jobs that hold the one of its demanded grams which fewest jobs hold, by an equi-join."""
+    having = jobs.withColumn("gram", F.explode(held))
+    counts = having.groupBy("gram").agg(F.count("*").alias("n"))
+    each = asked.select("search_id", "title", "location", F.explode(demanded).alias("gram"))
+    rarest = each.join(counts, "gram", "left").groupBy("search_id", "title", "location").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    return rarest.filter("best.n > 0").select("search_id", "title", "location", "best.gram").join(having, "gram").filter(fits).select("search_id", "job_id")
+
+
+#: Jobs that meet wildcard searches in one task.
+BLOCK = 200_000
+
+
 def match_saved_searches(searches: DataFrame, jobs: DataFrame) -> DataFrame:
     """(search_id, job_id) of every saved search (search_id, title, location) and active job that fits it.
 
-    A search meets only jobs that hold the trigram, of all that its terms demand, which fewest jobs hold, by an equi-join;
-    the patterns are checked on what meets; repeated searches count once. Searches whose terms demand no trigram are joined on the patterns alone, which
-    is what they ask for: each may match any job.
+    A search meets only jobs that hold, of what its terms demand, the run of characters which fewest jobs hold: of three
+    characters, or of one or two where its terms have no longer literal part. The patterns are checked on what meets;
+    repeated searches count once. Searches of wildcards alone may match any job, so they meet them all, block by block.
     """
     jobs = active(jobs).select("job_id", F.col("title").alias("job_title"), F.col("location").alias("job_location"))
-    held = jobs.withColumn("gram", F.explode(tagged(grams(F.col("job_title")), grams(F.col("job_location")))))
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = searches.select("search_id", "title", "location").distinct().withColumn("asks", tagged(literal_grams(F.col("title")), literal_grams(F.col("location"))))
-    each = asked.filter(F.size("asks") > 0).select("search_id", "title", "location", F.explode("asks").alias("gram"))
-    rarest = each.join(counts, "gram", "left").groupBy("search_id", "title", "location").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    run = lambda c: literal_run(F.col(c))
+    asked = searches.select("search_id", "title", "location").distinct().withColumn("t", run("title")).withColumn("l", run("location"))
+    asked = asked.withColumn("literal", F.greatest(F.length("t"), F.length("l")))
     fits = (F.coalesce(F.col("title") == "", F.lit(True)) | contains_ilike(F.col("job_title"), F.col("title"))) & (
         F.coalesce(F.col("location") == "", F.lit(True)) | contains_ilike(F.col("job_location"), F.col("location"))
     )
-    by_gram = rarest.filter("best.n > 0").select("search_id", "title", "location", "best.gram").join(held, "gram").filter(fits)
-    by_pattern = asked.filter(F.size("asks") == 0).join(jobs, fits)
-    return by_gram.select("search_id", "job_id").union(by_pattern.select("search_id", "job_id"))
+    several = lambda a, b, *sizes: F.concat(*(tagged(grams(F.col(a), n), grams(F.col(b), n)) for n in sizes))
+    long = by_rarest(asked.filter("literal >= 3"), jobs, several("t", "l", 3), several("job_title", "job_location", 3), fits)
+    short = by_rarest(asked.filter("literal BETWEEN 1 AND 2"), jobs, several("t", "l", 1, 2), several("job_title", "job_location", 1, 2), fits)
+    open_ = asked.filter("literal = 0").select("search_id", "title", "location")
+    blocks = max(1, -(-jobs.count() // BLOCK))
+    every = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = jobs.withColumn("block", F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int"))
+    return long.union(short).union(every.join(dealt, "block").filter(fits).select("search_id", "job_id"))
 
 
 def jobs_by_id(jobs: DataFrame, ids: DataFrame) -> DataFrame:

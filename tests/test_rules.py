@@ -71,6 +71,24 @@ def test_saved_searches(spark, jobs):
     assert got == [("a", 1), ("a", 2), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("d", 5)]
 
 
+def test_saved_searches_of_all_kinds(spark, monkeypatch, capsys):
+    """Long and short literals, wildcards alone, escapes and other letters: as all patterns on all jobs, without a nested loop."""
+    monkeypatch.setattr(search, "BLOCK", 7)
+    titles = ["Red Engineer", "b", "", "ab", "100% sure", "a_b", "ÉCOLE chef", "İstanbul ok", "x\\y", None, "Straße", "baker"]
+    jobs = spark.createDataFrame([(k, t, p, k % 5 != 4) for k, (t, p) in enumerate((t, p) for t in titles for p in ("Oslo", "Os", "", None))], "job_id long, title string, location string, is_active boolean")
+    terms = [None, "", "%", "_", "__", "a", "AB", "b%", "red", "r_d", "%e_g%", "\\%", "\\_", "é", "école", "i", "sure%", "ok", "STRASSE", "ß", "x\\\\y"]
+    asked = spark.createDataFrame([(f"{k}/{m}", t, p) for k, t in enumerate(terms) for m, p in enumerate(("", None, "os", "%", "_s", "oslo", "o"))], "search_id string, title string, location string")
+    found = search.match_saved_searches(asked.union(asked.limit(5)), jobs)
+    fits = lambda c, term: F.coalesce(F.col(term) == "", F.lit(True)) | contains_ilike(F.col(c), F.col(term))
+    both = asked.withColumnsRenamed({"title": "t", "location": "l"}).crossJoin(jobs.filter("is_active"))
+    want = both.filter(fits("title", "t") & fits("location", "l"))
+    pairs = lambda df: sorted((r["search_id"], r["job_id"]) for r in df.select("search_id", "job_id").collect())
+    assert pairs(found) == pairs(want) and want.count() > 1000
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("﻿\t a b  \n", "2.25", "99.95", "")], "s string, a string, b string, e string")
     r = df.select(trimmed(F.col("s")).alias("s"), decimal_or_null(F.col("a"), 3, 1).alias("a"), decimal_or_null(F.col("b"), 3, 1).alias("b"), is_falsy(F.col("e")).alias("e"), is_falsy(F.lit(0), numeric=True).alias("z"), is_falsy(F.lit(None).cast("string")).alias("n")).first()
