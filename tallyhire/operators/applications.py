@@ -80,17 +80,17 @@ def applicant_queue(applications: DataFrame, k: int | None = None) -> DataFrame:
     """Applications with their place in their job's queue: subscribers first (null before true), then by time.
 
     With k, only the first k of each job: the plan prunes them before the shuffle. Without, a job's queue is ranked in
-    parts, by subscription and day, and each part starts where counts say the earlier ones end; so no task ranks a whole
-    viral job.
+    parts, by subscription and hour, and each part starts where counts say the earlier ones end; so no task ranks a whole
+    viral job, nor its whole best day.
     """
     if k is not None:
         order = Window.partitionBy("job_id").orderBy(F.desc_nulls_first("subscribed"), F.asc_nulls_last("applied_at"), "application_id")
         return applications.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     kind = F.when(F.col("subscribed").isNull(), 0).when(F.col("subscribed"), 1).otherwise(2)
-    day = F.coalesce(F.date_diff("applied_at", F.lit("1970-01-01")), F.lit(2**31 - 1))
-    rows = applications.withColumn("queue_kind", kind).withColumn("queue_day", day)
-    part = ["job_id", "queue_kind", "queue_day"]
-    before = Window.partitionBy("job_id").orderBy("queue_kind", "queue_day").rowsBetween(Window.unboundedPreceding, -1)
+    hour = F.coalesce(F.date_diff("applied_at", F.lit("1970-01-01")) * 24 + F.hour("applied_at"), F.lit(2**31 - 1))
+    rows = applications.withColumn("queue_kind", kind).withColumn("queue_hour", hour)
+    part = ["job_id", "queue_kind", "queue_hour"]
+    before = Window.partitionBy("job_id").orderBy("queue_kind", "queue_hour").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*part).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy(*part).orderBy(F.asc_nulls_last("applied_at"), "application_id"))
     ranked = rows.withColumn("nth", inside).join(starts, part)

@@ -29,6 +29,29 @@ def company_pages(companies: DataFrame, jobs: DataFrame, max_jobs: int | None =
     return page.withColumn("jobs", F.coalesce("jobs", empty))
 
 
+#: Job ids of one range are counted and ranked together.
+ID_RANGE = 4096
+
+
+def company_page_shards(companies: DataFrame, jobs: DataFrame, size: int = 500) -> DataFrame:
+    """Each company's page in shards: the company's columns, shard (from 0), n_shards, and an array of at most `size` jobs by job_id.
+
+    A company without jobs has one empty shard. Jobs are ranked within ranges of ids, and each range starts where counts say
+    the earlier ones end; so no task ranks or collects all jobs of a company that holds a third of them.
+    """
+    mine = jobs.select(*JOB_FIELDS).withColumn("id_range", F.floor(F.col("job_id") / ID_RANGE))
+    earlier = Window.partitionBy("company_id").orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = mine.groupBy("company_id", "id_range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("company_id", "id_range").orderBy("job_id")) - 1
+    ranked = mine.withColumn("place", place).join(starts.select("company_id", "id_range", "start"), ["company_id", "id_range"])
+    shard = F.floor((F.col("start") + F.col("place")) / size).cast("int")
+    lists = ranked.withColumn("shard", shard).groupBy("company_id", "shard").agg(F.sort_array(F.collect_list(F.struct(*JOB_FIELDS))).alias("jobs"))
+    shards = starts.groupBy("company_id").agg(F.ceil(F.sum("n") / size).cast("int").alias("n_shards"))
+    page = companies.join(shards, "company_id", "left").join(lists, "company_id", "left")
+    empty = F.array().cast(page.schema["jobs"].dataType)
+    return page.select(*companies.columns, F.coalesce("shard", F.lit(0)).alias("shard"), F.coalesce("n_shards", F.lit(1)).alias("n_shards"), F.coalesce("jobs", empty).alias("jobs"))
+
+
 def owned(rows: DataFrame, parents: DataFrame, key: str, owner: str) -> DataFrame:
     """rows (key, actor_user_id, ...) with `owned`: whether the parent of that key is there and the actor is its owner."""
     mine = parents.select(key, F.col(owner).alias("actor_user_id"), F.lit(True).alias("owned"))

@@ -574,3 +574,11 @@ def declared_cascade(p: Portal) -> DataFrame:
         each = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
         found = each if found is None else found.unionByName(each)
     return found
+
+
+@query("""SELECT company_id, name, shard, n_shards, job_ids FROM (SELECT company_id, shard::INTEGER AS shard, string_agg(job_id::VARCHAR, ',' ORDER BY job_id) AS job_ids, any_value(n_shards)::INTEGER AS n_shards
+  FROM (SELECT company_id, job_id, (row_number() OVER (PARTITION BY company_id ORDER BY job_id) - 1) // 7 AS shard, (count(*) OVER (PARTITION BY company_id) + 6) // 7 AS n_shards FROM jobs) GROUP BY company_id, shard) JOIN companies USING (company_id)
+UNION ALL SELECT company_id, name, 0, 1, '' FROM companies WHERE company_id NOT IN (SELECT company_id FROM jobs)""")
+def company_page_shards(p: Portal) -> DataFrame:
+    shards = companies.company_page_shards(p.companies(), p.jobs(), size=7)
+    return shards.select("company_id", "name", "shard", "n_shards", F.array_join(F.transform("jobs", lambda j: j["job_id"].cast("string")), ",").alias("job_ids"))
