@@ -25,6 +25,7 @@ Large groups never yield all pairs of their members:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -569,17 +570,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     the smallest. Columns may have any names.
     """
     table, comp = linked_components(docs)
+    own_id, own_print, own_row = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "print", "row"))  # no column of docs has such a name
     full = table.filter("n > 0").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
     first = full.groupBy("comp").agg(F.min(order).alias("at"))
     own = full.groupBy("comp", "doc_id", "print").agg(F.count("*").alias("k")).join(first, "comp")
     stays = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("print") == F.col("at.print"))
-    own = keep(own.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "k", stays.alias("stays")))
-    same = F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__print") == print_of(docs["text"]))
+    own = keep(own.select(F.col("doc_id").alias(own_id), F.col("print").alias(own_print), "k", stays.alias("stays")))
+    same = F.col(own_id).eqNullSafe(docs["doc_id"]) & (F.col(own_print) == print_of(docs["text"]))
     left = docs.join(small_side(own.filter("NOT stays")), same, "left_anti")
     again = own.filter("stays AND k > 1")
     if again.isEmpty():
         return left
     several = docs.join(small_side(again), same, "left_semi")
-    one = several.groupBy(F.col("doc_id").alias("__id"), print_of(F.col("text")).alias("__print")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return left.join(small_side(again), same, "left_anti").unionByName(one.select("__row.*"))
+    one = several.groupBy(F.col("doc_id").alias(own_id), print_of(F.col("text")).alias(own_print)).agg(F.min(F.struct(*docs.columns)).alias(own_row))
+    return left.join(small_side(again), same, "left_anti").unionByName(one.select(f"{own_row}.*"))

@@ -130,7 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col:
     non-finite datum has a bin of its own. Without labelled rows, every score is 0.5.
     """
     ship(docs.sparkSession)
-    sample = training_rows(docs.select("doc_id", F.col(text_col).alias("text"), *metadata), labels, label, max_rows)
+    data = [f"datum {k}" for k in range(len(metadata))]  # whatever their own names
+    own = docs.select("doc_id", F.col(text_col).alias("text"), *(F.col(c).cast("double").alias(d) for c, d in zip(metadata, data, strict=True)))
+    sample = training_rows(own, labels, label, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col:
             index, value = pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index, value], ["place", "y", "index", "value"])
 
-    found = sample.select(F.xxhash64("doc_id").alias("place"), "y", "text", *(F.col(c).cast("double") for c in metadata))
+    found = sample.select(F.xxhash64("doc_id").alias("place"), "y", "text", *data)
     found = found.mapInArrow(run, "place long, y int, index array<int>, value array<float>").toArrow()
     found = found.sort_by([("place", "ascending")]).combine_chunks()
     rows = list(zip((x.values.to_numpy() for x in found["index"]), (x.values.to_numpy() for x in found["value"]), strict=True))

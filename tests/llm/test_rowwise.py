@@ -277,3 +277,10 @@ def test_training_rows_have_one_text_of_each_id(spark):
     assert len(found) == len({r["doc_id"] for r in found}) > 10
     assert [(r["text"], r["n_chars"], r["y"]) for r in found if r["doc_id"] == 1] == [("text 0000", 0, 1)]
     assert len(common.training_rows(docs, labels, "quality", 5).collect()) == 5
+
+
+def test_metadata_may_have_any_names(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 3} and more", float(k), float(k % 2)) for k in range(40)], "doc_id long, text string, y double, place double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    machine = quality_fm.train(docs, labels, metadata=("y", "place"))
+    assert quality_fm.score(docs, machine, metadata=("y", "place")).count() == 40
