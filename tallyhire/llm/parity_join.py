@@ -398,7 +398,7 @@ def based(groups: DataFrame, family: str) -> DataFrame:
 def elements(rows: DataFrame, column: str) -> DataFrame:
     """(family, m, e) of the shingles in a column of deviations, about as many in each task, however few and large the members."""
     n = rows.agg(F.sum(F.size(column))).first()[0] or 0
-    return rows.select("family", "m", column).repartition(n // ELEMENTS + 1, "family", "m").select("family", "m", F.explode(column).alias("e"))
+    return rows.select("family", "m", column).repartition(n // ELEMENTS + 1).select("family", "m", F.explode(column).alias("e"))
 
 
 def measured(rows: DataFrame, comp: DataFrame) -> DataFrame:
