@@ -239,6 +239,11 @@ def test_shards(spark, odd_docs, no_docs):
     check_shards(sharding.shard(spark.createDataFrame(alike, "doc_id long, text string"), n_shards=7).collect(), alike, 7)
 
 
+def test_fewer_rows_than_shards(spark):
+    rows = [(k, "same" if k < 3 else f"t{k}") for k in range(7)]
+    check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, 40)
+
+
 def test_large_groups_fill_few_shards(spark):
     rows = [(k, "hot" if k % 3 == 0 else "warm" if k % 8 == 1 else f"pair{k // 7}" if k % 3 == 1 else f"one{k}") for k in range(6000)]
     found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
