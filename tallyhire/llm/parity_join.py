@@ -39,7 +39,7 @@ WORDS = 5
 HOT = 8
 SMALL = 64
 #: Shingles of deviations that a task unfolds.
-ELEMENTS = 65_536
+ELEMENTS = 16_384
 SEEDS = 4
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -398,7 +398,8 @@ def based(groups: DataFrame, family: str) -> DataFrame:
 def elements(rows: DataFrame, column: str) -> DataFrame:
     """(family, m, e) of the shingles in a column of deviations, about as many in each task, however few and large the members."""
     n = rows.agg(F.sum(F.size(column))).first()[0] or 0
-    return rows.select("family", "m", column).repartition(n // ELEMENTS + 1).select("family", "m", F.explode(column).alias("e"))
+    parts = min(n // ELEMENTS + 1, max(2048, n >> 22))  # larger parts where there would be too many
+    return rows.select("family", "m", column).repartition(parts).select("family", "m", F.explode(column).alias("e"))
 
 
 def measured(rows: DataFrame, comp: DataFrame) -> DataFrame:
