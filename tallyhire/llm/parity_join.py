@@ -2,18 +2,19 @@
 
 A text is its set of distinct word shingles; two link at a Jaccard similarity of 0.8 or more. Then their symmetric
 difference is at most (|A| + |B|) / 9. Hashing the shingles into m blocks and XOR-ing those of a block gives a sketch;
-each differing shingle changes one block at most, so sketches of linked texts differ in at most d blocks, and with
-m = d + s blocks at least s agree (pigeonhole). Texts of like size (a band) that agree in a block meet by a shuffle on
-(band, block, XOR). What meets is filtered by the Hamming distance of parity sketches of two to four bits a shingle, also
+each differing shingle changes one block at most, so sketches of linked texts differ in at most d blocks, and of any
+d + s blocks at least s agree (pigeonhole). Texts of like size (a band) that agree in a block meet by a shuffle on
+(band, block, XOR). As d grows with the sizes, a text gives only the first d + s blocks for its own size and that of its
+largest partner; what two linked texts differ in is within the d of either, so it is the shorter run of blocks in which
+s agree. What meets is filtered by the Hamming distance of parity sketches of two to four bits a shingle, also
 a lower bound of the symmetric difference, and then verified on the whole sets.
 
 Large groups never yield all pairs of their members:
 
 * Copies, texts of one set, are one class from the start.
 * Groups of more than HOT classes (common passages, families of near copies) matter only to classes that may agree with
-  another in such blocks alone. A set of n shingles agrees with any partner in at least m - (n + n') / 9 blocks, where n' is
-  the largest size a partner may have; unless as many of its blocks are in large groups or empty, each of its links meets
-  in a smaller group as well. So all but these doubtful classes leave the large groups, and no link is lost.
+  another in such blocks alone. A set agrees with any partner in at least s of its blocks; unless as many of them are in
+  large groups or empty, each of its links meets in a smaller group as well. So all but these doubtful classes leave the large groups, and no link is lost.
 * What stays is a family with a base, the member in most large groups. Each member is compared with the base only, which
   gives its deviation, the symmetric difference. As |X ^ Y| = |dX| + |dY| - 2 |dX & dY|, two members link only if their
   deviations share enough elements: 18 |dX & dY| >= S(X) + S(Y), where S(X) = 9 |dX| - |X|. Where that asks for none, both
@@ -43,7 +44,8 @@ ELEMENTS = 16_384
 SEEDS = 4
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-EVEN = U(2**64 - 2)
+#: Keys have 48 bits: sets that share one by chance are told apart later, and the shuffle of keys, the largest, has less to write.
+EVEN = U(2**48 - 2)
 NEVER = 1 << 60
 SALTS = np.arange(SEEDS, dtype=U) * BASE
 
@@ -86,12 +88,17 @@ def differing(size: int) -> int:
 
 
 def blocks(band: int) -> tuple[int, int]:
-    """(m, s): a band's number of blocks and how many of them linked sets agree in at least."""
+    """(m, s): a band's number of blocks and how many of those that both give linked sets agree in at least."""
     d = differing(int(BANDS[band + 1]) - 1)
     s = max(3, -(-d // 5))
     return d + s, s
 
 
+def needed(n: int, band: int) -> int:
+    """How many of a band's blocks, the first ones, a set of this size gives: s more than it may differ in from a partner in the band."""
+    return (n + min(n * 5 // 4, int(BANDS[band + 1]) - 1)) // 9 + blocks(band)[1]
+
+
 def own_bands(n: int) -> list[int]:
     """The band of a size, and the next if a larger partner may be in it."""
     k = int(np.searchsorted(BANDS, n, "right")) - 1
@@ -107,21 +114,20 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """
     keys, spare, n = [], [NEVER, NEVER], len(h)
     for band in own_bands(n):
-        m, s = blocks(band)
-        least = m - (n + min(n * 5 // 4, int(BANDS[band + 1]) - 1)) // 9  # blocks in which a partner agrees
+        (m, s), own = blocks(band), needed(n, band)
         odd = U(band & 1)
         for seed in range(SEEDS):
             x = h if not seed else np.sort(mixed(h + SALTS[seed]))
-            at = np.searchsorted(((x >> U(32)) * U(m)) >> U(32), np.arange(m, dtype=U))
-            full = np.flatnonzero(np.diff(np.append(at, len(x))))
-            place = mixed(np.arange(m, dtype=U) + U((band * SEEDS + seed) << 40))
-            keys.append(mixed(np.bitwise_xor.reduceat(x, at[full]) + place[full]) & EVEN | odd)
-            empty = m - len(full)
-            spare[band & 1] = min(spare[band & 1], max(0, least - empty))
+            at = np.searchsorted(((x >> U(32)) * U(m)) >> U(32), np.arange(own + 1, dtype=U))
+            full = np.flatnonzero(np.diff(at))
+            place = mixed(np.arange(own, dtype=U) + U((band * SEEDS + seed) << 40))
+            keys.append(mixed(np.bitwise_xor.reduceat(x[: at[-1]], at[full]) + place[full]) & EVEN | odd)
+            empty = own - len(full)
+            spare[band & 1] = min(spare[band & 1], max(0, s - empty))
             if empty < s:
                 break
             if seed == SEEDS - 1:
-                keys.append(place[np.setdiff1d(np.arange(m), full)] & EVEN | odd)
+                keys.append(place[np.setdiff1d(np.arange(own), full)] & EVEN | odd)
     return np.concatenate(keys), spare
 
 
@@ -177,7 +183,10 @@ def class_of(h: np.ndarray) -> int:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, class) of every text with words; copies of a set that one task reads give their keys once."""
+    """(class, key) of every text with words; copies of a set that one task reads give their keys once.
+
+    In this order a key's high bytes, which are zero, and the next row's header and class, often the same, compress as one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -196,13 +205,13 @@ def keyed(docs: DataFrame) -> DataFrame:
                     classes.append(c)
                     n.append(len(keys[-1]))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.asarray(classes, np.int64), n))], ["key", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(classes, np.int64), n)), signed(np.concatenate(keys))], ["class", "key"])
 
-    return docs.select("text").mapInArrow(run, "key long, class long")
+    return docs.select("text").mapInArrow(run, "class long, key long")
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """Groups of classes under one key, from rows (key, class) sorted by both: (hot, a, b).
+    """Groups of classes under one key, from rows (class, key) sorted by key, then class: (hot, a, b).
 
     A pair of classes a < b of a group of at most HOT, or (hot) the class b of the larger group a. Pairs of groups whose
     members a task has seen already are left out; rows of hot groups pass through one by one: no group is held whole.
@@ -244,7 +253,7 @@ def met(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            k, c = np.asarray(batch.column("key")), np.asarray(batch.column("class"))
             if hot_key is not None:
                 same = int(np.searchsorted(k != hot_key, True)) if k[0] == hot_key else 0
                 more = c[:same][np.diff(c[:same], prepend=last) != 0]

@@ -401,6 +401,33 @@ def test_sketches_bound_the_difference():
             assert set(parity_join.signatures(a)[0].tolist()) & set(parity_join.signatures(b)[0].tolist())
 
 
+def test_sets_give_no_more_blocks_than_their_size_needs():
+    rng = np.random.default_rng(8)
+    for n in (150, 250, 333, 700, 4000):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        keys = parity_join.signatures(h)[0]
+        tops = [(int(parity_join.BANDS[b + 1]) - 1, parity_join.blocks(b)[1]) for b in parity_join.own_bands(n)]
+        assert len(keys) <= sum((n + min(n * 5 // 4, top)) // 9 + s for top, s in tops)
+        assert int(keys.max()) < 2**48  # the rest of a key's 64 bits compresses
+
+
+def test_linked_sets_of_any_sizes_share_blocks():
+    """Sets just within the limit share a key, and in each band of both as many as let either leave its large groups."""
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 80), *range(80, 1200, 37)]:
+        for _ in range(3):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            lost = int(rng.integers(0, n // 9 + 1))
+            new = max(k for k in range(n) if parity_join.linked(n, n - lost + k, lost + k)) if n > 1 else 0
+            b = np.sort(np.concatenate([rng.permutation(a)[lost:], np.unique(rng.integers(0, 2**64, new, dtype=np.uint64))]))
+            (x, spare_a), (y, spare_b) = parity_join.signatures(a), parity_join.signatures(b)
+            both = np.intersect1d(x, y)
+            assert len(both)
+            for band in set(parity_join.own_bands(len(a))) & set(parity_join.own_bands(len(b))):
+                shared = int((both & np.uint64(1) == np.uint64(band & 1)).sum())
+                assert shared >= max(spare_a[band & 1], spare_b[band & 1])
+
+
 # pipeline
 
 
