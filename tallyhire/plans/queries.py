@@ -95,7 +95,7 @@ def application_admission(p: Portal) -> DataFrame:
 (SELECT reason, job_id FROM checked WHERE reason IS NOT NULL UNION ALL
  SELECT NULL, job_id FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM ranked f WHERE f.nth = 1 AND f.attempt_id = r.attempt_id AND f.job_id = r.job_id AND f.applicant_email = r.applicant_email)) GROUP BY 1""")
 def application_rejects(p: Portal) -> DataFrame:
-    _, rejects = applications.admit(p.attempts(), p.users(), p.jobs())
+    _, rejects = applications.admit(p.attempts_of_users(), p.users(), p.jobs())
     return rejects.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("n_jobs"))
 
 
