@@ -150,21 +150,24 @@ def decide(applications: DataFrame, jobs: DataFrame, users: DataFrame, requests:
     Any of STATUSES may follow any other; the last request for an application holds. Every accepted request is a decision,
     changed or not, and so sends a mail. Who does not own the job learns no more than that it is not found.
     """
-    rows = (
-        requests.join(users.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("actor_role")), "actor_user_id", "left")
-        .join(applications.select("application_id", "job_id", "applicant_email"), "application_id", "left")
-        .join(jobs.select("job_id", F.col("title").alias("job_title"), F.col("posted_by_recruiter_id").alias("owner")), "job_id", "left")
-    )
+    asked = requests.join(users.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("actor_role")), "actor_user_id", "left")
+    what = jobs.select("job_id", F.col("title").alias("job_title"), F.col("posted_by_recruiter_id").alias("owner"))
+    held = applications.join(what, "job_id", "left").withColumn("found", F.col("applicant_email").isNotNull()).withColumn("posted", F.col("job_title").isNotNull())
+    barred = (F.coalesce(F.col("actor_role") != "recruiter", F.lit(True)), 403, "not_recruiter")
+    bad = (~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)), 400, "bad_status")
     reject = first_reason(
-        (F.coalesce(F.col("actor_role") != "recruiter", F.lit(True)), 403, "not_recruiter"),
-        (F.col("applicant_email").isNull(), 404, "application_not_found"),
-        (F.col("job_title").isNull(), 404, "job_not_found"),
+        barred,
+        (~F.coalesce("found", F.lit(False)), 404, "application_not_found"),
+        (~F.coalesce("posted", F.lit(False)), 404, "job_not_found"),
         (F.coalesce(F.col("owner") != F.col("actor_user_id"), F.lit(True)), 404, "not_owner"),
-        (~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)), 400, "bad_status"),
+        bad,
     )
-    rows = rows.withColumn("reject", reject)
-    accepted = rows.filter(F.col("reject").isNull())
-    decisions = accepted.select("request_id", "application_id", "applicant_email", "job_id", "job_title", "status", "requested_at")
-    last = latest_by(decisions.select("application_id", F.col("status").alias("new_status"), "requested_at", "request_id"), ["application_id"], ["requested_at", "request_id"])
-    updated = applications.join(last.select("application_id", "new_status"), "application_id", "left").withColumn("status", F.coalesce("new_status", "status")).select(applications.columns)
+    rows = asked.join(held.select("application_id", "job_id", "applicant_email", "job_title", "owner", "found", "posted"), "application_id", "left").withColumn("reject", reject)
+    decisions = rows.filter(F.col("reject").isNull()).select("request_id", "application_id", "applicant_email", "job_id", "job_title", "status", "requested_at")
+    # An actor's last request for an application is known before the two meet, and counts where the actor owns the job. The
+    # checks are no filter: where requests are made of applications, it would reach into these, and the plan would make them twice.
+    sound = F.when(none_of([barred, bad]), F.struct("requested_at", "request_id", "status"))
+    last = asked.groupBy("application_id", F.col("actor_user_id").alias("owner")).agg(F.max(sound).alias("last"))
+    changed = F.when(F.col("found") & F.col("posted"), F.col("last.status"))
+    updated = held.join(last, ["application_id", "owner"], "left").withColumn("status", F.coalesce(changed, "status")).select(applications.columns)
     return updated, decisions, rows.filter(F.col("reject").isNotNull()).select("request_id", "reject.code", "reject.reason")

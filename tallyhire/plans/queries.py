@@ -243,11 +243,12 @@ def orphan_assets(p: Portal) -> DataFrame:
 
 def decided(p: Portal) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One decision request for each application, every fifth by somebody who does not own the job."""
-    made = p.applications().join(p.jobs().select("job_id", "posted_by_recruiter_id"), "job_id").selectExpr(
+    found = p.applications("status")
+    made = found.join(p.jobs().select("job_id", "posted_by_recruiter_id"), "job_id").selectExpr(
         "application_id AS request_id", "application_id", "CASE WHEN job_id % 5 = 0 THEN 1000000 + (posted_by_recruiter_id + 1) % 25 WHEN job_id % 7 = 0 THEN 1 ELSE posted_by_recruiter_id END AS actor_user_id",
         "CASE WHEN job_id % 11 = 0 THEN 'Paused' ELSE 'Hired' END AS status", "applied_at AS requested_at",
     )
-    return applications.decide(p.applications(), p.jobs(), p.users(), made)
+    return applications.decide(found, p.jobs(), p.users(), made)
 
 
 def decisions(p: Portal) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyhire.sources.schemas import TABLES
 
 T0 = datetime(1995, 1, 1)
 ATTEMPTS = "attempt_id string, job_id long, user_id long, attempted_at timestamp_ntz"
+REQUESTS = "request_id long, actor_user_id long, application_id string, status string, requested_at timestamp_ntz"
 
 
 @pytest.fixture(scope="module")
@@ -46,12 +47,18 @@ def shuffles(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["application_rejects"])
+@pytest.mark.parametrize("name", ["decided_applications", "application_rejects"])
 def test_lines_are_shuffled_once_by_order_and_once_by_job(shuffles, name):
     lines = [x for x in shuffles(name).splitlines() if "FileScan parquet [l_orderkey" in x]
     assert len(lines) == 1
 
 
+@pytest.mark.parametrize("name", ["decided_applications"])
+def test_decisions_meet_applications_in_one_shuffle_of_each(shuffles, name):
+    by = [x for x in shuffles(name).splitlines() if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]
+    assert len([x for x in by if "hashpartitioning(application_id" in x]) == 2
+
+
 def admitted_by_loop(attempts, users, jobs, keys, existing):
     """(ids of applications, ids and reasons of rejects), one attempt after the other."""
     who, what = {r["user_id"]: r for r in users.collect()}, {r["job_id"]: r for r in jobs.collect()}
@@ -92,3 +99,25 @@ def test_attempts_may_bring_their_users(spark, users, jobs):
         new, rejects = applications.admit(attempts, users, jobs)
         assert [r["application_id"] for r in new.collect()] == ["a"]
         assert {r["attempt_id"]: r["reason"] for r in rejects.collect()} == {"b": "duplicate", "c": "no_resume", "d": "not_jobseeker"}
+
+
+def test_decisions_equal_a_loop(spark, users, jobs):
+    """Owners and others, bad and missing statuses, equal times, applications without an email, an owner or a job."""
+    dice = random.Random(3)
+    pick = lambda *x: dice.choice(x)
+    unowned = jobs.selectExpr(*(f"IF(job_id = 3, NULL, {c}) AS {c}" if c == "posted_by_recruiter_id" else f"IF(job_id = 6, NULL, {c}) AS {c}" if c == "title" else c for c in jobs.columns))
+    held = [(f"p{k}", k % 10 or None, None if k % 7 == 0 else "u@x", pick("Submitted", "Rejected"), "r", T0, True) for k in range(40)]
+    asked = [(k, pick(None, 1, 9, 9, 10, 10), pick(None, *(f"p{k}" for k in range(45))), pick("Hired", "Rejected", "Submitted", "Paused", None), T0 + timedelta(seconds=dice.randrange(3))) for k in range(500)]
+    what = {r["job_id"]: r for r in unowned.collect()}
+    rows, status, made, reasons = {a[0]: a for a in held}, {a[0]: a[3] for a in held}, [], {}
+    for k, actor, i, to, _ in sorted(asked, key=lambda r: (r[4], r[0])):
+        a = rows.get(i)
+        job = a and what.get(a[1])
+        reasons[k] = "not_recruiter" if actor not in (9, 10) else "application_not_found" if not a or a[2] is None else "job_not_found" if not job or job["title"] is None else "not_owner" if job["posted_by_recruiter_id"] != actor else "bad_status" if to in (None, "Paused") else None
+        if reasons[k] is None:
+            made.append(k)
+            status[i] = to
+    new, decisions, rejects = applications.decide(spark.createDataFrame(held, TABLES["applications"]), unowned, users, spark.createDataFrame(asked, REQUESTS))
+    assert sorted((r["application_id"], r["status"]) for r in new.collect()) == sorted(status.items())
+    assert sorted(r["request_id"] for r in decisions.collect()) == sorted(made) and len(made) > 30
+    assert {r["request_id"]: r["reason"] for r in rejects.collect()} == {k: v for k, v in reasons.items() if v} and rejects.count() + len(made) == 500
