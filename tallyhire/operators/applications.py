@@ -150,10 +150,11 @@ def decide(applications: DataFrame, jobs: DataFrame, users: DataFrame, requests:
     Any of STATUSES may follow any other; the last request for an application holds. Every accepted request is a decision,
     changed or not, and so sends a mail. Who does not own the job learns no more than that it is not found.
     """
-    asked = requests.join(users.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("actor_role")), "actor_user_id", "left")
+    recruiters = users.filter("role = 'recruiter'").select(F.col("user_id").alias("actor_user_id"), F.lit(True).alias("recruits")).distinct()
+    asked = requests.join(recruiters, "actor_user_id", "left")
     what = jobs.select("job_id", F.col("title").alias("job_title"), F.col("posted_by_recruiter_id").alias("owner"))
     held = applications.join(what, "job_id", "left").withColumn("found", F.col("applicant_email").isNotNull()).withColumn("posted", F.col("job_title").isNotNull())
-    barred = (F.coalesce(F.col("actor_role") != "recruiter", F.lit(True)), 403, "not_recruiter")
+    barred = (~F.coalesce("recruits", F.lit(False)), 403, "not_recruiter")
     bad = (~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)), 400, "bad_status")
     reject = first_reason(
         barred,

@@ -47,16 +47,17 @@ def shuffles(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["decided_applications", "application_rejects"])
+@pytest.mark.parametrize("name", ["decided_applications", "decision_rejects", "application_rejects"])
 def test_lines_are_shuffled_once_by_order_and_once_by_job(shuffles, name):
     lines = [x for x in shuffles(name).splitlines() if "FileScan parquet [l_orderkey" in x]
     assert len(lines) == 1
 
 
-@pytest.mark.parametrize("name", ["decided_applications"])
+@pytest.mark.parametrize("name", ["decided_applications", "decision_rejects"])
 def test_decisions_meet_applications_in_one_shuffle_of_each(shuffles, name):
     by = [x for x in shuffles(name).splitlines() if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]
     assert len([x for x in by if "hashpartitioning(application_id" in x]) == 2
+    assert not any("hashpartitioning(actor_user_id" in x and "request_id" in x for x in by)
 
 
 def admitted_by_loop(attempts, users, jobs, keys, existing):
@@ -101,6 +102,17 @@ def test_attempts_may_bring_their_users(spark, users, jobs):
         assert {r["attempt_id"]: r["reason"] for r in rejects.collect()} == {"b": "duplicate", "c": "no_resume", "d": "not_jobseeker"}
 
 
+def test_an_id_of_two_users_judges_a_request_once(spark, users, jobs):
+    """Six-fold tables have customers whose number is a recruiter's id, too."""
+    both = users.union(users.filter("user_id = 1").selectExpr("CAST(9 AS BIGINT) AS user_id", *users.columns[1:]))
+    held = spark.createDataFrame([("x", 2, "u1@x", "Submitted", "r", T0, True), ("y", 1, "u2@x", "Submitted", "r", T0, True)], TABLES["applications"])
+    asked = spark.createDataFrame([(1, 9, "x", "Hired", T0), (2, 9, "y", "Hired", T0)], REQUESTS)
+    new, made, rejects = applications.decide(held, jobs, both, asked)
+    assert sorted((r["application_id"], r["status"]) for r in new.collect()) == [("x", "Hired"), ("y", "Submitted")]
+    assert [r["request_id"] for r in made.collect()] == [1]
+    assert [(r["request_id"], r["reason"]) for r in rejects.collect()] == [(2, "not_owner")]
+
+
 def test_decisions_equal_a_loop(spark, users, jobs):
     """Owners and others, bad and missing statuses, equal times, applications without an email, an owner or a job."""
     dice = random.Random(3)
