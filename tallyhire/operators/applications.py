@@ -68,13 +68,16 @@ def admission_checks() -> list[tuple[Column, int, str]]:
 def known(attempts: DataFrame, users: DataFrame, jobs: DataFrame) -> DataFrame:
     """attempts with what admission needs of users and jobs. Those that with_users() has been given already are not joined with users again."""
     rows = attempts if "no_seeker" in attempts.columns else with_users(attempts, users)
-    rows = rows.withColumn("subscribed", F.coalesce(F.col("subscription") > F.col("attempted_at"), F.lit(False)))
     return rows.join(jobs.select("job_id", "is_active", F.lit(True).alias("known")), "job_id", "left")
 
 
+def with_subscribed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("subscribed", F.coalesce(F.col("subscription") > F.col("attempted_at"), F.lit(False)))
+
+
 def checked(attempts: DataFrame, users: DataFrame, jobs: DataFrame) -> DataFrame:
     """attempts (attempt_id, user_id, job_id, attempted_at) with what admission needs, and the first failing check."""
-    return known(attempts, users, jobs).withColumn("reject", first_reason(*admission_checks()))
+    return with_subscribed(known(attempts, users, jobs).withColumn("reject", first_reason(*admission_checks())))
 
 
 #: Shards of a key in which its first attempt is looked for, before the shards' firsts are compared.
@@ -108,7 +111,7 @@ def admit(attempts: DataFrame, users: DataFrame, jobs: DataFrame, existing: Data
     attempt_id that repeats within a key counts as one attempt.
     """
     keys = {"declared": ["job_id", "applicant_email"], "literal": ["applicant_email"]}[scope]
-    valid = known(attempts, users, jobs).filter(none_of(admission_checks()))
+    valid = with_subscribed(known(attempts, users, jobs).filter(none_of(admission_checks())))
     firsts = dedup_first(valid.select("attempt_id", "job_id", "applicant_email", "resume", "attempted_at", "subscribed"), keys, ["attempted_at", "attempt_id"])
     if existing is not None:
         firsts = firsts.join(existing.select(*keys).distinct(), keys, "left_anti")

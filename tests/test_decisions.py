@@ -47,13 +47,13 @@ def shuffles(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["decided_applications", "decision_rejects", "application_rejects"])
+@pytest.mark.parametrize("name", ["decided_applications", "decision_rejects", "mail_events", "application_rejects"])
 def test_lines_are_shuffled_once_by_order_and_once_by_job(shuffles, name):
     lines = [x for x in shuffles(name).splitlines() if "FileScan parquet [l_orderkey" in x]
     assert len(lines) == 1
 
 
-@pytest.mark.parametrize("name", ["decided_applications", "decision_rejects"])
+@pytest.mark.parametrize("name", ["decided_applications", "decision_rejects", "mail_events"])
 def test_decisions_meet_applications_in_one_shuffle_of_each(shuffles, name):
     by = [x for x in shuffles(name).splitlines() if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]
     assert len([x for x in by if "hashpartitioning(application_id" in x]) == 2
